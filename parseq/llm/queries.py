@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, chat, mixing, substrings
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op3_chat": chat.op3_chat,
+    "op9_mixing": mixing.op9_mixing,
+    "op10_substrings": substrings.op10_substrings,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_chat": chat.ORACLE,
+    "op9_mixing": mixing.ORACLE,
+    "op10_substrings": substrings.ORACLE,
+}
