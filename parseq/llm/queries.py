@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, mixing, quality_rules, substrings
+from . import bpe, chat, mixing, neardup, quality_rules, substrings
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op3_chat": chat.op3_chat,
+    "op5_near": neardup.op5_near,
     "op8_rules": quality_rules.op8_rules,
     "op9_mixing": mixing.op9_mixing,
     "op10_substrings": substrings.op10_substrings,
@@ -14,6 +15,7 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op3_chat": chat.ORACLE,
+    "op5_near": neardup.op5_near,
     "op8_rules": quality_rules.op8_rules,
     "op9_mixing": mixing.ORACLE,
     "op10_substrings": substrings.ORACLE,
