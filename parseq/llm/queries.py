@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, mixing, neardup, quality_rules, substrings
+from . import bpe, chat, mixing, neardup, quality_model, quality_rules, substrings, toxicity, vectors
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op3_chat": chat.op3_chat,
+    "op4_quality": quality_model.op4_quality,
     "op5_near": neardup.op5_near,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_vectors": vectors.op7_vectors,
     "op8_rules": quality_rules.op8_rules,
     "op9_mixing": mixing.op9_mixing,
     "op10_substrings": substrings.op10_substrings,
@@ -15,7 +18,10 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op3_chat": chat.ORACLE,
+    "op4_quality": quality_model.op4_quality,
     "op5_near": neardup.op5_near,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_vectors": vectors.op7_vectors,
     "op8_rules": quality_rules.op8_rules,
     "op9_mixing": mixing.ORACLE,
     "op10_substrings": substrings.ORACLE,
