@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, mixing, neardup, quality_model, quality_rules, substrings, toxicity, vectors
+from . import bpe, chat, mixing, neardup, quality_model, quality_rules, substrings, suffixes, toxicity, vectors
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_suffixes": suffixes.op2_suffixes,
     "op3_chat": chat.op3_chat,
     "op4_quality": quality_model.op4_quality,
     "op5_near": neardup.op5_near,

@@ -94,6 +94,33 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return joined.mapInArrow(run, "doc_id long, text string, n_units long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string")
 
 
+def rewrite(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with its columns, the texts without repeated units (and ``n_chars`` as their new length, if there)."""
+    found = winners(only(docs, doc_id="long", text="string"), min_words).select(F.col("doc_id").alias("id__"), F.col("kept").alias("kept__"))
+    joined = docs.join(found, F.col("doc_id") == F.col("id__"), "left").drop("id__")
+    at, ids = docs.columns.index("text"), docs.columns.index("doc_id")
+    length = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for doc, text, kept in zip(b.column(ids).to_pylist(), b.column(at), b.column(b.num_columns - 1)):
+                raw, kept = text.as_py(), set(kept.as_py() or ())
+                gone = [] if doc is None or not raw else [k for k, _ in marked(raw, min_words) if k not in kept]
+                if gone:
+                    cuts = units(raw)
+                    bounds = [0, *(x for k in gone for x in cuts[k]), len(raw)]
+                    raw = "".join(raw[s:e] for s, e in zip(bounds[::2], bounds[1::2]))
+                out.append(raw)
+            columns = b.columns[:-1]
+            columns[at] = pa.array(out, columns[at].type)
+            if length is not None:
+                columns[length] = pa.array([None if t is None else len(t) for t in out], columns[length].type)
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
+
+    return joined.mapInArrow(run, docs.schema)
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup(table(spark, sf_dir, "documents"))
     spans = F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
