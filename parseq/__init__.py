@@ -1,0 +1,6 @@
+"""parseq: ordered-sequence analytics on Spark DataFrames."""
+
+from .seq import Seq, dense_index, scalar
+from .session import Config, deinit, init, init_with_config, is_initialized, num_workers
+
+__all__ = ["Config", "Seq", "deinit", "dense_index", "init", "init_with_config", "is_initialized", "num_workers", "scalar"]
