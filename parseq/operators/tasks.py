@@ -77,10 +77,17 @@ def scope() -> Iterator[Scope]:
     s.wait()
 
 
+scope_with_context = scope
+
+
 def spawn(f: Callable, *args):
+    """Runs the task at once; a deferred one belongs in a scope."""
     return f(*args)
 
 
+spawn_with_context = spawn
+
+
 def broadcast(spark: SparkSession, f: Callable[[int], object], kind: str = "string") -> DataFrame:
     """worker, value of ``f`` for each worker number, one task for each."""
     n = num_workers(spark)
@@ -119,3 +126,7 @@ def parallel_for_with_early_exit(seq: Seq, stop: Fn) -> bool:
 def parallel_for_range(spark: SparkSession, start: int, end: int, aggregate: Fn) -> DataFrame:
     """An aggregate over the indices of [start, end)."""
     return Seq.range(spark, start, end).df.agg(aggregate(F.col("v")).alias("reduce"))
+
+
+parallel_for_range_with_context = parallel_for_range
+broadcast_with_context = broadcast
