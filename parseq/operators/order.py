@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..seq import Fn, Seq, dense_index
@@ -43,10 +43,8 @@ def ranked(seq: Seq, *keys: Fn, descending: bool = False) -> DataFrame:
     for n, k in enumerate(keys or (lambda v: v,)):
         named = named.withColumn(f"s{n}", k(F.col("v")))
         names.append(f"s{n}")
-    if descending:
-        w = Window.orderBy(*[F.col(s).desc() for s in names], *seq.keys)
-        return named.withColumn("rank", (F.row_number().over(w) - 1).cast("long")).drop(*names)
-    return dense_index(named, [*names, *seq.keys], "rank").drop(*names)
+    by = [F.col(s).desc() if descending else F.col(s).asc() for s in names]
+    return dense_index(named, [*by, *seq.keys], "rank").drop(*names)
 
 
 def merge(seq: Seq, other: Seq) -> DataFrame:

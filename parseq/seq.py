@@ -27,15 +27,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def dense_index(df: DataFrame, keys: list[str], name: str = "i", strategy: str = "auto") -> DataFrame:
-    """``df`` with the 0-based position of each row in the order of its unique ``keys``.
+def dense_index(df: DataFrame, keys: list[str | Column], name: str = "i", strategy: str = "auto") -> DataFrame:
+    """``df`` with the 0-based position of each row in the order of its unique ``keys`` (names, or columns with a direction).
 
     window: one sort in one task, for small inputs. bucket (a single integral key): equal key ranges are counted, an
     exclusive sum over the counts gives each range its start, rows are numbered inside their range; no materialisation.
     range: rows are dealt by sampled key ranges behind a reliable checkpoint, then numbered in the same way.
     """
     if strategy == "auto":
-        integral = len(keys) == 1 and isinstance(df.schema[keys[0]].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+        integral = len(keys) == 1 and isinstance(keys[0], str) and isinstance(df.schema[keys[0]].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
         strategy = "window" if df.count() <= SMALL else "bucket" if integral else "range"
     if strategy == "window":
         return df.withColumn(name, (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long"))

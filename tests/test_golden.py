@@ -219,6 +219,9 @@ def test_dense_index(spark, strategy):
     got = parseq.dense_index(df, ["k"], strategy=strategy)
     assert got.filter("k <> i * i").count() == 0 and got.count() == 1000
     assert parseq.dense_index(df.limit(0), ["k"], strategy=strategy).count() == 0
+    if strategy != "bucket":
+        down = parseq.dense_index(df, [F.col("k").desc()], strategy=strategy)
+        assert down.filter("k <> (999 - i) * (999 - i)").count() == 0
 
 
 def test_partition_invariance(spark):
