@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import batch, groups, mix64, only, sha, shuffles, table
 
-WINDOW, GRAM, STEP, RUN_ITEMS = 100, 20, 1 << 20, 150_000
+WINDOW, GRAM, STEP, RUN_ITEMS, PARTS = 100, 20, 1 << 20, 100_000, 2
 LEFT = WINDOW - GRAM
 #: A record: the suffix, the bytes before the anchor backwards, and both lengths; shorter parts are padded with zeros.
 RECORD = WINDOW + LEFT + 2
@@ -378,13 +378,21 @@ def resolved(batches):
             if m:
                 both = unplanes_pair(opener.decompress(m))
                 yield batch(schema, *both)
-        parts = [decoded(x, opener) for x in g.column("block").to_pylist() if x]
-        if not parts:
+        found = [decoded(x, opener) for x in g.column("block").to_pylist() if x]
+        del g
+        if not found:
             continue
-        keys = [[raw[i : i + RECORD] for i in range(0, len(raw), RECORD)] for raw in (p[0].tobytes() for p in parts)]
-        order, lcp = merged(keys, [p[1].tolist() for p in parts])
-        del keys
-        rows, doc, anchor = (np.concatenate([p[i] for p in parts])[order] for i in (0, 2, 3))
+        rows, doc, anchor = (np.concatenate([p[i] for p in found]) for i in (0, 2, 3))
+        lcps = [p[1].tolist() for p in found]
+        del found
+        keys, at = [], 0
+        for x in lcps:
+            raw = rows[at : at + len(x)].tobytes()
+            keys.append([raw[i : i + RECORD] for i in range(0, len(raw), RECORD)])
+            at += len(x)
+        order, lcp = merged(keys, lcps)
+        del keys, lcps, raw
+        rows, doc, anchor = rows[order], doc[order], anchor[order]
         yield batch(schema, *repeats(rows, np.array(lcp, dtype=np.int64), doc, anchor))
 
 
@@ -427,9 +435,11 @@ def removed(size: int, found: np.ndarray) -> np.ndarray:
 
 
 def dedup(docs: DataFrame, parts: int | None = None, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (array of start, end in bytes), and kept (bytes) if asked."""
+    """PARTS parts of the hash range for each shuffle partition, so that what a worker merges at once stays small.
+
+    Gives doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (array of start, end in bytes), and kept (bytes) if asked."""
     z = packed(only(docs, doc_id="long", text="string"))
-    found = marks(z, parts or shuffles(docs.sparkSession)).withColumnRenamed("doc_id", "id__")
+    found = marks(z, parts or PARTS * shuffles(docs.sparkSession)).withColumnRenamed("doc_id", "id__")
     joined = z.join(found, F.col("doc_id") == F.col("id__"), "left").select("doc_id", "z", "marks")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("removed", span), ("kept", pa.binary())])
