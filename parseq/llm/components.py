@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +41,41 @@ def components(edges: DataFrame) -> DataFrame:
         mark = stats
         now = cut(_star(_star(now, True), False))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Least index that each of n nodes reaches over the links (i, j)."""
+    label = np.arange(n)
+    while len(i):
+        m = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, m)
+        np.minimum.at(new, j, m)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+#: Parts of a hot key in joins with its own sums.
+SALTS = 16
+
+
+def salted(df: DataFrame, column: str) -> DataFrame:
+    return df.withColumn("salt", F.pmod(F.xxhash64(column), F.lit(SALTS)))
+
+
+def repeated(df: DataFrame) -> DataFrame:
+    """A side with one row per key, once for each salt."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+
+
+def blocks(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """Rows (node and keys) of groups of two or more, dealt to blocks of about ``size``; each row comes once for each pair
+    of blocks (b1 <= b2) that its own block is in, so that all pairs of a group meet without one task holding the group."""
+    sizes = repeated(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    live = salted(rows, "node").join(sizes, [*keys, "salt"]).withColumn("blocks", F.ceil(F.col("size") / size).cast("int"))
+    live = live.withColumn("block", F.pmod(F.xxhash64("node", *keys), F.col("blocks")).cast("int"))
+    live = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return live.withColumns({"b1": F.least("block", "other"), "b2": F.greatest("block", "other")}).drop("salt", "size", "blocks", "other")

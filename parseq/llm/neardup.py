@@ -7,8 +7,12 @@ registers, corrected for accidental collisions of compressed registers, and link
 
 Copies never meet each other: documents with equal sets are one class, and classes stand in for them. A band's bucket is
 not expanded into pairs either: it gives a star for each of ``SALTS`` parts of it and links the stars' centres. Once the
-confirmed stars are components, the pairs of a bucket that lie in different components (and have compatible sizes and
-close registers) are compared one by one, so every pair that shares a band is either in one component or was compared.
+confirmed stars are components, nodes of a bucket that lie in different components, have compatible sizes and registers
+that don't rule a link out are tied into families, and the full sets of a family are compared with each other in blocks,
+by matrix products, of which only labels come out. So every pair that shares a band is in one component, ruled out by its
+estimate, or compared; the work within a family is quadratic, what is sent is not.
+
+Sets are named by 64-bit digests; two of n different sets share a name with a chance of about n * n / 2^65.
 
 Defined results: null or wordless texts have an empty set and link with nothing; rows without an id link with nothing
 (component null, kept); rows that share an id are versions of one document; repeated rows give repeated results; texts of
@@ -23,13 +27,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Cache, batch, cut, mix64, only, table, texts
-from .components import components
+from .common import Cache, batch, cut, groups, mix64, only, table, texts
+from .components import blocks, components, least_labels, repeated, salted
 
-BANDS, ROWS, MANTISSA, SALTS = 32, 4, 10, 16
+BANDS, ROWS, MANTISSA, BLOCK, WIDE = 32, 4, 10, 512, 4096
 REGISTERS = BANDS * ROWS
 #: Estimates this far below the limit still go to the exact check: five standard deviations at 0.8 and 128 registers.
 MARGIN = 0.18
@@ -87,42 +91,48 @@ def estimate(a: np.ndarray, b: np.ndarray, m: int, n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, s1, s2 (digest of the set), bands, regs."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64())), ("regs", pa.binary())])
+    """doc_id, n_shingles, node (64-bit digest of the set), bands, regs. The latter two are empty for an empty set and for one
+    that the same task has had before, so copies leave a task once."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("regs", pa.binary())])
 
     def run(batches):
+        seen: set[int] = set()
         for b in batches:
-            ids, held, size = [], [], 0
+            rows, new, size = [], [], 0
             for doc, text in zip(b.column(0).to_pylist(), texts(b.column(1))):
-                ids.append(doc)
-                held.append(shingles(text, width))
-                size += len(held[-1])
+                s = shingles(text, width)
+                node = int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "little", signed=True)
+                if len(s) and doc is not None and node not in seen:
+                    seen.add(node)
+                    new.append((len(rows), s))
+                    size += len(s)
+                rows.append((doc, len(s), node))
                 if size > 300_000:
-                    yield out(ids, held)
-                    ids, held, size = [], [], 0
-            if ids:
-                yield out(ids, held)
+                    yield out(rows, new)
+                    rows, new, size = [], [], 0
+            if rows:
+                yield out(rows, new)
 
-    def out(ids, held):
-        full = [s for s in held if len(s)]
-        regs = registers(full)
-        keys, raw = iter(band_keys(regs).tolist()), iter(regs)
-        both = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8") for s in held]
-        return batch(schema, ids, [len(s) for s in held], [int(d[0]) for d in both], [int(d[1]) for d in both], [next(keys) if len(s) else [] for s in held], [next(raw).tobytes() if len(s) else b"" for s in held])
+    def out(rows, new):
+        regs = registers([s for _, s in new])
+        bands, raw = [[]] * len(rows), [b""] * len(rows)
+        for (k, _), keys, r in zip(new, band_keys(regs).tolist(), regs):
+            bands[k], raw[k] = keys, r.tobytes()
+        return batch(schema, *zip(*rows), bands, raw)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, regs binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, bands array<long>, regs binary")
 
 
 def payloads(docs: DataFrame) -> DataFrame:
-    """node, z: the compressed text of each document."""
-    schema = pa.schema([("node", pa.int64()), ("z", pa.binary())])
+    """doc_id, z: the compressed text of each document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("z", pa.binary())])
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=1)
         for b in batches:
             yield batch(schema, b.column(0), [press.compress(t.encode()) for t in texts(b.column(1))])
 
-    return docs.filter("doc_id is not null").mapInArrow(run, "node long, z binary")
+    return docs.filter("doc_id is not null").mapInArrow(run, "doc_id long, z binary")
 
 
 def confirmed(pairs: DataFrame, texts_of: DataFrame, width: int, least: int) -> DataFrame:
@@ -158,51 +168,111 @@ def confirmed(pairs: DataFrame, texts_of: DataFrame, width: int, least: int) ->
     return rows.mapInArrow(run, "u long, v long")
 
 
-def crossing(buckets: DataFrame, known: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
-    """Pairs of a bucket in different components, with compatible sizes and estimates that don't rule them out."""
-    at = buckets.join(known.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    mixed = at.groupBy("band").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a < b").select("band")
-    left = at.join(mixed, "band").join(nodes.select("node", "n_shingles", "regs"), "node")
-    a, b = left.alias("a"), left.alias("b")
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.c") < F.col("b.c")) & (100 * F.least("a.n_shingles", "b.n_shingles") >= least * F.greatest("a.n_shingles", "b.n_shingles")))
-    pairs = pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.n_shingles").alias("m"), F.col("b.n_shingles").alias("n"), F.col("a.regs").alias("x"), F.col("b.regs").alias("y"))
+def resembling(buckets: DataFrame, known: DataFrame, heads: DataFrame, least: int) -> DataFrame:
+    """node, head: inside each bucket that holds several components, nodes of different components with compatible sizes
+    and close registers are tied together; a node comes once with the least node that it is tied to, not with every pair."""
+    named = salted(buckets, "node").join(repeated(known), ["node", "salt"], "left").select("band", "node", F.coalesce("component", "node").alias("c"))
+    mixed = repeated(named.groupBy("band").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a < b").select("band"))
+    rows = blocks(salted(named, "node").join(mixed, ["band", "salt"]).select("band", "node", "c"), ["band"], BLOCK)
+    rows = rows.join(heads.select("node", "n_shingles", "regs"), "node").repartition("band", "b1", "b2").sortWithinPartitions("band", "b1", "b2")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
-        for t in batches:
-            x, y = (np.frombuffer(b"".join(t.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (4, 5))
-            m, n = t.column(2).to_pylist(), t.column(3).to_pylist()
-            good = np.array([float(estimate(x[i], y[i], m[i], n[i])) >= least / 100 - MARGIN for i in range(t.num_rows)], bool)
-            yield batch(schema, t.column(0).filter(pa.array(good)), t.column(1).filter(pa.array(good)))
+        for g in groups(batches, ["band", "b1", "b2"]):
+            node, c, n, block = (g.column(k).to_numpy() for k in ("node", "c", "n_shingles", "block"))
+            order = np.argsort(node)
+            regs = np.frombuffer(b"".join(g.column("regs").to_pylist()), np.uint16).reshape(len(node), REGISTERS)[order]
+            node, c, n, block = node[order], c[order], n[order], block[order]
+            apart = g.column("b1")[0].as_py() != g.column("b2")[0].as_py()
+            label = np.arange(len(node))
+            i_found, j_found = [], []
+            for i in range(len(node) - 1):
+                j = i + 1 + np.flatnonzero((c[i + 1 :] != c[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= least * np.maximum(n[i], n[i + 1 :])) & ((not apart) | (block[i + 1 :] != block[i])))
+                j = j[label[j] != label[i]]
+                if len(j):
+                    j = j[estimate(regs[i], regs[j], int(n[i]), int(n[i])) >= least / 100 - MARGIN]
+                    if len(j):
+                        i_found.append(np.full(len(j), i))
+                        j_found.append(j)
+                        label[np.isin(label, label[j])] = label[i]
+            if i_found:
+                label = least_labels(len(node), np.concatenate(i_found), np.concatenate(j_found))
+                tied = np.flatnonzero(label != np.arange(len(node)))
+                yield batch(schema, node[tied], node[label[tied]])
+
+    return rows.mapInArrow(run, "u long, v long").distinct()
+
+
+def compared(families: DataFrame, texts_of: DataFrame, width: int, least: int) -> DataFrame:
+    """u, v: links between all texts of each family (node, family), compared on full sets block by block; a node comes with
+    the least node that its block links it to."""
+    rows = blocks(families, ["family"], BLOCK).join(texts_of, "node").repartition("family", "b1", "b2").sortWithinPartitions("family", "b1", "b2").select("family", "b1", "b2", "node", "block", "z")
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
-    return pairs.mapInArrow(run, "u long, v long").distinct()
+    def run(batches):
+        opener = zstandard.ZstdDecompressor()
+        for g in groups(batches, ["family", "b1", "b2"]):
+            node = g.column("node").to_numpy()
+            order = np.argsort(node)
+            packed = g.column("z").to_pylist()
+            sets = [shingles(opener.decompress(packed[k]).decode(), width) for k in order]
+            node, block = node[order], g.column("block").to_numpy()[order]
+            apart = g.column("b1")[0].as_py() != g.column("b2")[0].as_py()
+            size = np.array([len(s) for s in sets])
+            values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            row = np.repeat(np.arange(len(sets)), size)
+            useful = count[column] > 1
+            number = np.cumsum(count > 1) - 1
+            row, column = row[useful], number[column[useful]]
+            order = np.argsort(column, kind="stable")
+            row, column = row[order], column[order]
+            both = np.zeros((len(sets), len(sets)), np.float32)
+            for at in range(0, int(number[-1]) + 1 if len(number) else 0, WIDE):
+                s, e = np.searchsorted(column, (at, at + WIDE))
+                part = np.zeros((len(sets), WIDE), np.float32)
+                part[row[s:e], column[s:e] - at] = 1
+                both += part @ part.T
+            either = size[:, None] + size[None, :] - both
+            i, j = np.nonzero(np.triu(100 * both >= least * either, 1))
+            fit = ((not apart) | (block[i] != block[j])) & (size[i] > 0)
+            label = least_labels(len(node), i[fit], j[fit])
+            linked = np.flatnonzero(label != np.arange(len(node)))
+            yield batch(schema, node[linked], node[label[linked]])
+
+    return rows.mapInArrow(run, "u long, v long").distinct()
+
+
+def candidates(buckets: DataFrame) -> DataFrame:
+    """u, v: in each bucket (band, node) the least node of each salted part with the others of the part, and the least of all
+    with those of the parts."""
+    part = buckets.withColumn("u", F.min("node").over(Window.partitionBy("band", "salt")))
+    heads = part.filter("u = node").select("band", "node").withColumn("u", F.min("node").over(Window.partitionBy("band")))
+    return part.select("u", F.col("node").alias("v")).unionAll(heads.select("u", F.col("node").alias("v"))).filter("u <> v").distinct()
 
 
 def link(docs: DataFrame, width: int = 5, least: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of documents (doc_id, text)."""
     slim = only(docs, doc_id="long", text="string")
     sign = cut(signatures(slim, width))
-    #: A class is a set; its node is the smallest id that has it.
-    classes = sign.filter("doc_id is not null and n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
-    heads = cut(sign.join(classes, (sign.s1 == classes.s1) & (sign.s2 == classes.s2) & (sign.doc_id == classes.node)).select("node", "n_shingles", "bands", "regs").dropDuplicates(["node", "n_shingles"]))
-    buckets = heads.select("node", F.explode("bands").alias("band")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    local = buckets.groupBy("band", "salt").agg(F.min("node").alias("head"), F.max("node").alias("far"))
-    whole = local.groupBy("band").agg(F.min("head").alias("u"), F.max("far").alias("far")).filter("u < far").select("band", "u")
-    stars = buckets.join(local.filter("head < far").select("band", "salt", F.col("head").alias("u")), ["band", "salt"]).select("u", F.col("node").alias("v"))
-    spokes = local.join(whole, "band").select("u", F.col("head").alias("v"))
-    pairs = cut(stars.unionAll(spokes).filter("u <> v").distinct())
-    text_of = payloads(slim)
-    first = confirmed(pairs, text_of, width, least)
-    edges = cut(first)
+    buckets = salted(sign.select("node", F.explode("bands").alias("band")), "node")
+    pairs = cut(candidates(buckets))
+    met = pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct()
+    #: A class is a set, its node the set's digest.
+    classes = sign.filter("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    text_of = cut(payloads(slim).join(classes.join(met, "node", "left_semi"), "doc_id").select("node", "z"))
+    edges = cut(confirmed(pairs, text_of, width, least))
     known = cut(components(edges))
-    more = cut(confirmed(crossing(buckets, known, heads, least).join(pairs, ["u", "v"], "left_anti"), text_of, width, least))
-    if not more.isEmpty():
-        known = cut(components(edges.unionAll(more)))
-    named = classes.join(known, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("found"))
-    #: Copies: the join's key is hot for a large group of copies, so its rows are salted and the classes repeated.
-    salted = sign.select("doc_id", "n_shingles", "s1", "s2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
-    named = named.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    out = salted.join(named, ["s1", "s2", "salt"], "left")
+    heads = sign.filter(F.length("regs") > 0).select("node", "n_shingles", "regs").join(met, "node", "left_semi").dropDuplicates(["node"])
+    ties = cut(resembling(buckets.select("band", "node").join(met, "node", "left_semi").distinct(), known, heads, least))
+    if not ties.isEmpty():
+        more = cut(compared(components(ties).withColumnRenamed("component", "family"), text_of, width, least))
+        a, b = known.toDF("u", "a"), known.toDF("v", "b")
+        if not more.join(a, "u", "left").join(b, "v", "left").filter("a is null or b is null or a <> b").isEmpty():
+            known = cut(components(edges.unionAll(more)))
+    #: Classes of a component, and copies of a class, can be a large share of all rows: those joins are salted.
+    named = salted(classes.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "node")
+    named = named.join(repeated(named.groupBy("component").agg(F.min("doc_id").alias("found"))), ["component", "salt"]).select("node", "found")
+    out = salted(sign.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")).alias("node")), "doc_id").join(repeated(named), ["node", "salt"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("found", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 

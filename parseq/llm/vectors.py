@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batch, cut, groups, mix64, only, table
-from .components import components
+from .components import blocks, components, least_labels
 
 K, TABLES, WIDTH, BLOCK, SALTS, SEED = 20, 64, 2.2, 1024, 16, 7
 
@@ -72,21 +72,6 @@ def signatures(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(run, "vec_id long, s1 long, s2 long, raw binary, keys array<long>")
 
 
-def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Least index that each of n nodes reaches over the links (i, j)."""
-    label = np.arange(n)
-    while len(i):
-        m = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, m)
-        np.minimum.at(new, j, m)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    return label
-
-
 def compared(rows: DataFrame, least: float) -> DataFrame:
     """node, links (other vectors that it is linked with first here), head (a node that it is linked to)."""
     schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("head", pa.int64())])
@@ -130,13 +115,7 @@ def link(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     classes = cut(sign.filter("vec_id is not null and s1 is not null").groupBy("s1", "s2").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")))
     heads = sign.join(classes, (sign.s1 == classes.s1) & (sign.s2 == classes.s2) & (sign.vec_id == classes.node)).select("node", "copies", "raw", "keys").dropDuplicates(["node"])
     heads = cut(heads)
-    dealt = heads.select("node", F.posexplode("keys").alias("t", "key")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
-    sizes = dealt.groupBy("t", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    live = dealt.join(sizes, ["t", "key", "salt"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    live = live.withColumn("block", F.pmod(F.xxhash64("node", "t"), F.col("blocks")).cast("int"))
-    live = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    live = live.select("t", "key", "node", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
+    live = blocks(heads.select("node", F.posexplode("keys").alias("t", "key")), ["t", "key"], BLOCK)
     rows = live.join(heads, "node").repartition("t", "key", "b1", "b2").sortWithinPartitions("t", "key", "b1", "b2")
     found = cut(compared(rows, least))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
