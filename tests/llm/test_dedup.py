@@ -189,6 +189,16 @@ def test_vectors_recall():
         assert (vectors.buckets(a) == vectors.buckets(vectors.normalised(b))).any(1).mean() >= least
 
 
+def test_vectors_recall_at_the_limit():
+    rng = np.random.default_rng(6)
+    for cosine in (0.9, 0.91):
+        a = vectors.normalised(rng.standard_normal((2000, 64)))
+        b = rng.standard_normal((2000, 64))
+        b = vectors.normalised(b - (a * b).sum(1, keepdims=True) * a)
+        b = cosine * a + np.sqrt(1 - cosine**2) * b
+        assert (vectors.buckets(a) == vectors.buckets(vectors.normalised(b))).any(1).mean() >= 0.99
+
+
 def test_substrings_same_as_sql(spark):
     rows = [r for r in dict.fromkeys(hard_documents()) if r[0] is not None and r[1] is not None and "\x00" not in r[1]]
     df = frame(spark, rows)
