@@ -610,6 +610,16 @@ def matmul_small(spark, d):
     return recipes.matmul(m, m)
 
 
+ALL_ROWS = "(SELECT vec_id AS i, generate_subscripts(embedding, 1) - 1 AS j, round(unnest(embedding) * 1000)::BIGINT AS x FROM embeddings)"
+
+
+@query(f"SELECT a.j AS i, b.j, sum(a.x * b.x)::BIGINT AS x FROM {ALL_ROWS} a JOIN {ALL_ROWS} b ON a.i = b.i GROUP BY 1, 2")
+def matmul_gram(spark, d):
+    """The transposed embeddings times the embeddings, over all vectors."""
+    m = load(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("p", "e")).select("i", F.col("p").cast("long").alias("j"), F.expr("cast(round(e * 1000) as bigint)").alias("x"))
+    return recipes.matmul(m.select(F.col("j").alias("i"), F.col("i").alias("j"), "x"), m)
+
+
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings")
 def row_l2(spark, d):
     return load(spark, d, "embeddings").select("vec_id", F.round(recipes.norm(F.col("embedding")), 6).alias("norm"))
