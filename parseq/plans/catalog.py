@@ -643,6 +643,14 @@ def blur3x3(spark, d):
     return recipes.blur(pixels(spark, d).filter("idx < 1000").select("idx", F.col("r").alias("v")), 40, 25)
 
 
+@query(f"""WITH p AS (SELECT idx, r AS v, idx // 40 AS y, idx % 40 AS x FROM {PIXELS}), n AS (SELECT count(*) AS n FROM p), s AS (SELECT dy, dx, (2 - abs(dy)) * (2 - abs(dx)) AS w FROM range(-1, 2) a(dy), range(-1, 2) b(dx)),
+t AS (SELECT idx, w, n, y + dy AS ny, greatest(0, least(least(40, n) - 1, x + dx)) AS nx FROM p, s, n), u AS (SELECT idx, w, greatest(0, least((n - 1 - nx) // 40, ny)) * 40 + nx AS at FROM t)
+SELECT u.idx, (sum(p.v * u.w) // 16)::BIGINT AS v FROM u JOIN p ON p.idx = u.at GROUP BY u.idx""")
+def blur_whole(spark, d):
+    """The blur of all events' pixels, 40 in a row."""
+    return recipes.blur_image(pixels(spark, d).select("idx", F.col("r").alias("v")), 40)
+
+
 @query("""WITH p AS (SELECT event_id, event_type <> 'error' AS alive, 1.0 + user_id % 3 AS mass, user_id / 10.0::DOUBLE AS px, value / 100 - 2.5 AS vx FROM events),
 s AS (SELECT event_id, alive, mass, px + vx * 0.5 AS q, vx FROM p), t AS (SELECT event_id, alive, mass, CASE WHEN q < 0 THEN 0.0 WHEN q > 10 THEN 10.0 ELSE q END AS px, CASE WHEN q < 0 OR q > 10 THEN -vx * 0.8 ELSE vx END AS vx FROM s)
 SELECT round(coalesce(sum(mass::DOUBLE * (vx * vx) / 2) FILTER (WHERE alive), 0), 4) AS energy, count(*) FILTER (WHERE alive) AS alive, round(max(vx * vx) FILTER (WHERE alive), 6) AS max_speed2 FROM t""")

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from parseq.plans import catalog
+from parseq.plans import catalog, recipes
 from parseq.sources.tables import load
 
 DATA = "/root/testdata/sf0.001"
@@ -14,3 +14,21 @@ def test_gram_of_all_vectors(spark):
     x = np.round(x * np.float32(1000)).astype(np.int64)
     got = {(r.i, r.j): r.x for r in catalog.QUERIES["matmul_gram"](spark, DATA).collect()}
     assert got == {(i, j): int(v) for (i, j), v in np.ndenumerate(x.T @ x)}
+
+
+def test_blur_of_whole_images(spark):
+    for n, width in ((1, 4), (3, 4), (4, 4), (9, 4), (10, 4), (12, 4), (101, 7), (5, 1)):
+        v = [k * 37 % 256 for k in range(n)]
+        want = {}
+        for k in range(n):
+            total = 0
+            for dy in (-1, 0, 1):
+                for dx in (-1, 0, 1):
+                    x = max(0, min(min(width, n) - 1, k % width + dx))
+                    column = v[x::width]
+                    total += (2 - abs(dy)) * (2 - abs(dx)) * column[max(0, min(len(column) - 1, k // width + dy))]
+            want[k] = total // 16
+        got = recipes.blur_image(spark.createDataFrame(list(enumerate(v)), "idx long, v long"), width).collect()
+        assert {r.idx: r.v for r in got} == want and len(got) == n
+    d = DATA.replace("0.001", "0.01")
+    assert catalog.QUERIES["blur_whole"](spark, d).count() == load(spark, d, "events").count() > 1000
