@@ -320,11 +320,8 @@ def unzip(spark, d):
     return reduce.sum(a).withColumnRenamed("sum", "sum_a").crossJoin(F.broadcast(reduce.sum(b).withColumnRenamed("sum", "sum_b"))).crossJoin(F.broadcast(reduce.count(a).withColumnRenamed("count", "n")))
 
 
-WORDS = "string_split(substr(text, 1, 200), ' ')"
-
-
-def words(spark, d) -> Seq:
-    return sequence(spark, d, "benchmark", F.split("text", " "))
+def words(spark, d, table="benchmark") -> Seq:
+    return sequence(spark, d, table, F.split("text", " "))
 
 
 @query("SELECT (row_number() OVER (ORDER BY item_id, p) - 1)::BIGINT AS i, w AS v FROM (SELECT item_id, generate_subscripts(string_split(text, ' '), 1) AS p, unnest(string_split(text, ' ')) AS w FROM benchmark)")
@@ -332,6 +329,11 @@ def flatten_collect(spark, d):
     return transform.collect(compose.flatten(words(spark, d)))
 
 
+@query("SELECT (row_number() OVER (ORDER BY vec_id, p) - 1)::BIGINT AS i, x AS v FROM (SELECT vec_id, generate_subscripts(embedding, 1) AS p, unnest(embedding) AS x FROM embeddings)")
+def flatten_collect_embeddings(spark, d):
+    return transform.collect(compose.flatten(sequence(spark, d, "embeddings", "embedding")))
+
+
 @query("SELECT round(sum(x::DOUBLE), 4) AS sum FROM (SELECT unnest(embedding) AS x FROM embeddings)")
 def flatten_sum(spark, d):
     s = sequence(spark, d, "embeddings", F.col("embedding").cast("array<double>"))
@@ -348,6 +350,11 @@ def flatten_reduce(spark, d):
     return compose.flatten_reduce(words(spark, d), lambda v: F.array_max(F.transform(v, lambda w: F.length(w))).cast("long"), F.max)
 
 
+@query("SELECT max(list_max(list_transform(string_split(text, ' '), lambda w: length(w))))::BIGINT AS reduce FROM documents")
+def flatten_reduce_documents(spark, d):
+    return compose.flatten_reduce(words(spark, d, "documents"), lambda v: F.array_max(F.transform(v, lambda w: F.length(w))).cast("long"), F.max)
+
+
 # Placement
 
 
@@ -362,6 +369,12 @@ def flatten_with_offsets(spark, d):
     return place.parallel_flatten_with_offsets(s, place.cap_and_offsets(s))
 
 
+@query("WITH w AS (SELECT doc_id, string_split(text, ' ') AS a FROM documents), o AS (SELECT doc_id, a, coalesce(sum(len(a)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS f FROM w) SELECT (f + generate_subscripts(a, 1) - 1)::BIGINT AS i, unnest(a) AS v FROM o")
+def flatten_with_offsets_documents(spark, d):
+    s = words(spark, d, "documents")
+    return place.parallel_flatten_with_offsets(s, place.cap_and_offsets(s))
+
+
 @query(f"WITH p AS (SELECT {i32('p_partkey')} AS i, round(p_retailprice * 100)::BIGINT AS v FROM part), c AS (SELECT {i32('c_custkey')} AS k, c_custkey FROM customer), w AS (SELECT (k * 7) % 500 AS i, arg_max(c_custkey, k) AS new FROM c GROUP BY 1) SELECT p.i, coalesce(w.new, p.v) AS v FROM p LEFT JOIN w USING (i)")
 def scatter_updates(spark, d):
     out = sequence(spark, d, "part", F.expr("cast(round(p_retailprice * 100) as bigint)"))
@@ -570,6 +583,11 @@ def index_postings(spark, d):
     return recipes.postings(load(spark, d, "benchmark"), "item_id", "text")
 
 
+@query("SELECT t AS token, doc_id, (p - 1)::BIGINT AS position FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS t, generate_subscripts(regexp_extract_all(text, '[A-Za-z]+'), 1) AS p FROM documents)")
+def index_postings_documents(spark, d):
+    return recipes.postings(load(spark, d, "documents"), "doc_id", "text")
+
+
 @query("SELECT count(*) AS total_tokens, count(DISTINCT t) AS unique_terms FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS t FROM documents)")
 def index_stats(spark, d):
     return recipes.index_stats(load(spark, d, "documents"), "doc_id", "text")

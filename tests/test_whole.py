@@ -32,3 +32,14 @@ def test_blur_of_whole_images(spark):
         assert {r.idx: r.v for r in got} == want and len(got) == n
     d = DATA.replace("0.001", "0.01")
     assert catalog.QUERIES["blur_whole"](spark, d).count() == load(spark, d, "events").count() > 1000
+
+
+def test_whole_texts_and_vectors(spark):
+    docs = [r for r in load(spark, DATA, "documents").orderBy("doc_id").collect() if r.text is not None]
+    words = [w for r in docs for w in r.text.split(" ")]
+    got = {r.i: r.v for r in catalog.QUERIES["flatten_with_offsets_documents"](spark, DATA).collect()}
+    assert got == dict(enumerate(words))
+    assert catalog.QUERIES["flatten_reduce_documents"](spark, DATA).first()[0] == max(map(len, words))
+    postings = catalog.QUERIES["index_postings_documents"](spark, DATA)
+    assert postings.count() == catalog.QUERIES["index_stats"](spark, DATA).first().total_tokens
+    assert catalog.QUERIES["flatten_collect_embeddings"](spark, DATA).count() == catalog.QUERIES["flatten_len"](spark, DATA).first()[0]
