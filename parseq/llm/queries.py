@@ -15,6 +15,7 @@ QUERIES = {
     "op8_rules": quality_rules.op8_rules,
     "op9_mixing": mixing.op9_mixing,
     "op10_substrings": substrings.op10_substrings,
+    "op10_substrings_all": substrings.op10_substrings_all,
 }
 
 #: The others need a vocabulary's merges, hashed windows, trained models or components; tests/llm has their brute-force twins.
@@ -22,4 +23,5 @@ ORACLE: dict[str, str] = {
     "op3_chat": chat.ORACLE,
     "op9_mixing": mixing.ORACLE,
     "op10_substrings": substrings.ORACLE,
+    "op10_substrings_all": substrings.ORACLE_ALL,
 }

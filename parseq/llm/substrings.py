@@ -121,12 +121,17 @@ def rewrite(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return joined.mapInArrow(run, docs.schema)
 
 
-def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = dedup(table(spark, sf_dir, "documents"))
+def op10_substrings(spark: SparkSession, sf_dir: str, min_words: int = MIN_WORDS) -> DataFrame:
+    done = dedup(table(spark, sf_dir, "documents"), min_words)
     spans = F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
     return done.select("doc_id", "n_units", "n_removed", F.coalesce(F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]), F.lit(0)).alias("removed_chars"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), spans.alias("removed_spans"))
 
 
+def op10_substrings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of every length that hold a word; blank ones stay."""
+    return op10_substrings(spark, sf_dir, 1)
+
+
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(regexp_replace(coalesce(text, ''), '([.!?]) ', '\1' || chr(10), 'g'), chr(10)) AS u FROM documents),
 raw AS (SELECT doc_id, generate_subscripts(u, 1) - 1 AS k, unnest(u) AS unit, len(u) AS n, text FROM d),
@@ -141,3 +146,5 @@ sums AS (SELECT doc_id, count(*)::BIGINT AS n_units, count(*) FILTER (WHERE gone
 SELECT d.doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed_chars, 0)::BIGINT AS removed_chars, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(removed_spans, '') AS removed_spans
 FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN spans USING (doc_id)
 """
+
+ORACLE_ALL = ORACLE.replace(f"words >= {MIN_WORDS} AND", "words >= 1 AND")

@@ -220,3 +220,18 @@ def test_substrings_odd_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, kept int")
     got = sorted(((r.doc_id or -1, r.kept_text, [tuple(s) for s in r.removed]) for r in substrings.dedup(df).collect()), key=str)
     assert got == sorted([(1, line, []), (2, "x\ny", [(2, 3 + len(line))]), (2, "x\ny", [(2, 3 + len(line))]), (-1, line, []), (3, "", []), (4, "", [(0, 2 * len(line) + 1)])], key=str)
+
+
+def test_substrings_of_short_lines(spark, tmp_path):
+    lines = "\n".join(f"line number {k} of twelve" for k in range(12))
+    rows = [r for r in dict.fromkeys(hard_documents()) if r[0] is not None and r[1] is not None and "\x00" not in r[1]]
+    rows += [(k, f"Start {k}.\n{lines}\n\nEnd {k}.", None, None, None, None, None, None) for k in (1001, 1002)]
+    df = frame(spark, rows)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    from parseq.llm import queries
+
+    got = queries.QUERIES["op10_substrings_all"](spark, str(tmp_path)).toPandas()
+    want = duck(documents=df.toPandas()).execute(queries.ORACLE["op10_substrings_all"]).df()
+    assert compared(got) == compared(want)
+    gone = dict(zip(got["doc_id"], got["n_removed"]))
+    assert (gone[1001], gone[1002]) == (0, 12)
