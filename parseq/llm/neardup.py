@@ -6,11 +6,12 @@ all. Four registers are one band; equal bands make candidates. A candidate's sim
 registers, corrected for accidental collisions of compressed registers, and links are then confirmed on the full sets.
 
 Copies never meet each other: documents with equal sets are one class, and classes stand in for them. A band's bucket is
-not expanded into pairs either: it gives a star for each of ``SALTS`` parts of it and links the stars' centres. Once the
-confirmed stars are components, nodes of a bucket that lie in different components, have compatible sizes and registers
-that don't rule a link out are tied into families, and the full sets of a family are compared with each other in blocks,
-by matrix products, of which only labels come out. So every pair that shares a band is in one component, ruled out by its
-estimate, or compared; the work within a family is quadratic, what is sent is not.
+not expanded into pairs either: it is a star around its least node, and a star's links are confirmed by tasks of ``STAR``
+nodes each. Then only nodes that the stars left in different components are looked at: in each bucket, those outside its
+most frequent component meet the others' registers, and what these don't rule out is tied into families; in each family,
+those outside its most frequent component meet the others' full sets. So every pair that shares a band is in one
+component, ruled out by its estimate, or compared on full sets. Nodes of a most frequent component never meet again, so
+only a bucket's nodes that link with nothing are compared with all the others; a text is sent once for each ``HELD`` of them.
 
 Sets are named by 64-bit digests; two of n different sets share a name with a chance of about n * n / 2^65.
 
@@ -27,13 +28,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cache, batch, cut, groups, mix64, only, table, texts
-from .components import blocks, components, least_labels, repeated, salted
+from .common import Cache, Scratch, batch, groups, mix64, only, table, texts
+from .components import components, grouped, least_labels, meetings
 
-BANDS, ROWS, MANTISSA, BLOCK, WIDE = 32, 4, 10, 512, 4096
+BANDS, ROWS, MANTISSA = 32, 4, 10
+#: Nodes of a star in one task; odd nodes that a task holds, and nodes that pass it, for registers and for texts.
+STAR, HELD, PASSING, HELD_TEXTS, PASSING_TEXTS = 512, 2048, 1 << 16, 512, 2048
 REGISTERS = BANDS * ROWS
 #: Estimates this far below the limit still go to the exact check: five standard deviations at 0.8 and 128 registers.
 MARGIN = 0.18
@@ -71,9 +74,9 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
-    packed = np.ascontiguousarray(regs).view(np.uint64).reshape(len(regs), BANDS)
-    return mix64(packed + mix64(np.arange(1, BANDS + 1, dtype=np.uint64))).view(np.int64)
+def band_keys() -> str:
+    """SQL for the bands' keys of a row with ``regs``."""
+    return f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(regs, 1 + b * {2 * ROWS}, {2 * ROWS})))"
 
 
 @lru_cache(4096)
@@ -91,9 +94,9 @@ def estimate(a: np.ndarray, b: np.ndarray, m: int, n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, node (64-bit digest of the set), bands, regs. The latter two are empty for an empty set and for one
-    that the same task has had before, so copies leave a task once."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("regs", pa.binary())])
+    """doc_id, n_shingles, node (64-bit digest of the set), regs. The last is empty for an empty set and for one that the same
+    task has had before, so copies leave a task once."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("regs", pa.binary())])
 
     def run(batches):
         seen: set[int] = set()
@@ -114,13 +117,12 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 yield out(rows, new)
 
     def out(rows, new):
-        regs = registers([s for _, s in new])
-        bands, raw = [[]] * len(rows), [b""] * len(rows)
-        for (k, _), keys, r in zip(new, band_keys(regs).tolist(), regs):
-            bands[k], raw[k] = keys, r.tobytes()
-        return batch(schema, *zip(*rows), bands, raw)
+        raw = [b""] * len(rows)
+        for (k, _), r in zip(new, registers([s for _, s in new])):
+            raw[k] = r.tobytes()
+        return batch(schema, *zip(*rows), raw)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, bands array<long>, regs binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, regs binary")
 
 
 def payloads(docs: DataFrame) -> DataFrame:
@@ -135,11 +137,21 @@ def payloads(docs: DataFrame) -> DataFrame:
     return docs.filter("doc_id is not null").mapInArrow(run, "doc_id long, z binary")
 
 
+def stars(sign: DataFrame, total: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The buckets of two or more nodes, as (band, node), and pairs (u, v, part): the least node of a bucket with each other."""
+    buckets = sign.filter(F.length("regs") > 0).select("node", F.explode(F.expr(band_keys())).alias("band"))
+    sums = buckets.groupBy("band").agg(F.min("node").alias("u"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).filter("u < last")
+    sums = scratch.cut(sums.drop("last"))
+    live = scratch.cut(grouped(buckets, sums, ["band"], total * BANDS))
+    pairs = live.filter("node <> u").groupBy("u", F.col("node").alias("v")).agg(F.max("n").alias("n"))
+    return live, scratch.cut(pairs.select("u", "v", F.expr(f"cast(pmod(xxhash64(v), 1 + n div {STAR}) as int)").alias("part")))
+
+
 def confirmed(pairs: DataFrame, texts_of: DataFrame, width: int, least: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough. Pairs gather around u in sorted order, so that a worker holds
-    one set of u at a time and streams the others past it."""
-    need = pairs.select("u", F.col("v").alias("node"), F.lit(1).alias("side")).unionAll(pairs.select("u", F.col("u").alias("node"), F.lit(0).alias("side")).distinct())
-    rows = need.join(texts_of, "node").repartition("u").sortWithinPartitions("u", "side", "node").select("u", "node", "side", "z")
+    """The pairs (u, v) whose full sets are similar enough. A part of u's pairs gathers around u in sorted order, so that a
+    worker holds one set of u at a time and streams the others past it."""
+    need = pairs.select("u", "part", F.col("v").alias("node"), F.lit(1).alias("side")).unionAll(pairs.select("u", "part", F.col("u").alias("node"), F.lit(0).alias("side")).distinct())
+    rows = need.join(texts_of, "node").repartition("u", "part").sortWithinPartitions("u", "part", "side", "node").select("u", "node", "side", "z")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
@@ -168,111 +180,130 @@ def confirmed(pairs: DataFrame, texts_of: DataFrame, width: int, least: int) ->
     return rows.mapInArrow(run, "u long, v long")
 
 
-def resembling(buckets: DataFrame, known: DataFrame, heads: DataFrame, least: int) -> DataFrame:
-    """node, head: inside each bucket that holds several components, nodes of different components with compatible sizes
-    and close registers are tied together; a node comes once with the least node that it is tied to, not with every pair."""
-    named = salted(buckets, "node").join(repeated(known), ["node", "salt"], "left").select("band", "node", F.coalesce("component", "node").alias("c"))
-    mixed = repeated(named.groupBy("band").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a < b").select("band"))
-    rows = blocks(salted(named, "node").join(mixed, ["band", "salt"]).select("band", "node", "c"), ["band"], BLOCK)
-    rows = rows.join(heads.select("node", "n_shingles", "regs"), "node").repartition("band", "b1", "b2").sortWithinPartitions("band", "b1", "b2")
+class Families:
+    """Held nodes, and nodes that pass and are tied to some of them; gives each tied node with a held one of its family."""
+
+    def __init__(self, nodes: np.ndarray):
+        self.nodes, self.label, self.passed = nodes, np.arange(len(nodes)), []
+
+    def tie(self, node: int, held: np.ndarray) -> None:
+        if len(held):
+            labels = np.unique(self.label[held])
+            if len(labels) > 1:
+                self.label[np.isin(self.label, labels)] = labels[0]
+            self.passed.append((node, held[0]))
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        own = np.flatnonzero(self.label != np.arange(len(self.nodes)))
+        node, held = np.array(self.passed, dtype=np.int64).reshape(-1, 2).T
+        return np.concatenate([self.nodes[own], node]), self.nodes[np.concatenate([self.label[own], self.label[held]])]
+
+
+def resembling(dealt: DataFrame, heads: DataFrame, least: int) -> DataFrame:
+    """u, v: nodes that meet in a bucket, have compatible sizes and registers that don't rule a link out are tied together; a
+    node comes with one node of its family, not with every pair."""
+    rows = dealt.join(heads, "node").repartition("band", "block", "split").sortWithinPartitions("band", "block", "split", "side")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
-        for g in groups(batches, ["band", "b1", "b2"]):
-            node, c, n, block = (g.column(k).to_numpy() for k in ("node", "c", "n_shingles", "block"))
-            order = np.argsort(node)
-            regs = np.frombuffer(b"".join(g.column("regs").to_pylist()), np.uint16).reshape(len(node), REGISTERS)[order]
-            node, c, n, block = node[order], c[order], n[order], block[order]
-            apart = g.column("b1")[0].as_py() != g.column("b2")[0].as_py()
-            label = np.arange(len(node))
-            i_found, j_found = [], []
-            for i in range(len(node) - 1):
-                j = i + 1 + np.flatnonzero((c[i + 1 :] != c[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= least * np.maximum(n[i], n[i + 1 :])) & ((not apart) | (block[i + 1 :] != block[i])))
-                j = j[label[j] != label[i]]
+        for g in groups(batches, ["band", "block", "split"]):
+            node, c, n, side, odd = (g.column(k).to_numpy() for k in ("node", "c", "n_shingles", "side", "odd"))
+            regs = np.frombuffer(b"".join(g.column("regs").to_pylist()), np.uint16).reshape(len(node), REGISTERS)
+            held = int(np.searchsorted(side, 1))
+            if held == 0:
+                continue
+            found = Families(node[:held])
+            own, size, parts, own_regs = node[:held], n[:held], c[:held], regs[:held]
+            for k in range(held, len(node)):
+                # Two odd nodes meet twice: once is enough.
+                fits = (parts != c[k]) & (100 * np.minimum(size, n[k]) >= least * np.maximum(size, n[k]))
+                j = np.flatnonzero(fits & (own < node[k]) if odd[k] else fits)
                 if len(j):
-                    j = j[estimate(regs[i], regs[j], int(n[i]), int(n[i])) >= least / 100 - MARGIN]
-                    if len(j):
-                        i_found.append(np.full(len(j), i))
-                        j_found.append(j)
-                        label[np.isin(label, label[j])] = label[i]
-            if i_found:
-                label = least_labels(len(node), np.concatenate(i_found), np.concatenate(j_found))
-                tied = np.flatnonzero(label != np.arange(len(node)))
-                yield batch(schema, node[tied], node[label[tied]])
-
-    return rows.mapInArrow(run, "u long, v long").distinct()
-
-
-def compared(families: DataFrame, texts_of: DataFrame, width: int, least: int) -> DataFrame:
-    """u, v: links between all texts of each family (node, family), compared on full sets block by block; a node comes with
-    the least node that its block links it to."""
-    rows = blocks(families, ["family"], BLOCK).join(texts_of, "node").repartition("family", "b1", "b2").sortWithinPartitions("family", "b1", "b2").select("family", "b1", "b2", "node", "block", "z")
+                    found.tie(node[k], j[estimate(regs[k], own_regs[j], int(n[k]), int(n[k])) >= least / 100 - MARGIN])
+            if found.passed:
+                yield batch(schema, *found.rows())
+
+    return rows.select("band", "block", "split", "side", "node", "c", "odd", "n_shingles", "regs").mapInArrow(run, "u long, v long").filter("u <> v").distinct()
+
+
+class Index:
+    """Shingles of held sets, to count what another set shares with each."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets])
+        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.size)
+        order = np.argsort(every, kind="stable")
+        self.owner = owner[order]
+        self.values, self.at = np.unique(every[order], return_index=True)
+        self.at = np.append(self.at, len(every))
+
+    def shared(self, s: np.ndarray) -> np.ndarray:
+        k = np.minimum(np.searchsorted(self.values, s), len(self.values) - 1)
+        k = k[self.values[k] == s]
+        start, count = self.at[k], self.at[k + 1] - self.at[k]
+        where = np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(k) else np.zeros(0, np.int64)
+        return np.bincount(self.owner[where], minlength=len(self.size))
+
+
+def compared(dealt: DataFrame, texts_of: DataFrame, width: int, least: int) -> DataFrame:
+    """u, v: links between texts that meet in a family, on full sets; a node comes with one node that it is linked to."""
+    rows = dealt.join(texts_of, "node").repartition("family", "block", "split").sortWithinPartitions("family", "block", "split", "side")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
         opener = zstandard.ZstdDecompressor()
-        for g in groups(batches, ["family", "b1", "b2"]):
-            node = g.column("node").to_numpy()
-            order = np.argsort(node)
-            packed = g.column("z").to_pylist()
-            sets = [shingles(opener.decompress(packed[k]).decode(), width) for k in order]
-            node, block = node[order], g.column("block").to_numpy()[order]
-            apart = g.column("b1")[0].as_py() != g.column("b2")[0].as_py()
-            size = np.array([len(s) for s in sets])
-            values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-            row = np.repeat(np.arange(len(sets)), size)
-            useful = count[column] > 1
-            number = np.cumsum(count > 1) - 1
-            row, column = row[useful], number[column[useful]]
-            order = np.argsort(column, kind="stable")
-            row, column = row[order], column[order]
-            both = np.zeros((len(sets), len(sets)), np.float32)
-            for at in range(0, int(number[-1]) + 1 if len(number) else 0, WIDE):
-                s, e = np.searchsorted(column, (at, at + WIDE))
-                part = np.zeros((len(sets), WIDE), np.float32)
-                part[row[s:e], column[s:e] - at] = 1
-                both += part @ part.T
-            either = size[:, None] + size[None, :] - both
-            i, j = np.nonzero(np.triu(100 * both >= least * either, 1))
-            fit = ((not apart) | (block[i] != block[j])) & (size[i] > 0)
-            label = least_labels(len(node), i[fit], j[fit])
-            linked = np.flatnonzero(label != np.arange(len(node)))
-            yield batch(schema, node[linked], node[label[linked]])
-
-    return rows.mapInArrow(run, "u long, v long").distinct()
-
-
-def candidates(buckets: DataFrame) -> DataFrame:
-    """u, v: in each bucket (band, node) the least node of each salted part with the others of the part, and the least of all
-    with those of the parts."""
-    part = buckets.withColumn("u", F.min("node").over(Window.partitionBy("band", "salt")))
-    heads = part.filter("u = node").select("band", "node").withColumn("u", F.min("node").over(Window.partitionBy("band")))
-    return part.select("u", F.col("node").alias("v")).unionAll(heads.select("u", F.col("node").alias("v"))).filter("u <> v").distinct()
+        for g in groups(batches, ["family", "block", "split"]):
+            node, c, side, odd = (g.column(k).to_numpy() for k in ("node", "c", "side", "odd"))
+            held = int(np.searchsorted(side, 1))
+            sets = (shingles(opener.decompress(z.as_py()).decode(), width) for z in g.column("z"))
+            if held == 0:
+                continue
+            index = Index([next(sets) for _ in range(held)])
+            if not len(index.values):
+                continue
+            found = Families(node[:held])
+            for k, s in zip(range(held, len(node)), sets):
+                fits = (c[:held] != c[k]) & (100 * np.minimum(index.size, len(s)) >= least * np.maximum(index.size, len(s)))
+                if odd[k]:
+                    fits &= node[:held] < node[k]
+                if len(s) and fits.any():
+                    both = index.shared(s)
+                    found.tie(node[k], np.flatnonzero(fits & (100 * both >= least * (index.size + len(s) - both))))
+            if found.passed:
+                yield batch(schema, *found.rows())
+
+    return rows.select("family", "block", "split", "side", "node", "c", "odd", "z").mapInArrow(run, "u long, v long").filter("u <> v").distinct()
 
 
 def link(docs: DataFrame, width: int = 5, least: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of documents (doc_id, text)."""
     slim = only(docs, doc_id="long", text="string")
-    sign = cut(signatures(slim, width))
-    buckets = salted(sign.select("node", F.explode("bands").alias("band")), "node")
-    pairs = cut(candidates(buckets))
-    met = pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct()
+    scratch = Scratch(docs.sparkSession)
+    sign = scratch.cut(signatures(slim, width))
     #: A class is a set, its node the set's digest.
-    classes = sign.filter("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    text_of = cut(payloads(slim).join(classes.join(met, "node", "left_semi"), "doc_id").select("node", "z"))
-    edges = cut(confirmed(pairs, text_of, width, least))
-    known = cut(components(edges))
-    heads = sign.filter(F.length("regs") > 0).select("node", "n_shingles", "regs").join(met, "node", "left_semi").dropDuplicates(["node"])
-    ties = cut(resembling(buckets.select("band", "node").join(met, "node", "left_semi").distinct(), known, heads, least))
+    classes = scratch.cut(sign.filter("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("n")))
+    total = sign.count()
+    live, pairs = stars(sign, total, scratch)
+    met = pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct()
+    text_of = scratch.cut(payloads(slim).join(classes.join(met, "node", "left_semi").select("node", "doc_id"), "doc_id").select("node", "z"))
+    edges = scratch.cut(confirmed(pairs, text_of, width, least))
+    known = scratch.cut(components(edges, scratch))
+    named = scratch.cut(live.select("band", "node").distinct().join(known, "node", "left").select("band", "node", F.coalesce("component", "node").alias("c")))
+    dealt = scratch.cut(meetings(named, "band", HELD, PASSING, total * BANDS))
+    heads = sign.filter(F.length("regs") > 0).select("node", "n_shingles", "regs").join(dealt.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    ties = scratch.cut(resembling(dealt, heads, least))
     if not ties.isEmpty():
-        more = cut(compared(components(ties).withColumnRenamed("component", "family"), text_of, width, least))
-        a, b = known.toDF("u", "a"), known.toDF("v", "b")
-        if not more.join(a, "u", "left").join(b, "v", "left").filter("a is null or b is null or a <> b").isEmpty():
-            known = cut(components(edges.unionAll(more)))
-    #: Classes of a component, and copies of a class, can be a large share of all rows: those joins are salted.
-    named = salted(classes.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "node")
-    named = named.join(repeated(named.groupBy("component").agg(F.min("doc_id").alias("found"))), ["component", "salt"]).select("node", "found")
-    out = salted(sign.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")).alias("node")), "doc_id").join(repeated(named), ["node", "salt"], "left")
+        families = components(ties, scratch).join(known.withColumnRenamed("component", "c"), "node", "left").select(F.col("component").alias("family"), "node", F.coalesce("c", "node").alias("c"))
+        more = scratch.cut(compared(meetings(scratch.cut(families), "family", HELD_TEXTS, PASSING_TEXTS, total), text_of, width, least))
+        if not more.isEmpty():
+            known = scratch.cut(components(edges.unionAll(more), scratch))
+    found = scratch.cut(classes.join(known, "node").select("node", "doc_id", "component"))
+    least_of = scratch.cut(found.groupBy("component").agg(F.min("doc_id").alias("found"), F.count(F.lit(1)).alias("n")))
+    renamed = grouped(found.select("node", "component"), least_of, ["component"], total).select("node", "found")
+    names = scratch.cut(classes.select("node", "doc_id", "n").join(renamed, "node", "left").select("node", "n", F.coalesce("found", "doc_id").alias("found")))
+    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node"))
+    out = grouped(sign.select("doc_id", "n_shingles", own.alias("node")), names, ["node"], total, "left")
+    scratch.drop_all_but(sign, names)
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("found", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 

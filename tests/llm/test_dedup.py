@@ -10,6 +10,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 from fixtures import compared, duck, frame, hard_documents  # noqa: E402
 
 from parseq.llm import neardup, substrings, suffixes, vectors  # noqa: E402
+from parseq.llm.common import Scratch  # noqa: E402
 from parseq.llm.components import components  # noqa: E402
 
 
@@ -101,7 +102,8 @@ def words_of(text, width):
 @pytest.mark.parametrize("width", [4, 5])
 def test_near_same_as_brute_force(spark, width, monkeypatch):
     if width == 4:
-        monkeypatch.setattr(neardup, "BLOCK", 8)  # so that buckets and families are split into blocks
+        for name in ("STAR", "HELD", "PASSING", "HELD_TEXTS", "PASSING_TEXTS"):
+            monkeypatch.setattr(neardup, name, 5)  # so that stars, buckets and families are split
     rows = hard_documents()
     rng = random.Random(8)
     base = [f"w{rng.randint(0, 10**6)}" for _ in range(60)]
@@ -148,10 +150,26 @@ def test_hyperminhash_estimates():
 
 
 def test_components(spark):
+    scratch = Scratch(spark)
     path = [(k + 1, k) for k in range(60)] + [(200, 100), (150, 200), (7, 7)]
-    got = dict(tuple(r) for r in components(spark.createDataFrame(path, "u long, v long")).distinct().collect())
+    got = dict(tuple(r) for r in components(spark.createDataFrame(path, "u long, v long"), scratch).distinct().collect())
     assert all(got[k] == 0 for k in range(61)) and got[150] == got[200] == got[100] == 100 and len(got) == 64
-    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+    rng = random.Random(4)
+    ids = [rng.getrandbits(64) - (1 << 63) for _ in range(4000)]
+    edges = [(rng.choice(ids), rng.choice(ids)) for _ in range(3000)] + [(9000 + k, 5000) for k in range(300)] + [(5000, 17)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "u long, v long").repartition(5), scratch).collect())
+    assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    assert components(spark.createDataFrame([], "u long, v long"), scratch).count() == 0
 
 
 def test_vectors_same_as_brute_force(spark, monkeypatch):
@@ -179,6 +197,12 @@ def test_vectors_same_as_brute_force(spark, monkeypatch):
     assert (got[10].n_links, got[11].component_id, got[11].kept) == (1, 10, False)
 
 
+def test_vectors_of_one_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.01, 1.0]), (3, [1.0, 0.01])]
+    got = sorted(tuple(r) for r in vectors.link(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+
+
 def test_vectors_recall():
     rng = np.random.default_rng(5)
     for cosine, least in ((0.98, 0.999), (0.95, 0.98), (0.92, 0.9)):
