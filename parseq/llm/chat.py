@@ -1,12 +1,15 @@
 """Operator 3: chat formatting by schema fingerprints.
 
 The nested field paths of a record (or of a table's schema) are hashed; the hash selects a declarative mapping that says
-where roles and texts are. Each turn becomes ``### role: text</turn>`` and a line feed; a backslash escapes every control
+where roles and texts are: of the layouts whose paths are all there the one with most paths, in the order below. It is
+looked for once for each hash. Other fields don't matter. Each turn becomes ``### role: text</turn>`` and a line feed; a backslash escapes every control
 character inside roles and texts, so no text can imitate a turn and reading back gives exactly what went in.
 
 Defined results: null texts and roles are empty strings; turns with equal numbers are ordered by role, then text, and
 repeated rows are repeated turns; a null conversation id is one conversation of its own; null turn numbers come first;
-unknown layouts give no turns but their fingerprint; other columns are ignored. A conversation is streamed turn by turn
+a record that gives no turns gives one row with its fingerprint and a reason; contents that are lists of parts are their
+texts in order (parts without a text, and values that aren't text, as JSON), turns that aren't objects have no role; other
+columns are ignored. A conversation is streamed turn by turn
 in one task's order, never held whole, as its digest is sequential.
 """
 
@@ -48,15 +51,30 @@ def marks(layout: dict) -> list[str]:
     return [layout[k] for k in ("id", "order", "role", "text")] if "row" in layout else [p for _, p in layout["fixed"]]
 
 
-KNOWN = {p for x in LAYOUTS.values() for p in marks(x)}
+def fingerprint(paths) -> str:
+    """Hash of the nested field paths of a record or schema."""
+    return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()[:16]
 
 
-def fingerprint(paths) -> str:
-    """Hash of the field paths that some layout knows; ids, scores and other extra fields don't change it."""
-    return hashlib.sha256("\n".join(sorted(KNOWN & set(paths))).encode()).hexdigest()[:16]
+def best_layout(paths) -> tuple[str, dict | None]:
+    """Name and mapping of the layout with most marks, all of which are there (or have fields below them)."""
+    there = set(paths) | {p[:k] for p in paths for k, c in enumerate(p) if c in ".["}
+    fit = [(name, x) for name, x in LAYOUTS.items() if there.issuperset(marks(x))]
+    return max(fit, key=lambda f: len(marks(f[1]))) if fit else ("", None)
+
+
+#: Fingerprint -> (name, mapping), filled as fingerprints are met.
+BY_FINGERPRINT: dict[str, tuple[str, dict | None]] = {}
 
 
-BY_FINGERPRINT = {fingerprint(marks(x)): (name, x) for name, x in LAYOUTS.items()}
+def select(paths) -> tuple[str, dict | None]:
+    """Fingerprint and mapping for the field paths."""
+    mark = fingerprint(paths)
+    if mark not in BY_FINGERPRINT:
+        if len(BY_FINGERPRINT) >= 1 << 16:
+            BY_FINGERPRINT.clear()
+        BY_FINGERPRINT[mark] = best_layout(paths)
+    return mark, BY_FINGERPRINT[mark][1]
 
 
 def paths_of(value, at: str = "") -> Iterator[str]:
@@ -81,35 +99,48 @@ def paths_of_schema(kind: T.DataType, at: str = "") -> Iterator[str]:
         yield at
 
 
-def canonical(record: str | None) -> tuple[str, list[tuple[str, str]]]:
-    """Fingerprint and canonical turns of one JSON record."""
+def plain(value) -> str:
+    """Text of a value: parts of a list in order, anything but text as JSON, null as nothing."""
+    if value is None or isinstance(value, str):
+        return value or ""
+    if isinstance(value, list):
+        return "".join(plain(x["text"]) if isinstance(x, dict) and "text" in x else plain(x) for x in value)
+    return json.dumps(value, ensure_ascii=False)
+
+
+def canonical(record: str | None) -> tuple[str, list[tuple[str, str]], str | None]:
+    """Fingerprint and canonical turns of one JSON record, or the reason why there are none."""
     try:
         value = json.loads(record or "null")
     except ValueError:
         value = None
     if not isinstance(value, dict):
-        return fingerprint([]), []
-    mark = fingerprint(paths_of(value))
-    _, layout = BY_FINGERPRINT.get(mark, ("", None))
+        return fingerprint([]), [], "not a JSON object"
+    mark, layout = select(list(paths_of(value)))
     if not layout or "row" in layout:
-        return mark, []
-    text = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+        return mark, [], "a single turn" if layout else "no known layout"
     if "turns" in layout:
-        items = [x for x in value[layout["turns"]] if isinstance(x, dict)]
-        return mark, [(ROLES.get(r := text(x.get(layout["role"])), r), text(x.get(layout["text"]))) for x in items]
-    return mark, [(role, t) for role, p in layout["fixed"] if (t := text(value.get(p))) or p != "input"]
+        items = [x if isinstance(x, dict) else {layout["text"]: x} for x in value[layout["turns"]]]
+        turns = [(ROLES.get(r := plain(x.get(layout["role"])), r), plain(x.get(layout["text"]))) for x in items]
+    else:
+        turns = [(role, t) for role, p in layout["fixed"] if (t := plain(value.get(p))) or p != "input"]
+    return mark, turns, None
 
 
 def canonical_turns(records: DataFrame, id_column: str, json_column: str) -> DataFrame:
-    """conv_id, fingerprint, turn, role, text of records that hold JSON in any of the layouts."""
-    schema = pa.schema([("conv_id", pa.int64()), ("fingerprint", pa.string()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])
+    """conv_id, fingerprint, turn, role, text, reason of records that hold JSON in any of the layouts; a record without turns is
+    one row with a reason."""
+    schema = pa.schema([("conv_id", pa.int64()), ("fingerprint", pa.string()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("reason", pa.string())])
 
     def run(batches):
         for b in batches:
-            rows = [(i, mark, k, r, t) for i, j in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for mark, turns in [canonical(j)] for k, (r, t) in enumerate(turns or [(None, None)])]
-            yield batch(schema, *(zip(*rows) if rows else [()] * 5))
+            rows = []
+            for i, j in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                mark, turns, reason = canonical(j)
+                rows += [(i, mark, k, r, t, None) for k, (r, t) in enumerate(turns)] or [(i, mark, None, None, None, reason)]
+            yield batch(schema, *(zip(*rows) if rows else [()] * 6))
 
-    return only(records, **{id_column: "long", json_column: "string"}).mapInArrow(run, "conv_id long, fingerprint string, turn long, role string, text string")
+    return only(records, **{id_column: "long", json_column: "string"}).mapInArrow(run, "conv_id long, fingerprint string, turn long, role string, text string, reason string")
 
 
 def escaped(column, extra: str = "") -> F.Column:
@@ -123,7 +154,9 @@ def unescaped(text: str) -> str:
 def format_rows(turns: DataFrame) -> DataFrame:
     """conv_id, turn, role, text of a row per turn -> conv_id, turn, piece, and the loss mask of the piece as [loss_start,
     loss_end) in characters, empty but for the assistant's text. A conversation's output is its pieces in order."""
-    _, layout = BY_FINGERPRINT.get(fingerprint(paths_of_schema(turns.schema)), ("", None))
+    paths = set(paths_of_schema(turns.schema))
+    # A table's other columns may look like another layout: of a table, the one with a row per turn counts first.
+    _, layout = select([p for p in marks(LAYOUTS["rows"]) if p in paths] if paths.issuperset(marks(LAYOUTS["rows"])) else list(paths))
     if not layout or "row" not in layout:
         raise ValueError(f"no layout with a row per turn: {turns.columns}")
     at = only(turns, **{layout["id"]: "long", layout["order"]: "long", layout["role"]: "string", layout["text"]: "string"}).toDF("conv_id", "turn", "role", "text")

@@ -5,14 +5,16 @@ share is filled and what is left goes to the other siblings by weight (water fil
 use reaches the siblings of its ancestor. A leaf takes whole epochs and then a prefix of one more epoch in an order that
 the seed and the epoch's number fix.
 
-Everything is DataFrame operations: token counts are summed before any shuffle, the tree's windows see one row for each
-node, and the prefix is found in two steps. Documents are dealt to 4,096 slices of their hash order; sums of slices say
-which slice the prefix ends in, so only that slice of a leaf needs an ordered window, however large the leaf.
+Everything is DataFrame operations. Tokens are counted once, into a narrow table of ids, leaves and counts. The tree's
+windows see one row for each node. A leaf's prefix ends at a hash: sums over 4,096 slices of the hash order say in which slice,
+sums over 4,096 slices of that one in which part of it, and only the documents there need an ordered window, so of a
+leaf of a billion documents some hundred. What then goes to the documents is one row for each leaf, by broadcast if there
+are at most ``SMALL`` leaves, and texts stay where they are.
 
 Defined results: null texts have no tokens and are never chosen; null languages and sources are a group of their own
 ('?'); nodes without a weight get weight 1, weights are integers above 0; repeated rows count each and are chosen
-together, ties of the hash are ordered by id; integer shares are rounded down, so up to one token per node is left over;
-an empty table gives an empty result. Other columns are carried along by :func:`mix`.
+together, and so do all rows without an id; integer shares are rounded down, so up to one token per node is left over; an
+empty table gives an empty result. :func:`mix` carries all columns along, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,12 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, table
 
 DOMAIN = "CASE WHEN source = 'src0' THEN 'web' WHEN length(source) = 4 THEN 'books' ELSE 'forum' END"
 DOMAINS = {"web": 50, "books": 30, "forum": 20}
 LANGS = {"en": 60, "de": 15, "fr": 15, "es": 10}
-SEED, HEX = 17, 3
+SEED, HEX, SMALL = 17, 3, 100_000
 
 
 def tokens() -> Column:
@@ -74,44 +76,82 @@ def budgets(leaves: DataFrame, share: tuple[int, int], max_epochs: int, domains:
 LEAF = ["domain", "lang", "source"]
 
 
+def leaf(domain: str) -> list[Column]:
+    return [F.coalesce(F.expr(domain), F.lit("?")).alias("domain"), F.coalesce("lang", F.lit("?")).alias("lang"), F.coalesce("source", F.lit("?")).alias("source")]
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """A table of leaves, to be sent to all tasks if it is small."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def _ends(rows: DataFrame, piece: Column) -> DataFrame:
+    """rows (leaf, h, n, rest, before) -> leaf, end, rest, before: the piece of the hash order in which a leaf's prefix ends, and
+    the tokens before it."""
+    sums = rows.groupBy(*LEAF, piece.alias("end")).agg(F.sum("n").alias("n"), F.max("rest").alias("rest"), F.max("before").alias("start"))
+    upto = F.sum("n").over(Window.partitionBy(*LEAF).orderBy("end").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return sums.withColumn("before", F.col("start") + upto - F.col("n")).filter("before <= rest and before + n > rest").select(*LEAF, "end", "rest", "before")
+
+
+def cutoffs(counts: DataFrame, share: tuple[int, int], max_epochs: int, domains: dict, langs: dict, sources: dict, seed: int, scratch: Scratch) -> DataFrame:
+    """counts (doc_id, leaf, n_tokens) -> leaf, full, last: whole epochs, and the hash up to which one more epoch goes."""
+    plan = scratch.cut(budgets(counts.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens")), share, max_epochs, domains, langs, sources).select(*LEAF, F.expr("budget div tokens").alias("full"), F.expr("budget % tokens").alias("rest")))
+    rows = counts.join(bounded(plan), LEAF).select(*LEAF, order_key(F.col("full"), seed).alias("h"), F.col("n_tokens").alias("n"), "rest", F.lit(0).cast("decimal(38,0)").alias("before"))
+    for level in range(2):
+        ends = bounded(scratch.cut(_ends(rows, F.substring("h", 1, HEX * (level + 1)))))
+        rows = rows.drop("before", "rest", "end").join(ends, LEAF).filter(F.col("h").startswith(F.col("end")))
+    peers = rows.groupBy(*LEAF, "h").agg(F.sum("n").alias("n"), F.max("rest").alias("rest"), F.max("before").alias("before"), F.max("end").alias("end"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy(*LEAF).orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # Hashes before the last piece are smaller than its own first digits.
+    last = peers.withColumn("upto", upto).groupBy(*LEAF).agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("h")).otherwise(F.col("end"))).alias("last"))
+    return scratch.cut(plan.join(last, LEAF).select(*LEAF, "full", "last"))
+
+
+def _planned(docs: DataFrame, share, max_epochs, domain, domains, langs, sources, seed) -> tuple[DataFrame, DataFrame]:
+    scratch = Scratch(docs.sparkSession)
+    counts = scratch.cut(docs.select("doc_id", *leaf(domain), tokens().alias("n_tokens")).filter("n_tokens > 0"))
+    found = cutoffs(counts, share, max_epochs, domains or DOMAINS, langs or LANGS, sources or {}, seed, scratch)
+    scratch.drop_all_but(counts, found)
+    return counts, bounded(found)
+
+
+def _epochs(seed: int) -> Column:
+    """One value for each epoch that takes the row."""
+    times = F.col("full") + F.when(order_key(F.col("full"), seed) <= F.col("last"), 1).otherwise(0)
+    return F.explode(F.expr("sequence(0L, times - 1)")).alias("epoch"), times.cast("long").alias("times")
+
+
+def picks(docs: DataFrame, share: tuple[int, int] = (6, 10), max_epochs: int = 2, domain: str = DOMAIN, domains: dict | None = None, langs: dict | None = None, sources: dict | None = None, seed: int = SEED) -> DataFrame:
+    """doc_id, domain, lang, source, n_tokens, epoch of each chosen row, once for each epoch that takes it."""
+    counts, found = _planned(docs, share, max_epochs, domain, domains, langs, sources, seed)
+    epoch, times = _epochs(seed)
+    return counts.join(found, LEAF).select("doc_id", *LEAF, "n_tokens", times).filter("times > 0").select("doc_id", *LEAF, "n_tokens", epoch)
+
+
 def mix(docs: DataFrame, share: tuple[int, int] = (6, 10), max_epochs: int = 2, domain: str = DOMAIN, domains: dict | None = None, langs: dict | None = None, sources: dict | None = None, seed: int = SEED) -> DataFrame:
-    """The chosen rows with all columns of ``docs``, and for each ``x`` = (domain, lang, source, n_tokens, epoch). A row
-    comes once for each epoch that takes it."""
-    named = docs.withColumn("x__", F.struct(F.coalesce(F.expr(domain), F.lit("?")).alias("domain"), F.coalesce("lang", F.lit("?")).alias("lang"), F.coalesce("source", F.lit("?")).alias("source"), tokens().alias("n_tokens")))
-    named = named.filter("x__.n_tokens > 0")
-    bare = named.select("doc_id", "x__.*")
-    plan = budgets(bare.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens")), share, max_epochs, domains or DOMAINS, langs or LANGS, sources or {})
-    plan = plan.withColumns({"full": F.expr("budget div tokens"), "rest": F.expr("budget % tokens")})
-    dealt = bare.join(plan.select(*LEAF, "full", "rest"), LEAF).withColumn("slice", F.substring(order_key(F.col("full"), seed), 1, HEX))
-    slices = dealt.groupBy(*LEAF, "slice").agg(F.sum("n_tokens").alias("n"), F.max("full").alias("full"), F.max("rest").alias("rest"))
-    slices = slices.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(*LEAF).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ends = slices.filter("before <= rest and before + n > rest").select(*LEAF, "full", "rest", F.col("slice").alias("end"), "before")
-    leaf = [F.col(f"x__.{c}").eqNullSafe(F.col(f"e.{c}")) for c in LEAF]
-    out = named.join(ends.alias("e"), leaf).withColumn("h__", order_key(F.col("e.full"), seed)).withColumn("s__", F.substring("h__", 1, HEX))
-    keep = [docs[c] for c in docs.columns]
-    epoch = lambda c: F.struct("x__.domain", "x__.lang", "x__.source", "x__.n_tokens", c.cast("long").alias("epoch")).alias("x")
-    sure = out.withColumn("to__", F.col("e.full") - F.when(F.col("s__") < F.col("e.end"), 0).otherwise(1)).filter("to__ >= 0")
-    sure = sure.withColumn("epoch__", F.explode(F.sequence(F.lit(0), F.col("to__").cast("int")))).select(*keep, epoch(F.col("epoch__")))
-    last = out.filter(F.col("s__") == F.col("e.end"))
-    run = Window.partitionBy("e.domain", "e.lang", "e.source").orderBy("h__", "doc_id")
-    last = last.withColumn("upto__", F.col("e.before") + F.sum("x__.n_tokens").over(run)).filter(F.col("upto__") <= F.col("e.rest"))
-    return sure.unionByName(last.select(*keep, epoch(F.col("e.full"))))
+    """The chosen rows with all columns of ``docs``, and for each ``x`` = (domain, lang, source, n_tokens, epoch), which gets
+    underscores at its end as long as ``docs`` has such a name. A row comes once for each epoch that takes it."""
+    _, found = _planned(docs, share, max_epochs, domain, domains, langs, sources, seed)
+    name = "x"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    worded = F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
+    whole = docs.filter(worded).select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id"), *leaf(domain), tokens().alias("n_tokens"))
+    epoch, times = _epochs(seed)
+    out = whole.join(found, LEAF).select("row", *LEAF, "n_tokens", times).filter("times > 0").select("row", *LEAF, "n_tokens", epoch)
+    return out.select("row.*", F.struct(*LEAF, "n_tokens", "epoch").alias(name))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return mix(docs).select("doc_id", "x.domain", "x.lang", "x.source", "x.n_tokens", "x.epoch")
+    return picks(table(spark, sf_dir, "documents"))
 
 
-def _fill_sql(name: str, source: str, parent: str, key: str, budget: str) -> str:
-    over = f"PARTITION BY {parent} ORDER BY cap / w, {key}"
-    whole = f"PARTITION BY {parent}"
+def _fill_sql(name: str, source: str, parent: str, budget: str) -> str:
+    """Water filling without an order: a child is full if its parent's budget reaches the level that fills it, where every
+    sibling has taken its own cap or its weight's part of that level."""
     return f"""
-{name}_a AS (SELECT *, {budget} - coalesce(sum(cap) OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft,
-  sum(w) OVER ({over} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws, row_number() OVER ({over}) AS k FROM {source}),
-{name}_b AS (SELECT *, min(CASE WHEN cap * ws > lft * w THEN k END) OVER ({whole}) AS f FROM {name}_a),
-{name}_c AS (SELECT *, max(CASE WHEN k = f THEN lft END) OVER ({whole}) AS r, max(CASE WHEN k = f THEN ws END) OVER ({whole}) AS rw FROM {name}_b),
-{name} AS (SELECT *, CASE WHEN f IS NULL OR k < f THEN cap ELSE r * w // rw END AS share FROM {name}_c)"""
+{name}_full AS (SELECT a.*, (SELECT sum(least(b.cap * a.w, b.w * a.cap)) FROM {source} b WHERE b.{parent} = a.{parent}) <= {budget} * a.w AS filled FROM {source} a),
+{name} AS (SELECT *, CASE WHEN filled THEN cap ELSE ({budget} - coalesce(sum(cap) FILTER (filled) OVER (PARTITION BY {parent}), 0)) * w // sum(w) FILTER (NOT filled) OVER (PARTITION BY {parent}) END AS share FROM {name}_full)"""
 
 
 def _case(column: str, weights: dict) -> str:
@@ -122,16 +162,15 @@ ORACLE = rf"""
 WITH d AS (SELECT doc_id, coalesce({DOMAIN}, '?') AS domain, coalesce(lang, '?') AS lang, coalesce(source, '?') AS source,
   len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> ''))::BIGINT AS n_tokens FROM documents),
 t AS (SELECT * FROM d WHERE n_tokens > 0),
-leaf AS (SELECT domain, lang, source, sum(n_tokens) AS tokens, sum(n_tokens) * 2 AS cap FROM t GROUP BY ALL),
-bl AS (SELECT domain, lang, sum(cap) AS cap, sum(tokens) AS tokens FROM leaf GROUP BY ALL),
-bd AS (SELECT domain, sum(cap) AS cap, sum(sum(tokens)) OVER () * 6 // 10 AS total, {_case('domain', DOMAINS)} AS w FROM bl GROUP BY domain),
-{_fill_sql('fd', 'bd', '1', 'domain', 'total')},
-bl2 AS (SELECT bl.domain, bl.lang, bl.cap, fd.share AS b, {_case('bl.lang', LANGS)} AS w FROM bl JOIN fd USING (domain)),
-{_fill_sql('fl', 'bl2', 'domain', 'lang', 'b')},
-lf2 AS (SELECT leaf.domain, leaf.lang, leaf.source, leaf.tokens, leaf.cap, fl.share AS b, 1 AS w FROM leaf JOIN fl ON leaf.domain = fl.domain AND leaf.lang = fl.lang),
-{_fill_sql('fs', 'lf2', 'domain, lang', 'source', 'b')},
+leaf AS (SELECT domain, lang, source, domain || '/' || lang AS parent, sum(n_tokens) AS tokens, sum(n_tokens) * 2 AS cap FROM t GROUP BY ALL),
+bd AS (SELECT domain, 1 AS root, sum(cap) AS cap, sum(sum(tokens)) OVER () * 6 // 10 AS total, {_case('domain', DOMAINS)} AS w FROM leaf GROUP BY domain),
+{_fill_sql('fd', 'bd', 'root', 'total')},
+bl AS (SELECT leaf.domain, lang, sum(leaf.cap) AS cap, any_value(fd.share) AS b_share, {_case('lang', LANGS)} AS w FROM leaf JOIN fd USING (domain) GROUP BY leaf.domain, lang),
+{_fill_sql('fl', 'bl', 'domain', 'b_share')},
+bs AS (SELECT leaf.domain, leaf.lang, leaf.source, parent, leaf.tokens, leaf.cap, fl.share AS b_share, 1 AS w FROM leaf JOIN fl ON leaf.domain = fl.domain AND leaf.lang = fl.lang),
+{_fill_sql('fs', 'bs', 'parent', 'b_share')},
 plan AS (SELECT domain, lang, source, share // tokens AS fll, share % tokens AS rest FROM fs),
-run AS (SELECT t.*, fll, rest, sum(n_tokens) OVER (PARTITION BY t.domain, t.lang, t.source ORDER BY md5('{SEED}/' || fll::BIGINT || '/' || coalesce(doc_id::VARCHAR, '?')), doc_id ROWS UNBOUNDED PRECEDING) AS upto
+run AS (SELECT t.*, fll, rest, sum(n_tokens) OVER (PARTITION BY t.domain, t.lang, t.source ORDER BY md5('{SEED}/' || fll::BIGINT || '/' || coalesce(doc_id::VARCHAR, '?'))) AS upto
   FROM t JOIN plan USING (domain, lang, source))
 SELECT doc_id, domain, lang, source, n_tokens, e::BIGINT AS epoch FROM (
   SELECT *, unnest(range(0, (fll + CASE WHEN upto <= rest THEN 1 ELSE 0 END)::BIGINT)) AS e FROM run)

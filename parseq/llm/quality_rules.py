@@ -3,10 +3,14 @@
 Base rules count words, symbols, repeated lines and repeated three-word windows. For what passes them, each line gets
 features; a two-state linear-chain CRF, decoded with Viterbi, marks it as content or boilerplate, and a text stays when
 enough of its words are in content lines. The CRF is trained here by maximum conditional likelihood (exact forward and
-backward sums) on the lines of a bounded sample of documents with a quality label, each line labelled as its document.
+backward sums) on the lines of a bounded sample of documents with a quality label. Lines get labels of their own: features
+give each line log-odds of standing in a good or a poor document, its document's label adds or takes ``TRUST``, and the
+sign is the line's label (blank lines: that of the line before). So a poor text's decent lines count as content and a good
+text's junk as boilerplate, and the CRF sees both states, and moves between them, within a text.
 
 Parameters: ``sample`` bounds the labelled documents for training (chosen by hash, not by order); ``least_share`` is the
-share of words that must be in content lines. Without labels the CRF has no say and the base rules decide alone.
+share of words that must be in content lines. Without labels the CRF has no say and the base rules decide alone; an id
+with several labels counts as poor if one of them says so.
 
 Defined results: null and empty texts have no words and fail the base rules; repeated rows are judged alike; null ids stay
 null; whole texts are read; other columns are left out. No shuffle: rows are judged where they are read.
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import WHITESPACE, batch, only, table, texts
 
 SYMBOLS = "#*$%&|<>"
-SAMPLE, LEAST_SHARE = 1500, 0.5
+SAMPLE, LEAST_SHARE, TRUST = 1500, 0.5, 1.0
 KINDS = 7  # upper, lower, symbol, digit, white, other ASCII punctuation, the rest
 
 
@@ -120,13 +124,13 @@ class Crf:
             out.append(state)
         return np.array(out[::-1][: len(score)], dtype=np.int64)
 
-    def fit(self, sequences: list[tuple[np.ndarray, int]], steps: int = 60, rate: float = 0.15, shrink: float = 1e-3) -> Crf:
-        """Gradient ascent (Adam) on the mean conditional log-likelihood; every line of a sequence has its label."""
+    def fit(self, sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 60, rate: float = 0.15, shrink: float = 1e-3) -> Crf:
+        """Gradient ascent (Adam) on the mean conditional log-likelihood of lines' features with a label for each line."""
         total = sum(len(x) for x, _ in sequences)
         seen = np.zeros(len(self.weights)), np.zeros((2, 2))
-        for x, label in sequences:
-            seen[0][:] += label * x.sum(0)
-            seen[1][label, label] += len(x) - 1
+        for x, labels in sequences:
+            seen[0][:] += labels @ x
+            np.add.at(seen[1], (labels[:-1], labels[1:]), 1)
         m = v = np.zeros(len(self.weights) + 4)
         for t in range(1, steps + 1):
             gw, gm = seen[0].copy(), seen[1].copy()
@@ -166,9 +170,29 @@ class Crf:
         return np.array(after), np.array(pairs).reshape(2, 2)
 
 
+def line_labels(documents: list[tuple[np.ndarray, int]], trust: float = TRUST) -> list[np.ndarray]:
+    """A label for each line of documents (line features, whether it is good)."""
+    seen, lines = np.ones((2, len(FEATURES))), np.full(2, 2.0)
+    for x, good in documents:
+        worded = x[x[:, 1] == 0]
+        seen[good] += worded.sum(0)
+        lines[good] += len(worded)
+    p = seen / lines[:, None]
+    p[:, :2] = 0.5  # that a line is there, and not blank, says nothing
+    there, missing = np.log(p[1] / p[0]), np.log((1 - np.minimum(p[1], 1 - 1e-9)) / (1 - np.minimum(p[0], 1 - 1e-9)))
+    out = []
+    for x, good in documents:
+        label = (x @ there + (1 - x) @ missing + (trust if good else -trust) > 0).astype(np.int64)
+        blank = x[:, 1] > 0
+        before = np.maximum.accumulate(np.where(blank, -1, np.arange(len(x))))
+        out.append(np.where(before < 0, good, label[before]))
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Crf | None:
     """A CRF from at most ``sample`` labelled documents; None if there are none of either kind."""
-    chosen = only(labels, doc_id="long", quality="int").filter("doc_id is not null and quality is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    own = only(labels, doc_id="long", quality="int").filter("doc_id is not null and quality is not null")
+    chosen = own.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     joined = only(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id").select("quality", "text")
     schema = pa.schema([("quality", pa.int32()), ("x", pa.binary())])
 
@@ -180,7 +204,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Crf | Non
     found = [(np.frombuffer(r.x, np.uint8).reshape(-1, len(FEATURES)).astype(float), int(r.quality > 0)) for r in rows]
     if len({q for _, q in found}) < 2:
         return None
-    return Crf().fit(sorted(found, key=lambda s: (s[1], len(s[0]), s[0].tobytes())))
+    found.sort(key=lambda s: (s[1], len(s[0]), s[0].tobytes()))
+    return Crf().fit([(x, y) for (x, _), y in zip(found, line_labels(found))])
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

@@ -4,14 +4,17 @@ Each token (a lower-cased word) has a log-odds of being written in toxic against
 prior: the counts of the whole corpus, scaled to ``PRIOR`` tokens. Words are hashed to a fixed number of bins, and so are
 their first four letters; the one of the two whose counts are further from chance speaks for the token, and log-odds
 of counts near chance are shrunk. A linear scan (Ruzzo and Tompa) finds every maximal segment of positive score. A segment's
-score S becomes an E-value K n exp(-lambda S), with lambda from the scores of clean tokens (Karlin and Altschul); the best
-normalised score and the number of significant segments of a text give its probability by a logistic fit.
+score S becomes an E-value K n exp(-lambda S): lambda comes from the scores of clean tokens (Karlin and Altschul), K from
+the mean of the best scores of clean texts, which follow an extreme-value distribution. The best normalised score and the
+number of significant segments of a text give its probability by a logistic fit.
 
-Parameters: ``sample`` bounds the labelled documents used for fitting (chosen by hash); the counts of the prior cover
-every document. Only three fixed-size tables of 2 x ``BINS`` counts reach the driver, and one of weights is sent back.
+Parameters: ``sample`` bounds the labelled ids used for fitting (chosen by hash); the counts of the prior cover every
+document. What reaches the driver is three fixed-size tables of 2 x ``BINS`` counts, a histogram for each task, and three
+numbers for each labelled text; one table of weights is sent back.
 
-Defined results: null and empty texts have no segments and get the score of a text without any; rows without labels of
-both kinds to learn from score 0; repeated rows score alike; whole texts are read; other columns are left out.
+Defined results: null and empty texts have no segments and get the score of a text without any; without labels of both
+kinds to learn from all scores are 0; an id with several labels is toxic if one of them says so; repeated rows score
+alike; whole texts are read, however long; other columns are left out.
 """
 
 from __future__ import annotations
@@ -25,10 +28,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cache, batch, only, table, texts
+from .common import Cache, Scratch, batch, only, table, texts
 
 BITS = 18
 BINS, BLOCKS, PRIOR, SAMPLE, COST, CLIP, THRESHOLD = 1 << BITS, 64, 2000.0, 12000, 0.7, 6.0, 0.7
+#: Nats above chance from which a segment counts as significant (an E-value of 0.05).
+SIGNIFICANT = 3.0
 TOKEN = re.compile(r"\w+")
 
 
@@ -51,7 +56,7 @@ def held_out(doc_id: Column) -> Column:
 
 def sampled(labels: DataFrame, sample: int) -> DataFrame:
     own = only(labels, doc_id="long", toxic="int").filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id")))
-    return own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    return own.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
 
 def counted(docs: DataFrame, chosen: DataFrame) -> np.ndarray:
@@ -128,38 +133,47 @@ class Model:
         """Score in nats above what the best of n clean tokens would reach by chance."""
         return self.rate * s - np.log(max(1, n) * self.size)
 
-    def features(self, c: np.ndarray) -> np.ndarray:
+    def normals(self, c: np.ndarray) -> tuple[list[tuple[int, int, float]], np.ndarray]:
+        """The segments of a text and their normalised scores."""
         found = segments(self.scores(c))
-        if not found:
-            return np.array([0.0, 0.0])
-        best = self.normal(np.array([s for *_, s in found]), len(c))
-        return np.array([np.clip(best.max(), 0, 40) / 10, np.log1p((best > 3).sum())])
+        return found, self.normal(np.array([s for *_, s in found]), len(c))
 
-    def probability(self, c: np.ndarray) -> float:
-        x = self.features(c)
-        return float(1 / (1 + np.exp(-(self.curve[0] + self.curve[1:] @ x))))
+    @staticmethod
+    def features(normals: np.ndarray) -> tuple[float, float]:
+        if not len(normals):
+            return 0.0, 0.0
+        return float(np.clip(normals.max(), 0, 40) / 10), float(np.log1p((normals > SIGNIFICANT).sum()))
+
+    def probability(self, normals: np.ndarray) -> float:
+        return float(1 / (1 + np.exp(-(self.curve[0] + self.curve[1:] @ self.features(normals)))))
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments [start, end) with their scores, in linear time."""
+    """All maximal scoring segments [start, end) with their scores, in linear time: each candidate remembers the nearest one
+    before it with a smaller sum on its left, so a search jumps over candidates that no later search can want."""
     up = np.flatnonzero(scores > 0)
     if not len(up):
         return []
     total = np.concatenate([[0.0], np.cumsum(scores)])
-    found: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum after
-    for i in up.tolist():
-        s, e, left, right = i, i + 1, total[i], total[i + 1]
+    starts, ends, lefts, rights, links = [], [], [], [], []
+    for i, left, right in zip(up.tolist(), total[up].tolist(), total[up + 1].tolist()):
+        start, j = i, len(lefts) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= left:
-                # Its left sum is no smaller: neither it nor what it covers can be the partner of a later segment.
-                j -= 1
-            if j < 0 or found[j][3] >= right:
-                found.append((s, e, left, right))
+            while j >= 0 and lefts[j] >= left:
+                j = links[j]
+            if j < 0 or rights[j] >= right:
                 break
-            s, left = found[j][0], found[j][2]
-            del found[j:]
-    return [(s, e, b - a) for s, e, a, b in found]
+            # The candidate grows back to j's start; what lies between is part of it.
+            start, left, after = starts[j], lefts[j], links[j]
+            for x in (starts, ends, lefts, rights, links):
+                del x[j:]
+            j = after
+        starts.append(start)
+        ends.append(i + 1)
+        lefts.append(left)
+        rights.append(right)
+        links.append(j)
+    return [(s, e, b - a) for s, e, a, b in zip(starts, ends, lefts, rights)]
 
 
 def solve_rate(values: np.ndarray, weights: np.ndarray) -> float:
@@ -186,6 +200,12 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 40, shrink: float = 1e-2
     return w
 
 
+def size_of(best: np.ndarray, n: np.ndarray, rate: float) -> float:
+    """K from the best scores of clean texts of n tokens: rate * best - ln n has the mean ln K + Euler's constant."""
+    there = best > 0
+    return float(np.exp(np.clip((rate * best[there] - np.log(n[there])).mean() - np.euler_gamma, -10, 3))) if there.any() else 0.1
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     slim = only(docs, doc_id="long", text="string")
     chosen = sampled(labels, sample)
@@ -193,29 +213,37 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     if not counts[1].sum() or not counts[2].sum():
         return None
     model = Model(*log_odds(counts))
+    scratch = Scratch(docs.sparkSession)
+    labelled = scratch.cut(slim.join(F.broadcast(chosen), "doc_id").select("toxic", "text"))
     bounds = np.linspace(-CLIP - COST, CLIP, 48)
-    shared = model.table
-    schema = pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("best", pa.list_(pa.float64())), ("hist", pa.list_(pa.int64()))])
+    schema = pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("best", pa.float64()), ("hist", pa.list_(pa.int64()))])
 
-    def run(batches):
-        own = Model.__new__(Model)
-        own.table = shared
+    def first(batches):
+        hist = np.zeros(len(bounds) - 1, np.int64)
         for b in batches:
             rows = []
             for toxic, text in zip(b.column(0).to_pylist(), texts(b.column(1))):
-                s = own.scores(codes(text))
-                rows.append((toxic, len(s), [x for *_, x in segments(s)], np.histogram(s, bounds)[0].tolist() if toxic == 0 else []))
+                s = model.scores(codes(text))
+                if toxic == 0:
+                    hist += np.histogram(s, bounds)[0]
+                    rows.append((0, len(s), max((x for *_, x in segments(s)), default=0.0), None))
             yield batch(schema, *(zip(*rows) if rows else [()] * 4))
+        yield batch(schema, [None], [None], [None], [hist.tolist()])
 
-    found = slim.join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(run, "toxic int, n long, best array<double>, hist array<long>").collect()
-    hist = np.sum([r.hist for r in found if r.hist], axis=0)
-    model.rate = solve_rate((bounds[:-1] + bounds[1:]) / 2, np.asarray(hist, float))
-    x, y = [], []
-    for r in found:
-        best = model.normal(np.array(r.best), r.n) if r.best else np.array([-np.inf])
-        x.append([np.clip(best.max(), 0, 40) / 10, np.log1p((best > 3).sum())])
-        y.append(r.toxic)
-    model.curve = logistic(np.array(x), np.array(y, float))
+    found = labelled.mapInArrow(first, "toxic int, n long, best double, hist array<long>").collect()
+    model.rate = solve_rate((bounds[:-1] + bounds[1:]) / 2, np.sum([r.hist for r in found if r.hist], axis=0).astype(float))
+    clean = [(r.best, r.n) for r in found if not r.hist]
+    model.size = size_of(*np.array(sorted(clean), dtype=float).reshape(-1, 2).T, model.rate)
+
+    def second(batches):
+        for b in batches:
+            x = [model.features(model.normals(codes(t))[1]) for t in texts(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p for p, _ in x], pa.float64()), pa.array([q for _, q in x], pa.float64())], names=["toxic", "a", "b"])
+
+    rows = sorted(tuple(r) for r in labelled.mapInArrow(second, "toxic int, a double, b double").collect())
+    scratch.drop(labelled)
+    y, *x = np.array(rows).T
+    model.curve = logistic(np.stack(x, 1), y)
     return model
 
 
@@ -232,15 +260,12 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 if model is None:
                     rows.append((doc, 0.0, []))
                     continue
-                c = codes(text)
-                found, out = segments(model.scores(c)), []
-                for s, e, v in found:
-                    if (above := model.normal(v, len(c))) > 3:
-                        out.append((s, e, float(np.exp(-above))))
+                found, normals = model.normals(codes(text))
+                out = [(s, e, float(np.exp(-v))) for (s, e, _), v in zip(found, normals.tolist()) if v > SIGNIFICANT]
                 if out:
                     spans = [m.span() for m in TOKEN.finditer(text.lower())]
                     out = [{"start": spans[s][0], "end": spans[e - 1][1], "e_value": v} for s, e, v in out]
-                rows.append((doc, model.probability(c), out))
+                rows.append((doc, model.probability(normals), out))
             yield batch(schema, *(zip(*rows) if rows else [()] * 3))
 
     return only(docs, doc_id="long", text="string").mapInArrow(run, kinds)

@@ -45,11 +45,19 @@ def test_layouts(spark):
     assert all(chat.canonical(json.dumps(r))[1] == turns for r in records)
     assert len({chat.canonical(json.dumps(r))[0] for r in records}) == len(records)
     assert chat.canonical(json.dumps({"instruction": "q", "input": "more", "output": "a"}))[1] == [("user", "q"), ("user", "more"), ("assistant", "a")]
-    for odd in (None, "", "[1]", "{bad", '{"other": 1}'):
-        assert chat.canonical(odd)[1] == []
+    for odd, reason in ((None, "not a JSON object"), ("", "not a JSON object"), ("[1]", "not a JSON object"), ("{bad", "not a JSON object"), ('{"other": 1}', "no known layout"), ('{"messages": []}', "no known layout")):
+        assert chat.canonical(odd)[1:] == ([], reason)
+    both = {"messages": [{"role": "user", "content": [{"type": "text", "text": "q"}]}, {"role": "assistant", "content": "a"}], "prompt": "p"}
+    mixes = [both, {"instruction": "q", "output": "a", "prompt": "p"}, {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}], "response": "r"}, {"prompt": "q", "completion": "a", "conv_id": 1, "role": "x"}]
+    assert all(chat.canonical(json.dumps(r))[1] == turns for r in mixes)
+    parts = {"messages": [{"role": "user", "content": ["see ", {"type": "image", "url": "u"}]}, "loose"]}
+    assert chat.canonical(json.dumps(parts))[1] == [("user", 'see {"type": "image", "url": "u"}'), ("", "loose")]
     df = spark.createDataFrame([(k, json.dumps(r)) for k, r in enumerate(records)] + [(99, None)], "id long, body string")
     rows = chat.canonical_turns(df, "id", "body").collect()
     assert len(rows) == 2 * len(records) + 1
+    assert [r.reason for r in rows if r.turn is None] == ["not a JSON object"]
+    wide = spark.createDataFrame([(1, 0, "user", "t", "extra", "p")], "conv_id long, turn long, role string, text string, input string, prompt string")
+    assert chat.format_rows(wide).count() == 1
     with pytest.raises(ValueError):
         chat.format_rows(df)
 
@@ -63,10 +71,15 @@ def test_same_as_sql(spark, name):
 
 
 def test_mix_odd_rows_same_as_sql(spark):
-    rows = [r for r in dict.fromkeys(hard_documents()) if r[0] is not None]
+    rows = hard_documents() + [(2000 + k // 2, "word", "en", "src7", 4, "", 0, "") for k in range(26)]
     df = frame(spark, rows)
-    got = mixing.mix(df).select("doc_id", "x.domain", "x.lang", "x.source", "x.n_tokens", "x.epoch")
-    assert compared(got.toPandas()) == compared(duck(documents=df.toPandas()).execute(mixing.ORACLE).df())
+    listed = lambda arrow: sorted((tuple(sorted(r.items())) for r in arrow.to_pylist()), key=repr)
+    want = listed(duck(documents=df.toArrow()).execute(mixing.ORACLE).to_arrow_table())
+    assert listed(mixing.picks(df).toArrow()) == want
+    for out in (mixing.mix(df), mixing.mix(df.withColumnsRenamed({"marks": "x", "kept": "full", "found": "row"}))):
+        x = out.columns[-1]
+        assert listed(out.select("doc_id", *(f"{x}.{c}" for c in ("domain", "lang", "source", "n_tokens", "epoch"))).toArrow()) == want
+    assert out.columns == [*df.columns[:5], "full", "x", "row", "x_"]
     assert mixing.mix(df).columns == [*df.columns, "x"]
     assert mixing.mix(df.limit(0)).count() == 0
 

@@ -1,6 +1,7 @@
 import itertools
 import os
 import sys
+import time
 
 import numpy as np
 
@@ -77,6 +78,93 @@ def test_rules_learn(spark):
     assert quality_rules.train(docs.limit(0), labels) is None
 
 
+def slow_features(text):
+    """Line features of operator 8, character by character."""
+    import re
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+    many = {w for w in windows if windows.count(w) > 1}
+    again = {k + d for k, w in enumerate(windows) if w in many for d in range(3)}
+    out, seen, at = [], set(), 0
+    for line in text.split("\n"):
+        own = re.findall(r"[^\x20\x09-\x0D]+", line)
+        n, data = len(own), line.encode()
+        up, low = sum(65 <= b <= 90 for b in data), sum(97 <= b <= 122 for b in data)
+        symbols, digits = sum(chr(b) in "#*$%&|<>" for b in data), sum(48 <= b <= 57 for b in data)
+        white, high = sum(chr(b) in " \t\n\v\f\r" for b in data), sum(b >= 128 for b in data)
+        visible = max(1, len(data) - white)
+        punct = len(data) - up - low - symbols - digits - white - high
+        letters, some = max(1, up + low), max(1, n)
+        repeats = sum(k in again for k in range(at, at + n))
+        at += n
+        out.append([1, n == 0, 0 < n < 4, 4 <= n < 10, n >= 30, up > 0.6 * letters, up > 0.3 * letters and n > 3, symbols > 0.04 * visible, symbols > 0.15 * visible, digits > 0.2 * visible, punct > 0.12 * visible,
+                    len(set(own)) < 0.6 * some and n >= 6, len(set(own)) < 0.3 * some and n >= 6, n > 0 and line in seen, line.rstrip()[-1:] not in {".", "!", "?", ":", ";", '"'}, visible > 11 * some, visible < 3 * some, repeats > 0.3 * some])
+        if n:
+            seen.add(line)
+    return np.array(out, dtype=float), [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in text.split("\n")]
+
+
+def slow_share(text, crf):
+    """Share of words in content lines on the best path, found with a table of best scores."""
+    x, n = slow_features(text)
+    best = [{0: (0.0, None), 1: (float(x[0] @ crf.weights), None)}]
+    for row in x[1:]:
+        best.append({b: max((best[-1][a][0] + crf.moves[a, b] + (row @ crf.weights if b else 0), a) for a in (0, 1)) for b in (0, 1)})
+    state, path = max((0, 1), key=lambda b: best[-1][b][0]), []
+    for step in reversed(best):
+        path.append(state)
+        state = step[state][1]
+    return sum(w for w, y in zip(n, reversed(path)) if y) / max(1, sum(n))
+
+
+def test_rules_verdict_same_as_plain_twin(spark):
+    docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
+    crf = quality_rules.train(docs, labels)
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(k, r[1]) for k, r in enumerate(hard_documents(), 10_000)]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string"), crf).collect()}
+    checked = 0
+    for i, t in rows:
+        if len(t or "") < 6000:
+            share = slow_share(t or "", crf)
+            assert abs(got[i].content_share - share) < 1e-9
+            assert got[i].kept == (not slow_base(t or "")[-1] and share >= quality_rules.LEAST_SHARE)
+            checked += 1
+    assert checked > 200 and 20 < sum(r.kept for r in got.values())
+
+
+def test_rules_label_lines_of_one_text(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    crf = quality_rules.train(docs, labels)
+    content = [
+        "The small rivers of the northern valley carry snow water down to the plains in spring, and farmers wait for it all winter long.",
+        "When my grandmother was young she walked two hours to school each morning, whatever weather came over the hills behind our house.",
+        "A good bridge lasts longer than those who built it, if somebody paints its iron every few years and clears leaves from the drains.",
+        "They found old letters under that floor, tied with string, which nobody had opened since before both wars ended so long ago now.",
+        "Most birds leave in autumn without any hurry, gathering along wires above fields where corn stood high only some weeks earlier still.",
+        "She said no doctor would ever tell you such things plainly, because hope does more for sick people than figures could possibly do.",
+    ]
+    junk = ["HOME | ABOUT | $$$ | CLICK ###", "BUY*** NOW*** %%% &&& <<>> |||", "#### $$$$ %%%% #### $$$$", "HOME | ABOUT | $$$ | CLICK ###", "#### $$$$ %%%% #### $$$$"]
+    lines = content[:3] + junk + content[3:]
+    state = crf.viterbi(quality_rules.line_features(quality_rules.base("\n".join(lines)))[0])
+    assert state.tolist() == [1, 1, 1, 0, 0, 0, 0, 0, 1, 1, 1]
+    between = quality_rules.judge(docs, crf).filter("content_share > 0 and content_share < 1").count()
+    assert between > 20
+
+
+def test_rules_with_repeated_labels(spark):
+    docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
+    a, b = (quality_rules.train(docs, x) for x in (labels, labels.unionByName(labels)))
+    assert (a.weights == b.weights).all() and (a.moves == b.moves).all()
+
+
+def test_rules_of_very_long_text(spark):
+    text = "\n".join(f"line {k} says something of its own about number {k * 7919}." for k in range(60_000))
+    got = quality_rules.judge(spark.createDataFrame([(1, text)], "doc_id long, text string"), quality_rules.Crf()).first()
+    assert (got.n_words, got.n_dup_lines, got.base_failed) == (600_000, 0, True)
+    assert toxicity.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), toxicity.Model(np.zeros((2, toxicity.BINS)), np.zeros((2, toxicity.BINS)))).first().passages == []
+
+
 def brute_segments(s):
     """Maximal scoring segments by their definition: best segment, then the same left and right of it."""
 
@@ -101,6 +189,107 @@ def test_segments_same_as_definition():
         assert all(np.isclose(v, s[a:b].sum()) for a, b, v in got)
 
 
+def test_segments_of_long_drifting_texts():
+    for s in (np.tile([1.0, -2.0], 500_000), np.concatenate([np.tile([1.0, -2.0], 200_000), np.tile([2.0, -1.0], 200_000)]), np.arange(300_000) % 7 - 2.9):
+        t = time.perf_counter()
+        got = toxicity.segments(s)
+        assert time.perf_counter() - t < 10
+        assert all(v > 0 for *_, v in got) and all(a[1] <= b[0] for a, b in zip(got, got[1:]))
+    assert len(toxicity.segments(np.tile([1.0, -2.0], 500_000))) == 500_000
+
+
+def test_size_of_extreme_values():
+    rng = np.random.default_rng(1)
+    n = rng.integers(50, 5000, 20_000)
+    best = (np.log(0.05 * n) + rng.gumbel(size=len(n))) / 1.3
+    good = best > 0
+    assert abs(toxicity.size_of(best[good], n[good], 1.3) / 0.05 - 1) < 0.1
+
+
+def plain_scores(docs, labels, bins=None):
+    """The scores of operator 6 worked out word by word with dictionaries: segments by their definition."""
+    import math
+    import re
+    import zlib
+    from collections import Counter
+
+    out_of = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    tokens = {i: [(toxicity.CODE[w] >> toxicity.BITS, toxicity.CODE[w] & (toxicity.BINS - 1)) for w in re.findall(r"\w+", (t or "").lower())] for i, t in docs}
+    learnt = {i: y for i, y in labels if not out_of(i)}
+    odds, far = [], []
+    for side in (0, 1):
+        every, by = Counter(), (Counter(), Counter())
+        for i, w in tokens.items():
+            every.update(x[side] for x in w)
+            if i in learnt:
+                by[learnt[i]].update(x[side] for x in w)
+        a = {b: toxicity.PRIOR * every[b] / max(1, sum(every.values())) + 0.01 for b in every}
+        a0 = sum(a.values()) + 0.01 * (toxicity.BINS - len(a))
+        n = [sum(c.values()) for c in by]
+        share = n[1] / sum(n)
+        o, z = {}, {}
+        for b in every:
+            lo = [math.log((c[b] + a[b]) / (m + a0 - c[b] - a[b])) for c, m in zip(by, n)]
+            e = (by[0][b] + by[1][b]) * share
+            z[b] = abs(by[1][b] - e) / math.sqrt(e * (1 - share) + 1)
+            o[b] = max(-toxicity.CLIP, min(toxicity.CLIP, (lo[1] - lo[0]) * min(1, z[b] / 3)))
+        odds.append(o)
+        far.append(z)
+    score = {i: [(odds[0][a] if far[0][a] >= far[1][b] else odds[1][b]) - toxicity.COST for a, b in w] for i, w in tokens.items()}
+    bounds = np.linspace(-toxicity.CLIP - toxicity.COST, toxicity.CLIP, 48)
+    hist = Counter(int(k) for i, y in learnt.items() if y == 0 and i in score for k in np.clip(np.searchsorted(bounds, score[i], "right") - 1, 0, 46))
+    mass = sum(hist.values())
+    f = lambda r: sum(c / mass * math.exp(r * (bounds[k] + bounds[k + 1]) / 2) for k, c in hist.items()) - 1
+    low, high = 1e-6, 64.0
+    for _ in range(200):
+        low, high = (low, (low + high) / 2) if f((low + high) / 2) >= 0 else ((low + high) / 2, high)
+    rate = min(4.0, max(0.2, high))
+    parts = {i: [sum(s[a:b]) for a, b in brute_segments(np.array(s))] for i, s in score.items()}
+    free = [rate * max(parts[i]) - math.log(len(score[i])) for i, y in learnt.items() if y == 0 and i in parts and parts[i]]
+    k = math.exp(np.mean(free) - 0.5772156649015329)
+    x = {}
+    for i, p in parts.items():
+        normal = [rate * v - math.log(len(score[i]) * k) for v in p]
+        x[i] = (1.0, min(40, max(0, max(normal))) / 10, math.log1p(sum(v > 3 for v in normal))) if normal else (1.0, 0.0, 0.0)
+    w = np.zeros(3)
+    rows = [(np.array(x[i]), y) for i, y in learnt.items() if i in x]
+    for _ in range(40):
+        p = [1 / (1 + math.exp(-v @ w)) for v, _ in rows]
+        h = sum(q * (1 - q) * np.outer(v, v) for q, (v, _) in zip(p, rows)) + 0.01 * np.eye(3)
+        w = w + np.linalg.solve(h, sum((y - q) * v for q, (v, y) in zip(p, rows)) - 0.01 * w)
+    return {i: 1 / (1 + math.exp(-(np.array(v) @ w))) for i, v in x.items()}
+
+
+def test_toxicity_scores_same_as_plain_twin(spark):
+    rng = np.random.default_rng(7)
+    bad, good = ["vile", "scum", "rotten"], [f"word{k}" for k in range(60)]
+    docs, labels = [], []
+    for i in range(160):
+        w = [good[j] for j in rng.integers(0, 60, rng.integers(5, 40))]
+        if i % 4 == 0:
+            at = rng.integers(0, len(w))
+            w[at:at] = [bad[j] for j in rng.integers(0, 3, rng.integers(1, 6))]
+        elif i % 5 == 0:
+            w[3:3] = [bad[i % 3]]  # so that clean texts have segments too
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(i % 4 == 0)))
+    docs += [(500, None), (501, ""), (502, "vile scum vile")]
+    d, y = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score(d, toxicity.train(d, y)).collect()}
+    want = plain_scores(docs, labels)
+    assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-3 for i in want)
+    assert max(want.values()) > 0.9 and min(want.values()) < 0.2
+
+
+def test_models_with_repeated_labels(spark):
+    docs = table(spark, DATA, "documents")
+    labels = table(spark, DATA, "labels")
+    twice = labels.unionByName(labels)
+    assert sorted(r.doc_id for r in toxicity.sampled(twice, 10).collect()) == sorted(r.doc_id for r in toxicity.sampled(labels, 10).collect())
+    a, b = (sorted((r.doc_id, round(r.score, 12)) for r in toxicity.score(docs, toxicity.train(docs, x)).collect()) for x in (labels, twice))
+    assert a == b
+
+
 def test_toxicity_held_out(spark):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     done = toxicity.score(docs, toxicity.train(docs, labels))
