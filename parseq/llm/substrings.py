@@ -1,8 +1,11 @@
 """Operator 10: substring dedup by hashed lines and sentences.
 
 A text is cut at line feeds and after sentence ends; units are normalised (lower case, single spaces) and hashed. Of all
-occurrences of a unit with at least ``min_words`` words the earliest one (smallest doc_id, then position) stays, the others
-go; what stays keeps its original characters, and the removed spans are given as offsets into the original text.
+occurrences of a unit the earliest one (smallest doc_id, then position) stays, the others are repeats. Repeats go where
+consecutive ones hold at least ``min_run`` words together (blank units between them don't count, and go with them): a passage
+of short lines is as much of a repeat as a long sentence, while a lone common phrase stays. With ``min_run`` 1 every repeat
+goes, and ``min_words`` leaves out shorter units. What stays keeps its original characters, and the removed spans are
+given as offsets into the original text.
 
 Spark takes the minimum of each digest with partial aggregation, so a passage that a third of all documents share is one
 row for each task; the winners, not the repeats, then travel back to their documents, which no frequent unit can skew.
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import batch, only, sha, table, texts
 
-MIN_WORDS = 6
+MIN_WORDS, MIN_RUN = 1, 15
 END = re.compile(r"\n|(?<=[.!?]) ")
 
 
@@ -63,7 +66,28 @@ def winners(docs: DataFrame, min_words: int) -> DataFrame:
     return found.groupBy("a", "b").agg(F.min(F.struct("doc_id", "pos")).alias("first")).select("first.*").groupBy("doc_id").agg(F.collect_list("pos").alias("kept"))
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def removals(text: str, cuts: list[tuple[int, int]], kept: set[int], min_words: int, min_run: int) -> list[tuple[int, int]]:
+    """First and last unit of each run of repeats that is long enough."""
+    out, first, last, total = [], None, None, 0
+    for k, (s, e) in enumerate(cuts):
+        n = len(text[s:e].split())
+        if n >= min_words and k not in kept:
+            first, last, total = k if first is None else first, k, total + n
+        elif n:
+            if first is not None and total >= min_run:
+                out.append((first, last))
+            first, total = None, 0
+    if first is not None and total >= min_run:
+        out.append((first, last))
+    return out
+
+
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    bounds = [0, *(x for span in spans for x in span), len(text)]
+    return "".join(text[s:e] for s, e in zip(bounds[::2], bounds[1::2]))
+
+
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_run: int = MIN_RUN) -> DataFrame:
     """doc_id, text, then n_units, n_removed, removed (array of start, end), kept_text."""
     slim = only(docs, doc_id="long", text="string")
     joined = slim.join(winners(slim, min_words).withColumnRenamed("doc_id", "id__"), F.col("doc_id") == F.col("id__"), "left").select("doc_id", "text", "kept")
@@ -74,28 +98,19 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         for b in batches:
             rows = []
             for doc, text, kept in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                raw, kept = text.as_py(), set(kept.as_py() or ())
+                raw = text.as_py()
                 text = raw or ""
-                at = units(text)
-                gone = [] if doc is None else [k for k, _ in marked(text, min_words) if k not in kept]
-                spans, out, last = [], [], 0
-                for k in gone:
-                    s, e = at[k]
-                    out.append(text[last:s])
-                    last = e
-                    if spans and spans[-1]["end"] == s:
-                        spans[-1]["end"] = e
-                    else:
-                        spans.append({"start": s, "end": e})
-                out.append(text[last:])
-                rows.append((doc, raw, len(at), len(gone), spans, "".join(out)))
+                cuts = units(text)
+                gone = [] if doc is None else removals(text, cuts, set(kept.as_py() or ()), min_words, min_run)
+                spans = [(cuts[a][0], cuts[z][1]) for a, z in gone]
+                rows.append((doc, raw, len(cuts), sum(z - a + 1 for a, z in gone), [{"start": s, "end": e} for s, e in spans], without(text, spans)))
             yield batch(schema, *(zip(*rows) if rows else [()] * 6))
 
     return joined.mapInArrow(run, "doc_id long, text string, n_units long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string")
 
 
-def rewrite(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with its columns, the texts without repeated units (and ``n_chars`` as their new length, if there)."""
+def rewrite(docs: DataFrame, min_words: int = MIN_WORDS, min_run: int = MIN_RUN) -> DataFrame:
+    """``docs`` with its columns, the texts without what :func:`dedup` removes (and ``n_chars`` as their new length, if there)."""
     found = winners(only(docs, doc_id="long", text="string"), min_words).select(F.col("doc_id").alias("id__"), F.col("kept").alias("kept__"))
     joined = docs.join(found, F.col("doc_id") == F.col("id__"), "left").drop("id__")
     at, ids = docs.columns.index("text"), docs.columns.index("doc_id")
@@ -105,12 +120,10 @@ def rewrite(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         for b in batches:
             out = []
             for doc, text, kept in zip(b.column(ids).to_pylist(), b.column(at), b.column(b.num_columns - 1)):
-                raw, kept = text.as_py(), set(kept.as_py() or ())
-                gone = [] if doc is None or not raw else [k for k, _ in marked(raw, min_words) if k not in kept]
-                if gone:
+                raw = text.as_py()
+                if doc is not None and raw:
                     cuts = units(raw)
-                    bounds = [0, *(x for k in gone for x in cuts[k]), len(raw)]
-                    raw = "".join(raw[s:e] for s, e in zip(bounds[::2], bounds[1::2]))
+                    raw = without(raw, [(cuts[a][0], cuts[z][1]) for a, z in removals(raw, cuts, set(kept.as_py() or ()), min_words, min_run)])
                 out.append(raw)
             columns = b.columns[:-1]
             columns[at] = pa.array(out, columns[at].type)
@@ -121,14 +134,14 @@ def rewrite(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return joined.mapInArrow(run, docs.schema)
 
 
-def op10_substrings(spark: SparkSession, sf_dir: str, min_words: int = MIN_WORDS) -> DataFrame:
-    done = dedup(table(spark, sf_dir, "documents"), min_words)
+def op10_substrings(spark: SparkSession, sf_dir: str, min_run: int = MIN_RUN) -> DataFrame:
+    done = dedup(table(spark, sf_dir, "documents"), min_run=min_run)
     spans = F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
     return done.select("doc_id", "n_units", "n_removed", F.coalesce(F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]), F.lit(0)).alias("removed_chars"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), spans.alias("removed_spans"))
 
 
 def op10_substrings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units of every length that hold a word; blank ones stay."""
+    """Every repeat goes, however short."""
     return op10_substrings(spark, sf_dir, 1)
 
 
@@ -138,13 +151,15 @@ raw AS (SELECT doc_id, generate_subscripts(u, 1) - 1 AS k, unnest(u) AS unit, le
 pos AS (SELECT doc_id, k, n, unit, text, coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM raw),
 placed AS (SELECT doc_id, k, s, substr(text, s + 1, length(unit) + 1) AS orig, array_to_string(list_filter(regexp_split_to_array(lower(unit), '\s+'), lambda x: x <> ''), ' ') AS norm,
   len(list_filter(regexp_split_to_array(unit, '\s+'), lambda x: x <> '')) AS words FROM pos WHERE s < length(text)),
-mark AS (SELECT *, words >= {MIN_WORDS} AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 AS gone FROM placed),
-run AS (SELECT *, s + length(orig) AS e, k - row_number() OVER (PARTITION BY doc_id, gone ORDER BY k) AS grp FROM mark),
-spans AS (SELECT doc_id, string_agg(b || '-' || f, ',' ORDER BY b) AS removed_spans FROM (SELECT doc_id, min(s) AS b, max(e) AS f FROM run WHERE gone GROUP BY doc_id, grp) GROUP BY doc_id),
+rep AS (SELECT *, words >= {MIN_WORDS} AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 AS again FROM placed),
+run AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id, again OR words = 0 ORDER BY k) AS grp FROM rep),
+ends AS (SELECT *, min(k) FILTER (again) OVER w AS low, max(k) FILTER (again) OVER w AS high, sum(words) OVER w AS total FROM run WINDOW w AS (PARTITION BY doc_id, again OR words = 0, grp)),
+mark AS (SELECT *, coalesce((again OR words = 0) AND k BETWEEN low AND high AND total >= {MIN_RUN}, false) AS gone FROM ends),
+spans AS (SELECT doc_id, string_agg(b || '-' || f, ',' ORDER BY b) AS removed_spans FROM (SELECT doc_id, min(s) AS b, max(s + length(orig)) AS f FROM mark WHERE gone GROUP BY doc_id, grp) GROUP BY doc_id),
 sums AS (SELECT doc_id, count(*)::BIGINT AS n_units, count(*) FILTER (WHERE gone)::BIGINT AS n_removed, coalesce(sum(length(orig)) FILTER (WHERE gone), 0)::BIGINT AS removed_chars,
   coalesce(string_agg(orig, '' ORDER BY k) FILTER (WHERE NOT gone), '') AS kept FROM mark GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed_chars, 0)::BIGINT AS removed_chars, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(removed_spans, '') AS removed_spans
 FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN spans USING (doc_id)
 """
 
-ORACLE_ALL = ORACLE.replace(f"words >= {MIN_WORDS} AND", "words >= 1 AND")
+ORACLE_ALL = ORACLE.replace(f"total >= {MIN_RUN}", "total >= 1")

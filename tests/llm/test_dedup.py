@@ -242,10 +242,17 @@ def test_substrings_odd_rows(spark):
     line = "This very line has more than six words in it."
     rows = [(1, line, 1), (2, f"x\n{line.upper()}\ny", 2), (2, f"x\n{line.upper()}\ny", 2), (None, line, 3), (3, None, 4), (4, f"{line} {line}", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, kept int")
-    got = sorted(((r.doc_id or -1, r.kept_text, [tuple(s) for s in r.removed]) for r in substrings.dedup(df).collect()), key=str)
+    got = sorted(((r.doc_id or -1, r.kept_text, [tuple(s) for s in r.removed]) for r in substrings.dedup(df, min_run=10).collect()), key=str)
     assert got == sorted([(1, line, []), (2, "x\ny", [(2, 3 + len(line))]), (2, "x\ny", [(2, 3 + len(line))]), (-1, line, []), (3, "", []), (4, "", [(0, 2 * len(line) + 1)])], key=str)
 
 
+def test_substrings_runs(spark):
+    lone, passage = "A common phrase of seven words here.", "\n".join(f"short line {k}" for k in range(6))
+    rows = [(1, f"{lone}\n{passage}"), (2, f"First. {lone} Own text.\n{passage}\n\n{lone}\nLast."), (3, f"{lone}\nThird.")]
+    got = {r.doc_id: r.kept_text for r in substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: f"First. {lone} Own text.\nLast.", 3: rows[2][1]}
+
+
 def test_substrings_of_short_lines(spark, tmp_path):
     lines = "\n".join(f"line number {k} of twelve" for k in range(12))
     rows = [r for r in dict.fromkeys(hard_documents()) if r[0] is not None and r[1] is not None and "\x00" not in r[1]]

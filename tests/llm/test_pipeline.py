@@ -43,14 +43,18 @@ def near(docs):
 def repeated(docs):
     seen, out = set(), []
     for r in sorted(docs, key=lambda r: r["doc_id"]):
-        kept = ""
-        for s, e in substrings.units(r["text"]):
-            words = r["text"][s:e].lower().split()
-            if len(words) >= substrings.MIN_WORDS:
-                if tuple(words) in seen:
-                    continue
-                seen.add(tuple(words))
-            kept += r["text"][s:e]
+        pieces = [(r["text"][s:e], tuple(r["text"][s:e].lower().split())) for s, e in substrings.units(r["text"])]
+        again = []
+        for _, words in pieces:
+            again.append(bool(words) and words in seen)
+            seen.add(words)
+        gone = set()
+        for k in range(len(pieces)):  # every stretch of repeats and blanks, from repeat to repeat, that can't be made longer
+            if again[k] and not any(again[j] and all(again[i] or not pieces[i][1] for i in range(j, k)) for j in range(k)):
+                last = max(j for j in range(k, len(pieces)) if again[j] and all(again[i] or not pieces[i][1] for i in range(k, j)))
+                if sum(len(w) for _, w in pieces[k : last + 1]) >= substrings.MIN_RUN:
+                    gone |= set(range(k, last + 1))
+        kept = "".join(t for k, (t, _) in enumerate(pieces) if k not in gone)
         out.append(r | {"text": kept, "n_chars": len(kept)})
     return out
 
