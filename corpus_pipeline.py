@@ -6,13 +6,10 @@ are mixed to target weights, and what is left is encoded. Every stage works on a
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from parseq.llm import bpe, mixing, neardup, quality_rules, substrings
-from parseq.llm.common import table
+from parseq.llm.common import Scratch, table
 
 #: Share of the remaining tokens that the mix takes, each document at most once.
 SHARE = (8, 10)
@@ -52,10 +49,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+    for _, stage in STAGES:
+        docs = scratch.cut(stage(spark, docs, sf_dir))
+        scratch.drop_all_but(docs)
     return docs
