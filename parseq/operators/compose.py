@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..seq import Fn, Seq
+from .transform import with_grain
 
 
 
@@ -52,7 +53,12 @@ def flatten(seq: Seq) -> Seq:
     return Seq(seq.df.select(*seq.keys, F.posexplode("v").alias("p", "x")).select(F.col("x").alias("v"), *seq.keys, F.col("p").alias(f"k{len(seq.keys)}")), [*seq.keys, f"k{len(seq.keys)}"])
 
 
-parallel_flatten = parallel_flatten_with_grain = flatten
+parallel_flatten = flatten
+
+
+def parallel_flatten_with_grain(seq: Seq, grain: int) -> Seq:
+    """The same over partitions of about ``grain`` arrays."""
+    return flatten(with_grain(seq, grain))
 
 
 def flatten_sum(seq: Seq) -> DataFrame:

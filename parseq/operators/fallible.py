@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..seq import Fn, Seq
+from .search import numbered
 
 
 
@@ -21,9 +22,10 @@ def try_results(seq: Seq, f: Fn, error: Fn) -> DataFrame:
 
 
 def first_error(seq: Seq, error: Fn) -> DataFrame:
-    """index, error of the leftmost failure; no row without one."""
-    at = F.min(F.when(error(F.col("v")).isNotNull(), F.struct(F.col("i"), error(F.col("v")).alias("e"))))
-    return seq.indexed().agg(at.alias("m")).filter("m is not null").select(F.col("m.i").alias("index"), F.col("m.e").alias("error"))
+    """index, error of the leftmost failure; no row without one. The least failing key comes first, then a count of smaller ones."""
+    e = error(F.col("v"))
+    found = seq.df.agg(F.min(F.when(e.isNotNull(), F.struct(seq.place().alias("k"), e.alias("e")))).alias("m")).filter("m is not null")
+    return numbered(seq, found.select("m.k", F.col("m.e").alias("error"))).select("index", "error")
 
 
 def try_for_each(seq: Seq, error: Fn) -> None:
@@ -34,10 +36,15 @@ def try_for_each(seq: Seq, error: Fn) -> None:
 
 
 def try_reduce_frame(seq: Seq, f: Fn, error: Fn, aggregate: Fn, identity) -> DataFrame:
-    """value, error_index, error in one pass: value is null if any element fails."""
+    """value, error_index, error: value is null if any element fails. One pass, and one over the keys if they aren't dense."""
     e = error(F.col("v"))
-    done = seq.indexed().agg(F.min(F.when(e.isNotNull(), F.struct(F.col("i"), e.alias("e")))).alias("m"), aggregate(F.when(e.isNull(), f(F.col("v")))).alias("r"))
-    return done.select(F.when(F.col("m").isNull(), F.coalesce("r", F.lit(identity))).alias("value"), F.col("m.i").alias("error_index"), F.col("m.e").alias("error"))
+    done = seq.df.agg(F.min(F.when(e.isNotNull(), F.struct(seq.place().alias("k"), e.alias("e")))).alias("m"), aggregate(F.when(e.isNull(), f(F.col("v")))).alias("r"))
+    value = F.when(F.col("m").isNull(), F.coalesce("r", F.lit(identity))).alias("value")
+    if seq.dense:
+        return done.select(value, F.col("m.k.k0").alias("error_index"), F.col("m.e").alias("error"))
+    # Without an error no key is compared, and the count of smaller keys counts for nothing.
+    before = seq.df.join(F.broadcast(done), F.struct(*seq.keys) < F.col("m.k")).agg(F.count(F.lit(1)).alias("index"))
+    return before.crossJoin(F.broadcast(done)).select(value, F.when(F.col("m").isNotNull(), F.col("index")).alias("error_index"), F.col("m.e").alias("error"))
 
 
 def try_reduce(seq: Seq, f: Fn, error: Fn, aggregate: Fn, identity):

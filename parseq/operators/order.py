@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..seq import Fn, Seq, dense_index
+from .place import in_bounds, same_length
 
 
 
@@ -55,11 +56,14 @@ def merge(seq: Seq, other: Seq) -> DataFrame:
 
 
 def is_sorted(seq: Seq, descending: bool = False) -> DataFrame:
-    """Neighbours are compared at the join of positions i and i + 1, so no single task sees the whole sequence."""
-    at = seq.indexed()
-    after = at.select((F.col("i") - 1).alias("i"), F.col("v").alias("w"))
-    good = F.col("v") >= F.col("w") if descending else F.col("v") <= F.col("w")
-    return at.join(after, "i").agg(F.coalesce(F.bool_and(good), F.lit(True)).alias("is_sorted"))
+    """Neighbours are compared inside ranges of the keys; of each range one row goes on, to be compared with the range before."""
+    good = lambda a, b: a >= b if descending else a <= b
+    names = ["p", "v", *seq.keys]
+    dealt = seq.df.repartitionByRange(*seq.keys).withColumn("p", F.spark_partition_id()).select(*names)
+    inside = dealt.withColumn("before", F.lag("v").over(Window.partitionBy("p").orderBy(*seq.keys)))
+    ends = inside.groupBy("p").agg(F.coalesce(F.bool_and(good(F.col("before"), F.col("v"))), F.lit(True)).alias("ok"), F.min_by("v", seq.place()).alias("first"), F.max_by("v", seq.place()).alias("last"))
+    across = ends.withColumn("ok", F.col("ok") & F.coalesce(good(F.lag("last").over(Window.orderBy("p")), F.col("first")), F.lit(True)))
+    return across.agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("is_sorted"))
 
 
 def is_sorted_asc(seq: Seq) -> DataFrame:
@@ -85,7 +89,9 @@ def partition_point(seq: Seq, predicate: Fn) -> DataFrame:
 
 
 def apply_permutation(seq: Seq, indices: Seq) -> Seq:
-    """Gather: value j becomes the old value at position indices[j]."""
+    """Gather: value j becomes the old value at position indices[j]. ValueError if the lengths differ or a position isn't there."""
+    same_length(seq, indices)
+    in_bounds(indices, seq)
     at = indices.indexed().select(F.col("i").alias("k0"), F.col("v").alias("i"))
     return Seq(at.join(seq.indexed(), "i").select("v", "k0"), ["k0"], True)
 

@@ -24,13 +24,36 @@ def cap_and_offsets(seq: Seq) -> DataFrame:
     return compute_offsets_into(seq.with_values(seq.df.withColumn("v", F.greatest(F.size("v"), F.lit(0)).cast("long"))))
 
 
+def same_length(*seqs: Seq) -> None:
+    """ValueError unless the sequences are equally long; counts each."""
+    sizes = [s.df.count() for s in seqs]
+    if len(set(sizes)) > 1:
+        raise ValueError(f"sequences of {', '.join(map(str, sizes))} elements, of which all should be equally long")
+
+
+def in_bounds(indices: Seq, out: Seq) -> None:
+    """ValueError unless each index is a position of ``out``."""
+    low, high, missing = indices.df.agg(F.min("v"), F.max("v"), F.count_if(F.col("v").isNull())).first()
+    size = out.df.count()
+    if missing or low is not None and (low < 0 or high >= size):
+        raise ValueError(f"positions from {low} to {high} ({missing} missing) in a sequence of {size}")
+
+
 def parallel_flatten_with_offsets(seq: Seq, offsets: DataFrame) -> DataFrame:
-    """i (offset + place inside the array), v, with offsets (i, offset) given by the caller."""
-    return seq.indexed().join(offsets.select("i", "offset"), "i").select(F.col("offset"), F.posexplode("v").alias("p", "x")).select((F.col("offset") + F.col("p")).alias("i"), F.col("x").alias("v"))
+    """i (offset + place inside the array), v, with one offset (i, offset) for each array given by the caller; ValueError if
+    some array has none or some offset no array."""
+    arrays, given = seq.indexed(), offsets.select("i", "offset")
+    odd = arrays.select("i", F.lit(1).alias("n")).unionAll(given.select("i", F.when(F.col("offset").isNotNull(), F.lit(1 << 32)).otherwise(0).alias("n"))).groupBy("i").agg(F.sum("n").alias("n")).filter(F.col("n") != (1 << 32) + 1)
+    if not odd.isEmpty():
+        raise ValueError("arrays and offsets don't belong to each other one by one")
+    return arrays.join(given, "i").select(F.col("offset"), F.posexplode("v").alias("p", "x")).select((F.col("offset") + F.col("p")).alias("i"), F.col("x").alias("v"))
 
 
 def parallel_scatter(out: Seq, values: Seq, indices: Seq) -> Seq:
-    """out[indices[k]] = values[k], other slots as they were; of several writes to a slot the last k wins."""
+    """out[indices[k]] = values[k], other slots as they were; of several writes to a slot the last k wins. ValueError if values
+    and indices aren't equally long, or an index isn't a slot."""
+    same_length(values, indices)
+    in_bounds(indices, out)
     writes = indices.indexed().select(F.col("i").alias("k"), F.col("v").alias("i")).join(values.indexed().select(F.col("i").alias("k"), F.col("v").alias("new")), "k")
     last = writes.groupBy("i").agg(F.max_by(F.struct("new"), "k").alias("w"))
     done = out.indexed().join(last, "i", "left")

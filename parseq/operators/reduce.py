@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.reducers import REDUCERS
 from ..seq import Fn, Seq
+from .transform import with_grain
 
 
 
@@ -73,32 +74,39 @@ def small_fold(seq: Seq, identity: Column, combine: Callable[[Column, Column], C
     return seq.df.agg(F.aggregate(F.transform(ordered, lambda x: x["v"]), identity, combine).alias("reduce"))
 
 
+def _extreme(seq: Seq, key: Fn, extreme: Callable) -> DataFrame:
+    """The extreme key in one pass, then the first of its values in another; neither keeps a struct in an aggregate over all rows."""
+    named = seq.df.withColumn("k__", key(F.col("v")))
+    best = named.agg(extreme("k__").alias("k__"))
+    return named.join(F.broadcast(best), "k__").agg(F.min_by("v", seq.place()).alias("value"))
+
+
 def min_by_key(seq: Seq, key: Fn) -> DataFrame:
-    """value with the least key, the first of equals; null if empty."""
-    return seq.df.agg(F.min_by(F.col("v"), F.struct(key(F.col("v")).alias("k"), seq.place().alias("p"))).alias("value"))
+    """value with the least key, the first of equals; null if empty. Values with a null key don't count."""
+    return _extreme(seq, key, F.min)
 
 
 def max_by_key(seq: Seq, key: Fn) -> DataFrame:
-    """value with the greatest key, the first of equals; null if empty."""
-    first = seq.df.select("v", key(F.col("v")).alias("k"), seq.place().alias("p"))
-    best = first.groupBy("k").agg(F.min_by("v", "p").alias("v")) if not _negatable(seq) else None
-    if best is not None:
-        return best.agg(F.max_by("v", "k").alias("value"))
-    back = F.struct(*[(-F.col(k).cast("decimal(38,0)")).alias(k) for k in seq.keys])
-    return seq.df.agg(F.max_by(F.col("v"), F.struct(key(F.col("v")).alias("k"), back.alias("p"))).alias("value"))
+    """value with the greatest key, the first of equals; null if empty. Values with a null key don't count."""
+    return _extreme(seq, key, F.max)
 
 
-def _negatable(seq: Seq) -> bool:
-    return all(isinstance(seq.df.schema[k].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) for k in seq.keys)
+def _by(seq: Seq, compare: Callable, swap: bool, keyed: Callable) -> DataFrame:
+    if len(inspect.signature(compare).parameters) < 2:
+        return keyed(seq, compare)
+    better = (lambda a, b: compare(b, a) > 0) if swap else (lambda a, b: compare(b, a) < 0)
+    return ordered_fold(seq, None, lambda a, b: b if better(a, b) else a).select(F.col("reduce").alias("value"))
 
 
-def min_by(seq: Seq, key: Fn) -> DataFrame:
-    """By a comparator: it is given as the column(s) that it compares, as for a sort."""
-    return min_by_key(seq, key)
+def min_by(seq: Seq, compare: Callable) -> DataFrame:
+    """value that no other is smaller than, the first of equals. ``compare(a, b)`` of two values is below, at or above 0 (an
+    ordered fold in Python); with one parameter it is a key, given as a column."""
+    return _by(seq, compare, False, min_by_key)
 
 
-def max_by(seq: Seq, key: Fn) -> DataFrame:
-    return max_by_key(seq, key)
+def max_by(seq: Seq, compare: Callable) -> DataFrame:
+    """value that no other is greater than, the first of equals; ``compare`` as in :func:`min_by`."""
+    return _by(seq, compare, True, max_by_key)
 
 
 def parallel_reduce(seq: Seq, **aggregates: Fn) -> DataFrame:
@@ -106,7 +114,9 @@ def parallel_reduce(seq: Seq, **aggregates: Fn) -> DataFrame:
     return seq.df.agg(*[f(F.col("v")).alias(n) for n, f in aggregates.items()])
 
 
-parallel_reduce_with_grain = parallel_reduce
+def parallel_reduce_with_grain(seq: Seq, grain: int, **aggregates: Fn) -> DataFrame:
+    """The same over partitions of about ``grain`` values; it costs a shuffle, so only for heavy work on each value."""
+    return parallel_reduce(with_grain(seq, grain), **aggregates)
 
 
 def parallel_reduce_chunked(seq: Seq, chunk: Callable, combine: Fn, kind: str) -> DataFrame:

@@ -15,14 +15,19 @@ def _holds(predicate: Fn, *columns: Column) -> Column:
     return F.coalesce(predicate(*(columns or (F.col("v"),))), F.lit(False))
 
 
+def numbered(seq: Seq, found: DataFrame) -> DataFrame:
+    """found (k: an element's place, and others) of at most one row, with its ``index``: how many keys are smaller."""
+    if seq.dense:
+        return found.withColumn("index", F.col("k.k0")).drop("k")
+    before = seq.df.join(F.broadcast(found), F.struct(*seq.keys) < F.col("k")).agg(F.count(F.lit(1)).alias("index"))
+    return before.crossJoin(F.broadcast(found.drop("k")))
+
+
 def _at(seq: Seq, predicate: Fn, last: bool = False) -> DataFrame:
     """index, value of the first or last match; no row without one. Positions of keys that aren't dense are counts of smaller keys."""
     pick = (F.max if last else F.min)(F.when(_holds(predicate), F.struct(seq.place().alias("k"), F.col("v").alias("v"))))
-    found = seq.df.agg(pick.alias("m")).filter("m is not null")
-    if seq.dense:
-        return found.select(F.col("m.k.k0").alias("index"), F.col("m.v").alias("value"))
-    before = seq.df.join(F.broadcast(found), F.struct(*seq.keys) < F.col("m.k")).agg(F.count(F.lit(1)).alias("index"))
-    return before.crossJoin(found).select("index", F.col("m.v").alias("value"))
+    found = seq.df.agg(pick.alias("m")).filter("m is not null").select("m.k", F.col("m.v").alias("value"))
+    return numbered(seq, found).select("index", "value")
 
 
 def find_first(seq: Seq, predicate: Fn) -> DataFrame:
@@ -64,7 +69,13 @@ parallel_find_any = find_any
 
 
 def position_any(seq: Seq, predicate: Fn) -> DataFrame:
-    return seq.indexed().filter(_holds(predicate)).limit(1).select(F.col("i").alias("position"))
+    """position of some match, at most one row; the match is looked for first, then its position."""
+    if seq.dense:
+        return seq.df.filter(_holds(predicate)).limit(1).select(F.col("k0").alias("position"))
+    # A limit may pick another row when it runs again: the least of what one run picked is one row for both uses.
+    some = seq.df.filter(_holds(predicate)).select(seq.place().alias("k")).limit(1).agg(F.min("k").alias("k")).filter("k is not null")
+    row = some.first()
+    return numbered(seq, seq.df.sparkSession.createDataFrame([row] if row else [], some.schema)).select(F.col("index").alias("position"))
 
 
 def any(seq: Seq, predicate: Fn) -> DataFrame:  # noqa: A001

@@ -10,7 +10,7 @@ from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..seq import Fn, Seq
@@ -26,10 +26,11 @@ def join_aggregates(seq: Seq, **tasks: Fn) -> DataFrame:
 
 
 def join_rows(**frames: DataFrame) -> DataFrame:
-    """One row with a struct for each one-row result, by name."""
+    """One row with a struct for each result, by name; ValueError in the job if a result has another number of rows than one."""
     out = None
     for name, df in frames.items():
-        row = df.select(F.struct(*df.columns).alias(name))
+        one = F.when(F.count(F.lit(1)) == 1, F.first(F.struct(*df.columns))).otherwise(F.raise_error(F.lit(f"{name} is not one row")))
+        row = df.agg(one.alias(name))
         out = row if out is None else out.crossJoin(row)
     return out
 
@@ -128,5 +129,11 @@ def parallel_for_range(spark: SparkSession, start: int, end: int, aggregate: Fn)
     return Seq.range(spark, start, end).df.agg(aggregate(F.col("v")).alias("reduce"))
 
 
-parallel_for_range_with_context = parallel_for_range
-broadcast_with_context = broadcast
+def parallel_for_range_with_context(spark: SparkSession, start: int, end: int, aggregate: Callable[..., Column], **context) -> DataFrame:
+    """The same with ``aggregate(index, **context)``; plain context values become literals."""
+    return parallel_for_range(spark, start, end, lambda i: aggregate(i, **{k: x if isinstance(x, Column) else F.lit(x) for k, x in context.items()}))
+
+
+def broadcast_with_context(spark: SparkSession, f: Callable[[int, object], object], context, kind: str = "string") -> DataFrame:
+    """worker, value of ``f(worker, context)``; the context is sent along with the function."""
+    return broadcast(spark, lambda worker: f(worker, context), kind)

@@ -232,7 +232,7 @@ def parallel_for_cover(spark, d):
     return ranges.agg(F.sum("value").alias("covered"), F.sum(F.col("end") - F.col("start")).alias("n"))
 
 
-@query("SELECT 4950::BIGINT AS reduce")
+@query("SELECT sum(i)::BIGINT AS reduce FROM range(100) t(i)")
 def for_range_sum(spark, d):
     return tasks.parallel_for_range(spark, 0, 100, F.sum)
 
@@ -477,8 +477,81 @@ def merge_sorted(spark, d):
 
 @query("SELECT (SELECT count(*) FROM orders) AS orders_n, (SELECT max(l_quantity) FROM lineitem) AS top_qty")
 def join_two_tasks(spark, d):
-    made = tasks.join(a=(lambda: load(spark, d, "orders").agg(F.count(F.lit(1)).alias("n")),), b=(lambda: load(spark, d, "lineitem").agg(F.max("l_quantity").alias("q")),))
-    return tasks.join_rows(**made).select(F.col("a.n").alias("orders_n"), F.col("b.q").alias("top_qty"))
+    """Two jobs that run at the same time."""
+    made = tasks.join(orders=(lambda: load(spark, d, "orders").count(),), lines=(lambda t: load(spark, d, t).agg(F.max("l_quantity")).first()[0], "lineitem"))
+    return spark.createDataFrame([(made["orders"], made["lines"])], load(spark, d, "lineitem").select(F.lit(0).cast("long").alias("orders_n"), F.col("l_quantity").alias("top_qty")).schema)
+
+
+@query("SELECT 'second: ' || max(event_id)::VARCHAR AS error FROM events")
+def try_join_leftmost(spark, d):
+    """All tasks run; of two that fail the one declared first counts."""
+
+    def fail(name):
+        raise ValueError(f"{name}: {load(spark, d, 'events').agg(F.max('event_id')).first()[0]}")
+
+    try:
+        tasks.try_join(first=(lambda: load(spark, d, "events").count(),), second=(fail, "second"), third=(fail, "third"))
+    except ValueError as e:
+        return spark.createDataFrame([(str(e),)], "error string")
+
+
+@query("SELECT 'events' AS name, count(*) AS n FROM events UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'part', count(*) FROM part")
+def scope_counts(spark, d):
+    names = ["events", "orders", "part"]
+    s = tasks.Scope()
+    for t in names:
+        s.spawn(lambda t: load(spark, d, t).count(), t)
+    return spark.createDataFrame(list(zip(names, s.wait())), "name string, n long")
+
+
+@query("SELECT bool_or(value > 400) AS stopped FROM events")
+def early_exit(spark, d):
+    return spark.createDataFrame([(tasks.parallel_for_with_early_exit(events(spark, d), lambda v: v > 400),)], "stopped boolean")
+
+
+@query(f"SELECT count(*) AS n, sum({SQL_CENTS})::BIGINT AS total FROM events")
+def for_each_counters(spark, d):
+    """Side effects on the executors, as accumulators."""
+    n, total = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    transform.for_each(events(spark, d, "cents"), lambda v: (n.add(1), total.add(v)))
+    return spark.createDataFrame([(n.value, total.value)], "n long, total long")
+
+
+@query("SELECT event_id AS i, round(sqrt(abs(value)), 6) AS v FROM events")
+def sqrt_map(spark, d):
+    return transform.map(events(spark, d), lambda v: F.round(F.sqrt(F.abs(v)), 6)).indexed()
+
+
+def in_order(sorted_rows: DataFrame) -> DataFrame:
+    """rank, v of rows as they come out of a sort."""
+    return dense_index(sorted_rows.select("v", F.monotonically_increasing_id().alias("at")), ["at"], "rank").select("rank", "v")
+
+
+@query(_sorted("o_totalprice", "o_totalprice", "orders", "o_orderkey"))
+def sort_rows(spark, d):
+    return in_order(order.sort_asc(sequence(spark, d, "orders", "o_totalprice")))
+
+
+@query(_sorted("length(p_name)", "p_name", "part", "p_partkey"))
+def sort_rows_by_cached_key(spark, d):
+    return in_order(order.sort_by_cached_key(sequence(spark, d, "part", "p_name"), F.length))
+
+
+@query("SELECT (row_number() OVER (ORDER BY v, side, k) - 1)::BIGINT AS rank, v FROM (SELECT 0 AS side, c_custkey AS k, c_acctbal AS v FROM customer UNION ALL SELECT 1, s_suppkey, s_acctbal FROM supplier)")
+def merge_rows(spark, d):
+    return in_order(order.merge(sequence(spark, d, "customer", "c_acctbal"), sequence(spark, d, "supplier", "s_acctbal")))
+
+
+AFFINE = "struct_pack(a := event_id % 97 + 1, b := user_id % 89)"
+
+
+@query(f"""WITH r AS (SELECT list_reduce(list({AFFINE} ORDER BY event_id), lambda x, y: struct_pack(a := x.a * y.a % 1000003, b := (y.a * x.b + y.b) % 1000003)) AS f FROM events)
+SELECT f.a::BIGINT AS a, f.b::BIGINT AS b FROM r""")
+def reduce_ordered_affine(spark, d):
+    """All events' maps x -> a x + b, composed in order modulo a prime: a fold that doesn't commute, with a state of fixed size."""
+    maps = sequence(spark, d, "events", F.struct((F.col("event_id") % 97 + 1).cast("long").alias("a"), (F.col("user_id") % 89).cast("long").alias("b")))
+    after = lambda x, y: {"a": x["a"] * y["a"] % 1000003, "b": (y["a"] * x["b"] + y["b"]) % 1000003}
+    return reduce.reduce(maps, None, after).select("reduce.a", "reduce.b")
 
 
 @query("SELECT sum(l_quantity)::BIGINT AS qty, max(l_tax) AS tax, count(*) AS n FROM lineitem")
@@ -486,7 +559,7 @@ def join_named_stats(spark, d):
     return tasks.join_aggregates(sequence(spark, d, "lineitem", F.struct("l_quantity", "l_tax")), qty=lambda v: F.sum(v["l_quantity"]).cast("long"), tax=lambda v: F.max(v["l_tax"]), n=lambda v: F.count(F.lit(1)))
 
 
-@query("SELECT 75025::BIGINT AS fib")
+@query("WITH RECURSIVE f(n, a, b) AS (SELECT 0, 0::BIGINT, 1::BIGINT UNION ALL SELECT n + 1, b, a + b FROM f WHERE n < 25) SELECT a AS fib FROM f WHERE n = 25")
 def fib_recursive(spark, d):
     return recipes.fibonacci(spark, 25)
 
@@ -619,13 +692,15 @@ def simpson_sin(spark, d):
     return recipes.simpson(spark, F.sin, 0.0, math.pi, 1000)
 
 
-MATRIX = "(SELECT vec_id AS i, generate_subscripts(embedding, 1) - 1 AS j, round(unnest(embedding) * 1000)::BIGINT AS x FROM embeddings WHERE vec_id < 64)"
+NATIONS = "(SELECT c_nationkey AS i, c_custkey % 64 AS j, count(*) AS x FROM customer GROUP BY ALL)"
+SHARES = "(SELECT s_suppkey % 64 AS i, s_nationkey AS j, count(*) AS x FROM supplier GROUP BY ALL)"
 
 
-@query(f"SELECT a.i, b.j, sum(a.x * b.x)::BIGINT AS x FROM {MATRIX} a JOIN {MATRIX} b ON a.j = b.i GROUP BY 1, 2")
+@query(f"SELECT a.i, b.j, sum(a.x * b.x)::BIGINT AS x FROM {NATIONS} a JOIN {SHARES} b ON a.j = b.i GROUP BY 1, 2")
 def matmul_small(spark, d):
-    m = load(spark, d, "embeddings").filter("vec_id < 64").select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("p", "e")).select("i", F.col("p").cast("long").alias("j"), F.expr("cast(round(e * 1000) as bigint)").alias("x"))
-    return recipes.matmul(m, m)
+    """Two sparse matrices, of customers and of suppliers by nation and number."""
+    cells = lambda t, i, j: load(spark, d, t).groupBy(i.alias("i"), j.alias("j")).agg(F.count(F.lit(1)).alias("x"))
+    return recipes.matmul(cells("customer", F.col("c_nationkey"), F.col("c_custkey") % 64), cells("supplier", F.col("s_suppkey") % 64, F.col("s_nationkey")))
 
 
 ALL_ROWS = "(SELECT vec_id AS i, generate_subscripts(embedding, 1) - 1 AS j, round(unnest(embedding) * 1000)::BIGINT AS x FROM embeddings)"
@@ -655,10 +730,12 @@ def pixel_luma(spark, d):
     return pixels(spark, d).select("idx", recipes.luma(F.col("r"), F.col("g"), F.col("b")).alias("y"), recipes.brightness(F.col("r"), 1.5).alias("bright"))
 
 
-@query(f"""WITH p AS (SELECT idx, r AS v, idx // 40 AS y, idx % 40 AS x FROM {PIXELS} WHERE idx < 1000), s AS (SELECT dy, dx, (2 - abs(dy)) * (2 - abs(dx)) AS w FROM range(-1, 2) a(dy), range(-1, 2) b(dx))
-SELECT t.idx, (sum(q.v * s.w) // 16)::BIGINT AS v FROM p t, s JOIN p q ON q.y = greatest(0, least(24, t.y + s.dy)) AND q.x = greatest(0, least(39, t.x + s.dx)) GROUP BY t.idx""")
+@query("""WITH p AS (SELECT vec_id AS y, generate_subscripts(embedding, 1) - 1 AS x, round(unnest(embedding)::DOUBLE * 100)::BIGINT + 1000 AS v FROM embeddings), n AS (SELECT max(y) AS last FROM p), s AS (SELECT dy, dx, (2 - abs(dy)) * (2 - abs(dx)) AS w FROM range(-1, 2) a(dy), range(-1, 2) b(dx))
+SELECT t.y * 64 + t.x AS idx, (sum(q.v * s.w) // 16)::BIGINT AS v FROM p t, s, n JOIN p q ON q.y = greatest(0, least(n.last, t.y + s.dy)) AND q.x = greatest(0, least(63, t.x + s.dx)) GROUP BY t.y, t.x""")
 def blur3x3(spark, d):
-    return recipes.blur(pixels(spark, d).filter("idx < 1000").select("idx", F.col("r").alias("v")), 40, 25)
+    """All embeddings as an image, a vector in a row."""
+    image = load(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("x", "e")).select((F.col("vec_id") * 64 + F.col("x")).alias("idx"), (F.round(F.col("e").cast("double") * 100).cast("long") + 1000).alias("v"))
+    return recipes.blur_image(image, 64)
 
 
 @query(f"""WITH p AS (SELECT idx, r AS v, idx // 40 AS y, idx % 40 AS x FROM {PIXELS}), n AS (SELECT count(*) AS n FROM p), s AS (SELECT dy, dx, (2 - abs(dy)) * (2 - abs(dx)) AS w FROM range(-1, 2) a(dy), range(-1, 2) b(dx)),

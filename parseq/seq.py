@@ -7,48 +7,43 @@ those that need a position ask for the dense index ``i``, and sums, extrema and
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .scratch import Scratch
 
 Fn = Callable[..., Column]
-#: Up to so many rows a single sort numbers them; beyond, the index is built without one.
-SMALL = 200_000
+#: The tables of :func:`dense_index`, by session; :func:`release` deletes them.
+_tables: dict[int, Scratch] = {}
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder that the session names."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    """The rows as a table in the folder that the session's tasks share."""
+    session = df.sparkSession
+    if id(session) not in _tables:
+        _tables[id(session)] = Scratch(session)
+    return _tables[id(session)].cut(df)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables behind dense indices; frames that use one can't be run any more."""
+    if id(spark) in _tables:
+        _tables.pop(id(spark)).drop_all_but()
 
 
-def dense_index(df: DataFrame, keys: list[str | Column], name: str = "i", strategy: str = "auto") -> DataFrame:
+def dense_index(df: DataFrame, keys: list[str | Column], name: str = "i") -> DataFrame:
     """``df`` with the 0-based position of each row in the order of its unique ``keys`` (names, or columns with a direction).
 
-    window: one sort in one task, for small inputs. bucket (a single integral key): equal key ranges are counted, an
-    exclusive sum over the counts gives each range its start, rows are numbered inside their range; no materialisation.
-    range: rows are dealt by sampled key ranges behind a reliable checkpoint, then numbered in the same way.
+    Rows are dealt by ranges of the keys that Spark samples, so clustered keys spread evenly, and written; an exclusive sum
+    over the ranges' counts, one row for each shuffle partition, is broadcast, and rows are numbered inside their range. The
+    table is written when this is called; a declared dense key needs none.
     """
-    if strategy == "auto":
-        integral = len(keys) == 1 and isinstance(keys[0], str) and isinstance(df.schema[keys[0]].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
-        strategy = "window" if df.count() <= SMALL else "bucket" if integral else "range"
-    if strategy == "window":
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long"))
-    parts = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    if strategy == "bucket":
-        k = F.col(keys[0]).cast("decimal(38,0)")
-        ends = df.agg(F.min(k).alias("lo__"), F.max(k).alias("hi__"))
-        dealt = df.crossJoin(F.broadcast(ends)).withColumn("p__", F.floor((k - F.col("lo__")) * parts * 16 / (F.col("hi__") - F.col("lo__") + 1)).cast("int")).drop("lo__", "hi__")
-    else:
-        dealt = cut(df.repartitionByRange(parts, *keys).withColumn("p__", F.spark_partition_id()))
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = cut(df.repartitionByRange(parts, *keys).withColumn("p__", F.spark_partition_id()))
     starts = dealt.groupBy("p__").agg(F.count(F.lit(1)).alias("n__"))
     starts = starts.select(F.col("p__"), F.coalesce(F.sum("n__").over(Window.orderBy("p__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("at__"))
-    # At most 16 rows for each shuffle partition, so the broadcast is bounded by the plan, not by the data.
     joined = dealt.join(F.broadcast(starts), "p__")
     return joined.withColumn(name, F.col("at__") + F.row_number().over(Window.partitionBy("p__").orderBy(*keys)) - 1).drop("p__", "at__")
 

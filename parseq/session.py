@@ -23,7 +23,7 @@ class Config:
     options: tuple[tuple[str, str], ...] = ()
 
 
-_state: dict = {"spark": None, "grain": DEFAULT_GRAIN}
+_state: dict = {"spark": None, "grain": DEFAULT_GRAIN, "seen": set()}
 
 
 def init(config: Config | None = None) -> SparkSession:
@@ -43,7 +43,11 @@ init_with_config = init
 
 
 def deinit(stop: bool = True) -> None:
+    from .seq import release
+
     spark, _state["spark"] = _state["spark"], None
+    if spark is not None:
+        release(spark)
     if spark is not None and stop:
         spark.stop()
 
@@ -74,9 +78,20 @@ def default_grain_size() -> int:
 
 
 def get_stats(spark: SparkSession | None = None) -> dict[str, int]:
-    """Jobs and stages that are running now, from Spark's status tracker."""
+    """Jobs started since :func:`reset_stats` in this thread's job group (or outside any), and jobs and stages that run now,
+    from Spark's status tracker."""
     spark = spark or _state["spark"] or SparkSession.getActiveSession()
     if spark is None:
-        return {"active_jobs": 0, "active_stages": 0}
+        return {"jobs": 0, "active_jobs": 0, "active_stages": 0}
     tracker = spark.sparkContext.statusTracker()
-    return {"active_jobs": len(tracker.getActiveJobsIds()), "active_stages": len(tracker.getActiveStageIds())}
+    return {"jobs": len(_jobs(spark) - _state["seen"]), "active_jobs": len(tracker.getActiveJobsIds()), "active_stages": len(tracker.getActiveStageIds())}
+
+
+def _jobs(spark: SparkSession) -> set[int]:
+    return set(spark.sparkContext.statusTracker().getJobIdsForGroup(spark.sparkContext.getLocalProperty("spark.jobGroup.id")))
+
+
+def reset_stats(spark: SparkSession | None = None) -> None:
+    """Count jobs from now on."""
+    spark = spark or _state["spark"] or SparkSession.getActiveSession()
+    _state["seen"] = set() if spark is None else _jobs(spark)

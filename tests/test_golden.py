@@ -213,15 +213,56 @@ def test_tasks(spark):
     assert tasks.parallel_for_with_early_exit(Seq.range(spark, 0, 10), lambda v: v == 3)
 
 
-@pytest.mark.parametrize("strategy", ["window", "bucket", "range"])
-def test_dense_index(spark, strategy):
+def test_dense_index(spark):
     df = spark.range(1000).select((F.col("id") * F.col("id")).alias("k")).repartition(5)
-    got = parseq.dense_index(df, ["k"], strategy=strategy)
+    got = parseq.dense_index(df, ["k"])
     assert got.filter("k <> i * i").count() == 0 and got.count() == 1000
-    assert parseq.dense_index(df.limit(0), ["k"], strategy=strategy).count() == 0
-    if strategy != "bucket":
-        down = parseq.dense_index(df, [F.col("k").desc()], strategy=strategy)
-        assert down.filter("k <> (999 - i) * (999 - i)").count() == 0
+    assert parseq.dense_index(df.limit(0), ["k"]).count() == 0
+    down = parseq.dense_index(df, [F.col("k").desc()])
+    assert down.filter("k <> (999 - i) * (999 - i)").count() == 0
+    clustered = spark.range(2000).select((F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.col("id") + (1 << 40))).alias("k"))
+    got = parseq.dense_index(clustered, ["k"])
+    assert got.filter("(k < 2000 and k <> 2 * i) or (k > 2000 and k <> 2 * (i - 1000) + 1 + 1099511627776)").count() == 0
+
+
+def test_lengths_and_bounds(spark):
+    for bad in ([0, 2], [0, -1], [0, None], [0]):
+        with pytest.raises(ValueError):
+            place.parallel_scatter(seq(spark, [0, 0]), seq(spark, [1, 2]), seq(spark, bad))
+        with pytest.raises(ValueError):
+            order.apply_permutation(seq(spark, [5, 6]), seq(spark, bad))
+    arrays = Seq.from_list(spark, [[1], [2, 3]], "array<bigint>")
+    for rows in ([(0, 0)], [(0, 0), (1, 1), (2, 3)], [(0, 0), (1, None)], [(0, 0), (0, 0), (1, 1)]):
+        with pytest.raises(ValueError):
+            place.parallel_flatten_with_offsets(arrays, spark.createDataFrame(rows, "i long, offset long"))
+    with pytest.raises(Exception, match="not one row"):
+        tasks.join_rows(a=spark.range(2), b=spark.range(1)).collect()
+
+
+def test_comparators_grain_and_context(spark):
+    s = seq(spark, [5, -7, 7, 3, -5])
+    far = lambda a, b: (abs(a) > abs(b)) - (abs(a) < abs(b))
+    assert scalar(s.max_by(far)) == -7 and scalar(s.min_by(far)) == 3
+    assert scalar(s.min_by(lambda v: F.abs(v))) == 3
+    assert scalar(seq(spark, []).min_by(far)) is None
+    assert tuple(s.parallel_reduce_with_grain(2, total=F.sum, top=F.max).first()) == (3, 7)
+    arrays = Seq.from_list(spark, [[1], [2, 3]], "array<bigint>")
+    assert transform.to_list(compose.parallel_flatten_with_grain(arrays, 1)) == [1, 2, 3]
+    assert scalar(tasks.parallel_for_range_with_context(spark, 0, 10, lambda i, k: F.sum(i * k), k=3)) == 135
+    assert {r["value"] for r in tasks.broadcast_with_context(spark, lambda w, c: c["x"], {"x": 4}, "bigint").collect()} == {4}
+
+
+def test_searches_over_sparse_keys(spark):
+    df = spark.createDataFrame([(10 * k, v) for k, v in enumerate([1, 2, None, 2, 9])], "k long, v long").repartition(3)
+    s = Seq.of(df, "v", "k")
+    assert scalar(s.position_any(lambda v: v == 9)) == 4 and s.position_any(lambda v: v == 8).count() == 0
+    assert scalar(s.is_sorted()) is True and scalar(s.is_sorted(True)) is False
+    e = lambda v: F.when(v == 2, "two")
+    assert tuple(fallible.first_error(s, e).first()) == (1, "two")
+    assert tuple(fallible.try_reduce_frame(s, lambda v: v, e, F.sum, 0).first()) == (None, 1, "two")
+    assert tuple(fallible.try_reduce_frame(s, lambda v: v, lambda v: F.when(v > 99, "big"), F.sum, 0).first()) == (14, None, None)
+    n = Seq.range(spark, 0, 500)
+    assert all(scalar(Seq(n.df.withColumn("v", F.when(F.col("k0") == at, -1).otherwise(F.col("v"))), ["k0"]).is_sorted()) == (at == 0) for at in (0, 1, 250, 499))
 
 
 def test_partition_invariance(spark):
@@ -261,6 +302,10 @@ def test_session_state(monkeypatch, spark):
     session.set_grain_size(0)
     assert session.get_grain_size() == session.default_grain_size()
     assert session.get_stats(spark)["active_jobs"] == 0
+    session.reset_stats(spark)
+    assert session.get_stats(spark)["jobs"] == 0
+    spark.range(3).collect()
+    assert session.get_stats(spark)["jobs"] >= 1
 
 
 def test_streaming(spark, tmp_path):
