@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import hashlib
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch  # noqa: F401
+
 #: ASCII white space as the word pattern ``[^\x20\x09-\x0D]+`` sees it; ``bytes.split()`` cuts at exactly these bytes.
 WHITESPACE = " \t\n\v\f\r"
 U64 = (1 << 64) - 1
@@ -38,46 +35,6 @@ def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own on a single machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if "folder" not in _local:
-        _local["folder"] = tempfile.mkdtemp(prefix="scratch-")
-        atexit.register(shutil.rmtree, _local["folder"], True)
-    return _local["folder"]
-
-
-_local: dict[str, str] = {}
-
-
-class Scratch:
-    """Tables written to the shared folder to cut the lineage; :meth:`drop` deletes those that nothing reads any more."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.n, self.at = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0, {}
-
-    def cut(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.at[id(out)] = (out, path)
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        for df in frames:
-            _, path = self.at.pop(id(df))
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
-    def drop_all_but(self, *kept: DataFrame) -> None:
-        self.drop(*(df for df, _ in list(self.at.values()) if not any(df is k for k in kept)))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every input bit over a 64-bit word."""
     x = np.asarray(x, dtype=np.uint64).copy()
