@@ -375,11 +375,12 @@ def flatten_with_offsets_documents(spark, d):
     return place.parallel_flatten_with_offsets(s, place.cap_and_offsets(s))
 
 
-@query(f"WITH p AS (SELECT {i32('p_partkey')} AS i, round(p_retailprice * 100)::BIGINT AS v FROM part), c AS (SELECT {i32('c_custkey')} AS k, c_custkey FROM customer), w AS (SELECT (k * 7) % 500 AS i, arg_max(c_custkey, k) AS new FROM c GROUP BY 1) SELECT p.i, coalesce(w.new, p.v) AS v FROM p LEFT JOIN w USING (i)")
+@query(f"WITH p AS (SELECT {i32('p_partkey')} AS i, round(p_retailprice * 100)::BIGINT AS v FROM part), c AS (SELECT {i32('c_custkey')} AS k, c_custkey FROM customer), w AS (SELECT (k * 7) % (SELECT count(*) FROM part) AS i, arg_max(c_custkey, k) AS new FROM c GROUP BY 1) SELECT p.i, coalesce(w.new, p.v) AS v FROM p LEFT JOIN w USING (i)")
 def scatter_updates(spark, d):
     out = sequence(spark, d, "part", F.expr("cast(round(p_retailprice * 100) as bigint)"))
     values = sequence(spark, d, "customer", "c_custkey")
-    slots = transform.enumerate_map(values, lambda i, v: (i * 7) % 500)
+    size = out.df.count()
+    slots = transform.enumerate_map(values, lambda i, v: (i * 7) % size)
     return place.parallel_scatter(out, values, slots).indexed()
 
 
