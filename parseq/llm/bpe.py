@@ -21,7 +21,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Cache, batch, only, sha, table, texts
+from .common import Cache, batch, documents, only, sha, texts
 
 #: Fixed value: the pattern by which the byte-level vocabularies split a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -172,4 +172,4 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"))
+    return digests(documents(spark, sf_dir))

@@ -21,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; if the scan of a few files gives work to fewer tasks than run at a time, the rows are dealt to as many."""
+    docs, tasks = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    if len(docs._jdf.inputFiles()) >= tasks or docs.select(F.spark_partition_id().alias("p")).distinct().count() >= tasks:
+        return docs
+    return docs.repartition(tasks)
+
+
 def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

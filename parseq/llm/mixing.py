@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, documents
 
 DOMAIN = "CASE WHEN source = 'src0' THEN 'web' WHEN length(source) = 4 THEN 'books' ELSE 'forum' END"
 DOMAINS = {"web": 50, "books": 30, "forum": 20}
@@ -143,7 +143,7 @@ def mix(docs: DataFrame, share: tuple[int, int] = (6, 10), max_epochs: int = 2,
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return picks(table(spark, sf_dir, "documents"))
+    return picks(documents(spark, sf_dir))
 
 
 def _fill_sql(name: str, source: str, parent: str, budget: str) -> str:

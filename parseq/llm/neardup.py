@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cache, Scratch, batch, groups, mix64, only, table, texts
+from .common import Cache, Scratch, batch, documents, groups, mix64, only, texts
 from .components import components, grouped, least_labels, meetings
 
 BANDS, ROWS, MANTISSA = 32, 4, 10
@@ -309,4 +309,4 @@ def link(docs: DataFrame, width: int = 5, least: int = 80) -> DataFrame:
 
 
 def op5_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(table(spark, sf_dir, "documents"), width=4, least=80)
+    return link(documents(spark, sf_dir), width=4, least=80)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, batch, only, table, texts
+from .common import WHITESPACE, batch, documents, only, table, texts
 
 SYMBOLS = "#*$%&|<>"
 SAMPLE, LEAST_SHARE, TRUST = 1500, 0.5, 1.0
@@ -255,5 +255,5 @@ def keep(docs: DataFrame, crf: Crf | None, least_share: float = LEAST_SHARE) ->
 
 
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return judge(docs, train(docs, table(spark, sf_dir, "labels")))

@@ -18,7 +18,8 @@ QUERIES = {
     "op10_substrings_all": substrings.op10_substrings_all,
 }
 
-#: The others need a vocabulary's merges, hashed windows, trained models or components; tests/llm has their brute-force twins.
+#: The others need a vocabulary's merges, hashed windows, trained models or components; tests/llm has twins of their results,
+#: worked out by brute force or word by word (of op4 the score and the fit's likelihood, of op6 the score, of op8 the verdict).
 ORACLE: dict[str, str] = {
     "op3_chat": chat.ORACLE,
     "op9_mixing": mixing.ORACLE,

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, only, sha, table, texts
+from .common import batch, documents, only, sha, texts
 
 MIN_WORDS, MIN_RUN = 1, 15
 END = re.compile(r"\n|(?<=[.!?]) ")
@@ -135,7 +135,7 @@ def rewrite(docs: DataFrame, min_words: int = MIN_WORDS, min_run: int = MIN_RUN)
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str, min_run: int = MIN_RUN) -> DataFrame:
-    done = dedup(table(spark, sf_dir, "documents"), min_run=min_run)
+    done = dedup(documents(spark, sf_dir), min_run=min_run)
     spans = F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
     return done.select("doc_id", "n_units", "n_removed", F.coalesce(F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]), F.lit(0)).alias("removed_chars"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), spans.alias("removed_spans"))
 

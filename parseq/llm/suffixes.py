@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, groups, mix64, only, sha, shuffles, table
+from .common import batch, documents, groups, mix64, only, sha, shuffles
 
 WINDOW, GRAM, STEP, RUN_ITEMS, PARTS = 100, 20, 1 << 20, 100_000, 2
 LEFT = WINDOW - GRAM
@@ -459,4 +459,4 @@ def dedup(docs: DataFrame, parts: int | None = None, with_text: bool = False) ->
 
 
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return dedup(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

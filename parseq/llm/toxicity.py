@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cache, Scratch, batch, only, table, texts
+from .common import Cache, Scratch, batch, documents, only, table, texts
 
 BITS = 18
 BINS, BLOCKS, PRIOR, SAMPLE, COST, CLIP, THRESHOLD = 1 << BITS, 64, 2000.0, 12000, 0.7, 6.0, 0.7
@@ -272,6 +272,6 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.size("passages").cast("long").alias("n_passages"))

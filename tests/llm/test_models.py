@@ -335,6 +335,76 @@ def test_ordinal_recovers_order():
     assert np.mean([round(q.sum()) == g for q, (*_, g) in zip(p, rows)]) > 0.95
 
 
+def plain_features(text):
+    """The hashed features of operator 4, word by word."""
+    import re
+    from collections import Counter
+
+    n, last = Counter([quality_model.ALWAYS]), None
+    for word in text.split():
+        shape = re.sub(r"(\W)\1+", r"\1\1", re.sub(r"[0-9]+", "0", re.sub(r"[A-ZÀ-Þ]+", "A", re.sub(r"[a-zà-ÿ]+", "a", word))))
+        bins = tuple(quality_model._bin(k, v) for k, v in (("shape", shape[:12]), ("tail", re.search(r"\W*$", word)[0][:4]), ("start", word.lower()[:4])))
+        n.update(bins)
+        n[quality_model.AGAIN] += bins == last
+        last = bins
+    x = {b: np.log1p(c) for b, c in n.items() if c}
+    size = sum(v * v for v in x.values()) ** 0.5
+    return {b: v / size for b, v in x.items()}
+
+
+def test_quality_scores_same_as_plain_twin(spark):
+    docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
+    graded = labels.select("doc_id", F.expr("case when quality > 0 then 1 + cast(toxic = 0 as int) else 0 end").alias("grade"))
+    model = quality_model.train(docs, graded)
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(k, r[1]) for k, r in enumerate(hard_documents(), 10_000)]
+    got = {r.doc_id: r for r in quality_model.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, t in rows:
+        s = sum(float(model.weights[b]) * v for b, v in plain_features(t or "").items())
+        reached = [1 / (1 + np.exp(c - s)) for c in model.cuts]
+        assert abs(got[i].expected_grade - sum(reached)) < 1e-5 and abs(got[i].tail_probability - reached[0]) < 1e-5
+        assert got[i].kept == (got[i].tail_probability >= 0.5)
+
+
+def test_ordinal_fit_same_as_plain_likelihood():
+    """The fit against a plain search that improves one parameter at a time on the likelihood as it is written."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for _ in range(240):
+        a = rng.random()
+        y = int(np.digitize(4 * a - 2 + rng.logistic(), [-1.0, 1.0]))
+        rows.append((np.array([1, 2], np.int32), np.array([a, 1 - a]), y))
+
+    def like(p):
+        w, cuts = p[:2], (p[2], p[2] + np.exp(p[3]))
+        below = lambda k, s: 0.0 if k < 0 else 1.0 if k > 1 else 1 / (1 + np.exp(s - cuts[k]))
+        return np.mean([np.log(below(y, w @ x) - below(y - 1, w @ x)) for _, x, y in rows]) - 0.5e-5 * (w @ w)
+
+    p, step = np.zeros(4), 0.5
+    best = like(p)
+    while step > 1e-4:
+        moved = False
+        for k in range(4):
+            for d in (step, -step):
+                q = p.copy()
+                q[k] += d
+                if (v := like(q)) > best:
+                    p, best, moved = q, v, True
+        step = step if moved else step / 2
+    m = quality_model.fit(rows, steps=2000)
+    q = np.array([m.weights[1], m.weights[2], m.cuts[0], np.log(m.cuts[1] - m.cuts[0])])
+    assert abs(like(q) - best) < 1e-3
+    for _, x, _ in rows[:50]:
+        a = m.reached(float(q[:2] @ x))
+        b = [1 / (1 + np.exp(c - p[:2] @ x)) for c in (p[2], p[2] + np.exp(p[3]))]
+        assert np.allclose(a, b, atol=0.03)
+
+
+def test_quality_with_repeated_labels(spark):
+    docs, graded = table(spark, DATA, "documents"), table(spark, DATA, "labels").select("doc_id", F.col("quality").alias("grade"))
+    a, b = (quality_model.train(docs, g) for g in (graded, graded.unionByName(graded)))
+    assert (a.weights == b.weights).all() and (a.cuts == b.cuts).all()
+
+
 def test_quality_held_out(spark):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     graded = labels.select("doc_id", F.expr("case when quality > 0 then 1 + cast(toxic = 0 as int) else 0 end").alias("grade"))
