@@ -57,8 +57,11 @@ def postings(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 
 
 def index_stats(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    p = postings(docs, id_column, text)
-    return p.groupBy("token").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_tokens"), F.count(F.lit(1)).alias("unique_terms"))
+    """total_tokens, unique_terms: each document's own distinct tokens are exploded, its number of tokens comes with the first."""
+    tokens = docs.select(F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0)).alias("t"))
+    terms = tokens.select(F.size("t").alias("size"), F.posexplode(F.array_distinct("t")).alias("at", "token"))
+    by_term = terms.groupBy("token").agg(F.sum(F.when(F.col("at") == 0, F.col("size")).otherwise(0)).alias("n"))
+    return by_term.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_tokens"), F.count(F.lit(1)).alias("unique_terms"))
 
 
 def quasi_pi(spark: SparkSession, n: int) -> DataFrame:
