@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from parseq.llm import bpe, mixing, neardup, quality_rules, substrings
-from parseq.llm.common import Scratch, table
+from parseq.llm.common import Scratch, documents, table
 
 #: Share of the remaining tokens that the mix takes, each document at most once.
 SHARE = (8, 10)
@@ -50,7 +50,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     for _, stage in STAGES:
         docs = scratch.cut(stage(spark, docs, sf_dir))
         scratch.drop_all_but(docs)
