@@ -13,9 +13,13 @@ A byte goes when it lies in a ``WINDOW``-byte string that also starts earlier (s
    with the last winner the longer one wins unread, and for equal lengths only the bytes after them are compared.
 5. Windows. Common prefixes of neighbours, to the right and (after a second sort) to the left of an anchor, split the
    items of an anchor into classes of equal windows for each offset; all but the earliest window of a class are marked.
+6. Frequent grams. The sieve counts each gram exactly. Where a frequent passage begins or ends, the items of one gram differ in
+   their contexts, and all would meet in one part. So of the grams of a part of the hash range with more than ``HOT`` items the
+   ``MOST_HOT`` most frequent leave the merge: each run finds the windows of their items, keeps the earliest of equal ones and
+   deals it by the window's own digest of 96 bits, so a part gets one window from each run at most, however many documents
+   hold the gram. Grams past these are merged as others are: the rule moves work and no results.
 
-Nothing is compared in pairs, and items that many documents share leave each run once. What still meets in one part is
-one item for each run and each different context of a frequent passage's ends.
+Nothing is compared in pairs, and items that many documents share leave each run once.
 
 Defined results: null and short texts lose nothing; rows without an id can't be ranked and stay whole; rows that share an
 id count as one document (the same offsets go in each); texts of any length and any bytes are processed whole, in slices.
@@ -29,9 +33,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, documents, groups, mix64, only, sha, shuffles
+from .common import Scratch, batch, documents, groups, mix64, only, sha, shuffles
 
 WINDOW, GRAM, STEP, RUN_ITEMS, PARTS = 100, 20, 1 << 20, 100_000, 2
+HOT, MOST_HOT, HOT_SLICE = 1 << 14, 16, 1 << 14
 LEFT = WINDOW - GRAM
 #: A record: the suffix, the bytes before the anchor backwards, and both lengths; shorter parts are padded with zeros.
 RECORD = WINDOW + LEFT + 2
@@ -43,9 +48,27 @@ def grams(data: np.ndarray) -> np.ndarray:
     for width in (1, 2, 4):
         v = v[:-width] | v[width:] << np.uint64(8 * width)
     n = len(data) - GRAM + 1
-    h = v[:n] * np.uint64(0x9E3779B97F4A7C15)
-    h = mix64(h ^ v[8 : 8 + n] * np.uint64(0xC2B2AE3D27D4EB4F))
-    return mix64(h ^ v[GRAM - 8 : GRAM - 8 + n] * np.uint64(0x165667B19E3779F9))
+    return gram_hash(v[:n], v[8 : 8 + n], v[GRAM - 8 : GRAM - 8 + n])
+
+
+def gram_hash(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Of grams given as the 64-bit words at 0, 8 and GRAM - 8."""
+    h = a * np.uint64(0x9E3779B97F4A7C15)
+    h = mix64(h ^ b * np.uint64(0xC2B2AE3D27D4EB4F))
+    return mix64(h ^ c * np.uint64(0x165667B19E3779F9))
+
+
+def chained(words, seed: int) -> np.ndarray:
+    """Hash of rows given as 64-bit words, one array for each word of the rows; each word is mixed into all that came before."""
+    h = np.uint64(seed)
+    for w in words:
+        h = mix64(h ^ w * np.uint64(0x9E3779B97F4A7C15))
+    return h
+
+
+def words(rows: np.ndarray, starts) -> list[np.ndarray]:
+    """The 64-bit word of each row at each start."""
+    return [np.ascontiguousarray(rows[:, at : at + 8]).view("<u8").ravel() for at in starts]
 
 
 def items(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -151,7 +174,8 @@ def decoded(block: bytes, opener) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 def sieve_blocks(parts: int):
-    """(id, compressed text) -> (part, block) with the hashes, places and extents of anchors; ``known`` ones are live."""
+    """(id, compressed text) -> (part, block) with the hashes, places and extents of anchors; ``known`` ones are live. The
+    first entry of a gram also tells how many the block holds."""
     schema = pa.schema([("part", pa.int32()), ("block", pa.binary())])
 
     def emit(found):
@@ -161,6 +185,9 @@ def sieve_blocks(parts: int):
         h, doc, place = h[order], doc[order], place[order]
         again = np.concatenate([[False], h[1:] == h[:-1]])
         known = again | np.concatenate([again[1:], [False]])
+        first = np.flatnonzero(~again)
+        held = np.zeros(len(h), np.int64)
+        held[first] = np.diff(first, append=len(h))
         part = np.where(again, mix64((doc ^ place).view(np.uint64)) % np.uint64(parts), h % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         edges = np.searchsorted(part[order], np.arange(parts + 1))
@@ -168,7 +195,7 @@ def sieve_blocks(parts: int):
         for p in range(parts):
             at = order[edges[p] : edges[p + 1]]
             if len(at):
-                out.append((p, block_of(len(at), known[at], [np.diff(h[at].view(np.int64), prepend=0), doc[at], place[at]], b"", press)))
+                out.append((p, block_of(len(at), known[at], [np.diff(h[at].view(np.int64), prepend=0), doc[at], place[at], held[at]], b"", press)))
         return batch(schema, *zip(*out))
 
     def run(batches):
@@ -195,29 +222,97 @@ def sieve_blocks(parts: int):
     return run
 
 
-def sieved(batches):
-    """Blocks by part -> (doc_id, place) of the items whose gram occurs elsewhere too."""
-    schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int64())])
-    opener = zstandard.ZstdDecompressor()
-    for g in groups(batches, ["part"]):
-        found = []
-        for block in g.column("block"):
-            raw = opener.decompress(block.as_py())
-            n = int.from_bytes(raw[:4], "little")
-            h, doc, place = (unplanes(raw[4 + n + 8 * k * n : 4 + n + 8 * (k + 1) * n]) for k in range(3))
-            found.append((np.cumsum(h), doc, place, np.frombuffer(raw, np.uint8, n, 4) > 0))
-        h, doc, place, known = (np.concatenate(x) for x in zip(*found))
-        order = np.argsort(h, kind="stable")
-        again = h[order][1:] == h[order][:-1]
-        live = known.copy()
-        live[order[1:][again]] = True
-        live[order[:-1][again]] = True
-        yield batch(schema, doc[live], place[live])
+def sieved(most: int):
+    """Blocks by part -> (doc_id, place) of the items whose gram occurs elsewhere too, and the grams (hot, without doc_id) with
+    more than ``most`` items."""
+    schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("hot", pa.int64())])
+
+    def run(batches):
+        opener = zstandard.ZstdDecompressor()
+        for g in groups(batches, ["part"]):
+            found = []
+            for block in g.column("block"):
+                raw = opener.decompress(block.as_py())
+                n = int.from_bytes(raw[:4], "little")
+                h, doc, place, held = (unplanes(raw[4 + n + 8 * k * n : 4 + n + 8 * (k + 1) * n]) for k in range(4))
+                found.append((np.cumsum(h), doc, place, held, np.frombuffer(raw, np.uint8, n, 4) > 0))
+            h, doc, place, held, known = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(h, kind="stable")
+            again = h[order][1:] == h[order][:-1]
+            live = known.copy()
+            live[order[1:][again]] = True
+            live[order[:-1][again]] = True
+            first = np.concatenate([[0], np.flatnonzero(~again) + 1])
+            total = np.add.reduceat(held[order], first)
+            top = np.argsort(-total, kind="stable")[:MOST_HOT]
+            hot = h[order][first[top[total[top] > most]]]
+            rows = int(live.sum())
+            yield batch(schema, doc[live], place[live], pa.nulls(rows, pa.int64()))
+            yield batch(schema, pa.nulls(len(hot), pa.int64()), pa.nulls(len(hot), pa.int64()), hot)
+
+    return run
+
+
+def digests(rows: np.ndarray, offset: int) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits, as two numbers, of the window that begins ``offset`` bytes before the anchor of each record."""
+    text = np.zeros((len(rows), -(-WINDOW // 8) * 8), np.uint8)
+    text[:, :offset] = rows[:, WINDOW : WINDOW + offset][:, ::-1]
+    text[:, offset:WINDOW] = rows[:, : WINDOW - offset]
+    parts = words(text, range(0, text.shape[1], 8))
+    return chained(parts, 1), chained(parts, 2) >> np.uint64(32)
+
 
+def later(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by digest and place, and in that order: which rows aren't the first of their digest, and which of these are at
+    another place than the first."""
+    order = np.lexsort((start, doc, k2, k1))
+    k1, k2, doc, start = k1[order], k2[order], doc[order], start[order]
+    same = np.concatenate([[False], (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])])
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
+    return order, same, same & ((doc != doc[head]) | (start != start[head]))
 
-def runs(parts: int):
-    """(id, compressed text, places) -> (part, block, marks): sorted front-coded runs, and marks of repeats inside a run."""
-    schema = pa.schema([("part", pa.int32()), ("block", pa.binary()), ("marks", pa.binary())])
+
+def windows(rows: np.ndarray, doc: np.ndarray, anchor: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, np.ndarray]]:
+    """Of records: (digest, digest, document, start) of the earliest of equal windows, and marks of the others. Equal windows
+    have equal offsets, so each offset is done by itself."""
+    right, left = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
+    gone, kept = np.zeros((len(rows), LEFT + 1), bool), []
+    for o in range(LEFT + 1):
+        own = np.flatnonzero((left >= o) & (right >= WINDOW - o))
+        if len(own):
+            found = *digests(rows[own], o), doc[own], anchor[own] - o
+            order, same, repeat = later(*found)
+            gone[own[order[repeat]], o] = True
+            kept.append([x[order[~same]] for x in found])
+    return tuple(np.concatenate(x) for x in zip(*kept)), spans(gone, doc, anchor)
+
+
+def spans(gone: np.ndarray, doc: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and marks (start << 12 | length) of the windows marked in ``gone``, by item and offset."""
+    edge = np.diff(gone.astype(np.int8), axis=1, prepend=0, append=0)
+    row, low = np.nonzero(edge == 1)
+    _, high = np.nonzero(edge == -1)
+    return doc[row], (anchor[row] - high + 1) << 12 | (high - 1 - low + WINDOW)
+
+
+def runs(parts: int, hot: np.ndarray):
+    """(id, compressed text, places) -> (part, block, marks, windows): sorted front-coded runs, marks of repeats inside a run,
+    and windows of the items of ``hot`` grams."""
+    schema = pa.schema([("part", pa.int32()), ("block", pa.binary()), ("marks", pa.binary()), ("windows", pa.binary())])
+
+    def dealt(rows, doc, anchor, press):
+        """Blocks of windows by part, in slices of bounded size; the marks of repeats go with the first."""
+        for at in range(0, len(rows), HOT_SLICE):
+            some = slice(at, at + HOT_SLICE)
+            found, (docs, mark) = windows(rows[some], doc[some], anchor[some])
+            part = (found[0] % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((found[0], part))
+            edges = np.searchsorted(part[order], np.arange(parts + 1))
+            pressed = press.compress(planes(docs) + planes(mark)) if len(mark) else None
+            for p in np.flatnonzero(np.diff(edges)).tolist():
+                own = order[edges[p] : edges[p + 1]]
+                yield p, None, pressed, press.compress(b"".join(planes(x[own]) for x in found))
+                pressed = None
 
     def emit(found):
         press = zstandard.ZstdCompressor(level=1)
@@ -233,13 +328,15 @@ def runs(parts: int):
         repeat = same & ((doc != doc[head]) | (anchor != anchor[head]))
         mark = np.stack([doc[repeat], (anchor[repeat] - rows[repeat, -1]) << 12 | (rows[repeat, -2].astype(np.int64) + rows[repeat, -1])], 1)
         rows, doc, anchor, part = (x[~same] for x in (rows, doc, anchor, part))
+        often = np.isin(gram_hash(*words(rows, (0, 8, GRAM - 8))), hot)
+        out = list(dealt(rows[often], doc[often], anchor[often], press))
+        rows, doc, anchor, part = (x[~often] for x in (rows, doc, anchor, part))
         edges, shares = np.searchsorted(part, np.arange(parts + 1)), np.linspace(0, len(mark), parts + 1).astype(int)
-        out = []
         for p in range(parts):
             s, e = edges[p], edges[p + 1]
             m = mark[shares[p] : shares[p + 1]]
             if e > s or len(m):
-                out.append((p, front_coded(rows[s:e], doc[s:e], anchor[s:e], press) if e > s else None, press.compress(planes(m[:, 0]) + planes(m[:, 1])) if len(m) else None))
+                out.append((p, front_coded(rows[s:e], doc[s:e], anchor[s:e], press) if e > s else None, press.compress(planes(m[:, 0]) + planes(m[:, 1])) if len(m) else None, None))
         return batch(schema, *zip(*out))
 
     def run(batches):
@@ -363,10 +460,7 @@ def repeats(rows: np.ndarray, lcp: np.ndarray, doc: np.ndarray, anchor: np.ndarr
         _, head, of = np.unique(to_right[owners] * np.int64(n + 1) + to_left[owners], return_index=True, return_inverse=True)
         first = owners[head[of]]
         gone[owners, o] = (doc[first] != doc[owners]) | (anchor[first] != anchor[owners])
-    edge = np.diff(gone.astype(np.int8), axis=1, prepend=0, append=0)
-    row, low = np.nonzero(edge == 1)
-    _, high = np.nonzero(edge == -1)
-    return doc[row], (anchor[row] - high + 1) << 12 | (high - 1 - low + WINDOW)
+    return spans(gone, doc, anchor)
 
 
 def resolved(batches):
@@ -376,8 +470,14 @@ def resolved(batches):
     for g in groups(batches, ["part"]):
         for m in g.column("marks").to_pylist():
             if m:
-                both = unplanes_pair(opener.decompress(m))
-                yield batch(schema, *both)
+                yield batch(schema, *unplaned(opener.decompress(m), 2))
+        found = [unplaned(opener.decompress(w), 4) for w in g.column("windows").to_pylist() if w]
+        if found:
+            k1, k2, doc, start = (np.concatenate(x) for x in zip(*found))
+            order, _, repeat = later(k1, k2, doc, start)
+            at = order[repeat]
+            yield batch(schema, doc[at], start[at] << 12 | WINDOW)
+            del k1, k2, doc, start
         found = [decoded(x, opener) for x in g.column("block").to_pylist() if x]
         del g
         if not found:
@@ -396,8 +496,10 @@ def resolved(batches):
         yield batch(schema, *repeats(rows, np.array(lcp, dtype=np.int64), doc, anchor))
 
 
-def unplanes_pair(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return unplanes(raw[: len(raw) // 2]), unplanes(raw[len(raw) // 2 :])
+def unplaned(raw: bytes, n: int) -> list[np.ndarray]:
+    """``n`` arrays of one length laid end to end."""
+    size = len(raw) // n
+    return [unplanes(raw[k * size : (k + 1) * size]) for k in range(n)]
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -411,12 +513,15 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, z binary")
 
 
-def marks(docs: DataFrame, parts: int) -> DataFrame:
+def marks(docs: DataFrame, parts: int, most: int) -> DataFrame:
     """doc_id, marks: repeated windows of each document as start << 12 | length."""
     known = docs.filter("doc_id is not null")
     blocks = known.mapInArrow(sieve_blocks(parts), "part int, block binary").repartition(parts, "part").sortWithinPartitions("part")
-    live = blocks.mapInArrow(sieved, "doc_id long, place long").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    sorted_runs = known.join(live, "doc_id").select("doc_id", "z", "places").mapInArrow(runs(parts), "part int, block binary, marks binary")
+    told = Scratch(docs.sparkSession).cut(blocks.mapInArrow(sieved(most), "doc_id long, place long, hot long"))
+    # At most MOST_HOT numbers for each part.
+    hot = np.array([r.hot for r in told.filter("hot is not null").select("hot").collect()], np.int64).view(np.uint64)
+    live = told.filter("hot is null").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    sorted_runs = known.join(live, "doc_id").select("doc_id", "z", "places").mapInArrow(runs(parts, hot), "part int, block binary, marks binary, windows binary")
     found = sorted_runs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(resolved, "doc_id long, mark long")
     return found.groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
 
@@ -434,12 +539,13 @@ def removed(size: int, found: np.ndarray) -> np.ndarray:
     return np.stack([start[new], end[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(end) - 1]])]], 1)
 
 
-def dedup(docs: DataFrame, parts: int | None = None, with_text: bool = False) -> DataFrame:
-    """PARTS parts of the hash range for each shuffle partition, so that what a worker merges at once stays small.
+def dedup(docs: DataFrame, parts: int | None = None, with_text: bool = False, most: int = HOT) -> DataFrame:
+    """PARTS parts of the hash range for each shuffle partition, so that what a worker merges at once stays small; grams of
+    more than ``most`` items are dealt by windows.
 
     Gives doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (array of start, end in bytes), and kept (bytes) if asked."""
     z = packed(only(docs, doc_id="long", text="string"))
-    found = marks(z, parts or PARTS * shuffles(docs.sparkSession)).withColumnRenamed("doc_id", "id__")
+    found = marks(z, parts or PARTS * shuffles(docs.sparkSession), most).withColumnRenamed("doc_id", "id__")
     joined = z.join(found, F.col("doc_id") == F.col("id__"), "left").select("doc_id", "z", "marks")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("removed", span), ("kept", pa.binary())])

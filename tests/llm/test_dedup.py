@@ -4,7 +4,9 @@ import random
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 sys.path.insert(0, os.path.dirname(__file__))
 from fixtures import compared, duck, frame, hard_documents  # noqa: E402
@@ -26,10 +28,10 @@ def brute_windows(docs, width=100):
     return out
 
 
-@pytest.mark.parametrize("parts", [1, 7])
-def test_suffixes_same_as_brute_force(spark, parts):
+@pytest.mark.parametrize(("parts", "most"), [(1, suffixes.HOT), (7, suffixes.HOT), (1, 1), (7, 1)])
+def test_suffixes_same_as_brute_force(spark, parts, most):
     rows = hard_documents()
-    got = suffixes.dedup(frame(spark, rows), parts=parts).collect()
+    got = suffixes.dedup(frame(spark, rows), parts=parts, most=most).collect()
     flags = brute_windows([(r[0], r[1]) for r in rows if r[0] is not None])
     by_id = {r[0]: r[1] or "" for r in rows if r[0] is not None}
     assert len(got) == len(rows)
@@ -58,6 +60,38 @@ def test_suffixes_slices_and_small_runs(spark, monkeypatch):
     assert got == {i: sum(f) for i, f in flags.items()}
 
 
+@pytest.mark.parametrize("slice_", [5, 1000])
+def test_suffixes_of_one_passage_in_many_contexts(spark, monkeypatch, slice_):
+    """A third of the texts hold one passage in contexts of their own; its grams are dealt by windows, in several slices."""
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(250))
+    own = lambda n: "".join(rng.choice("ijklmnop ") for _ in range(n))
+    rows = [(k, own(150) + (passage if k % 3 == 0 else "") + own(150), "", "", 0, "", 0, "") for k in range(90)]
+    flags = brute_windows([(r[0], r[1]) for r in rows])
+    press = zstandard.ZstdCompressor()
+    z = pa.record_batch({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "z": pa.array([press.compress(r[1].encode()) for r in rows])})
+    told = pa.Table.from_batches(list(suffixes.sieved(20)(suffixes.sieve_blocks(1)(iter([z])))))
+    assert 3 <= told.num_rows - told["hot"].null_count <= suffixes.MOST_HOT
+    monkeypatch.setattr(suffixes, "HOT_SLICE", slice_)
+    for most in (20, suffixes.HOT):
+        got = {r.doc_id: r.n_removed for r in suffixes.dedup(frame(spark, rows), parts=3, most=most).collect()}
+        assert got == {i: sum(f) for i, f in flags.items()}
+    assert sum(got.values()) >= 29 * 250
+
+
+def test_suffix_digests_tell_windows_apart():
+    rng = np.random.default_rng(4)
+    text = rng.integers(0, 2, 400).astype(np.uint8)
+    first = np.arange(0, 100)
+    made = suffixes.records(text, np.zeros(100, np.int64), first, first + suffixes.LEFT, first + suffixes.LEFT)
+    by_window = {}
+    for o in range(suffixes.LEFT + 1):
+        for k, d in enumerate(zip(*suffixes.digests(made, o))):
+            start = k + suffixes.LEFT - o
+            assert by_window.setdefault(d, text[start : start + 100].tobytes()) == text[start : start + 100].tobytes()
+    assert len(by_window) == len(set(by_window.values()))
+
+
 def test_loser_tree():
     rng = np.random.default_rng(3)
     for k in (1, 2, 3, 5, 8):
@@ -75,7 +109,6 @@ def test_loser_tree():
 
 
 def test_front_coding_round_trip():
-    import zstandard
 
     rng = np.random.default_rng(4)
     rows = np.sort(rng.integers(0, 2, (500, suffixes.RECORD)).astype(np.uint8), axis=0)
