@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,15 +29,41 @@ def shared_folder(spark: SparkSession) -> str:
 _local: dict[str, str] = {}
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
+
+
+def _delete(jvm, settings, path: str) -> None:
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(settings).delete(p, True)
+
+
+def _at_end(*args) -> None:
+    """At the driver's end the JVM may be gone; then the files stay."""
+    with contextlib.suppress(Py4JError, OSError):
+        _delete(*args)
+
+
 class Scratch:
-    """Tables written to the shared folder to cut the lineage; :meth:`drop` deletes those that nothing reads any more."""
+    """Tables written to the shared folder to cut the lineage; :meth:`drop` deletes those that nothing reads any more, and the
+    driver's end all others."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n, self.at = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0, {}
+        jvm, settings = spark._jvm, spark._jsc.hadoopConfiguration()
+        atexit.register(_at_end, jvm, settings, self.root)
 
-    def cut(self, df: DataFrame) -> DataFrame:
+    def folder(self) -> str:
+        """A path of its own for files that the caller writes."""
         self.n += 1
-        path = f"{self.root}/{self.n}"
+        return f"{self.root}/{self.n}"
+
+    def delete(self, path: str) -> None:
+        _delete(self.spark._jvm, self.spark._jsc.hadoopConfiguration(), path)
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = self.folder()
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.at[id(out)] = (out, path)
@@ -44,8 +72,7 @@ class Scratch:
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             _, path = self.at.pop(id(df))
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            self.delete(path)
 
     def drop_all_but(self, *kept: DataFrame) -> None:
         self.drop(*(df for df, _ in list(self.at.values()) if not any(df is k for k in kept)))
