@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import Scratch  # noqa: F401
+from ..scratch import Scratch, make_folder  # noqa: F401
 
 #: ASCII white space as the word pattern ``[^\x20\x09-\x0D]+`` sees it; ``bytes.split()`` cuts at exactly these bytes.
 WHITESPACE = " \t\n\v\f\r"
