@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, mixing, neardup, quality_model, quality_rules, substrings, suffixes, toxicity, vectors
+from . import bpe, chat, exact, mixing, neardup, quality_model, quality_rules, substrings, suffixes, toxicity, trie, vectors
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_substrings": substrings.op10_substrings,
     "op10_substrings_all": substrings.op10_substrings_all,
+    "op11_trie": trie.op11_trie,
+    "op12_exact": exact.op12_exact,
 }
 
 #: The others need a vocabulary's merges, hashed windows, trained models or components; tests/llm has twins of their results,
@@ -25,4 +27,6 @@ ORACLE: dict[str, str] = {
     "op9_mixing": mixing.ORACLE,
     "op10_substrings": substrings.ORACLE,
     "op10_substrings_all": substrings.ORACLE_ALL,
+    "op11_trie": trie.ORACLE,
+    "op12_exact": exact.ORACLE,
 }

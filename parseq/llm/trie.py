@@ -324,7 +324,7 @@ def trie(turns: DataFrame, parts: int | None = None, scratch: Scratch | None = N
     sample = sorted({bytes.fromhex(r[0]) for r in known.filter(F.pmod(F.xxhash64("path"), F.lit(every)) == 0).select(F.expr(f"substring(path, 1, {2 * TOKEN * SPLITTER})")).collect()} - {b""})
     splitters = sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
     blocks = known.mapInArrow(runs(splitters), "part int, run long, no int, block binary")
-    out = scratch.cut(blocks.repartition(parts, "part").sortWithinPartitions("part", "run", "no").mapInArrow(nodes_of(splitters), NODES))
+    out = scratch.cut(blocks.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "run", "no").mapInArrow(nodes_of(splitters), NODES))
     scratch.drop(known)
     sums = [F.sum(c).alias(c) for c in ("n_convs", "n_children", "n_leaves", "saved_tokens")]
     edge = out.filter("mark is not null").groupBy("mark").agg(F.max("parent_mark").alias("parent_mark"), F.max("chars").alias("chars"), F.min("conv_id").alias("conv_id"), F.max("depth").alias("depth"), F.max("parent_conv_id").alias("parent_conv_id"), *sums, F.max("ends_sha256").alias("ends_sha256"))
