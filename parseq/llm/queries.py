@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact, mixing, neardup, quality_model, quality_rules, substrings, suffixes, toxicity, trie, vectors
+from . import bpe, chat, exact, mixing, neardup, negatives, quality_model, quality_rules, substrings, suffixes, toxicity, trie, vectors
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_substrings_all": substrings.op10_substrings_all,
     "op11_trie": trie.op11_trie,
     "op12_exact": exact.op12_exact,
+    "op13_negatives": negatives.op13_negatives,
 }
 
 #: The others need a vocabulary's merges, hashed windows, trained models or components; tests/llm has twins of their results,
@@ -29,4 +30,5 @@ ORACLE: dict[str, str] = {
     "op10_substrings_all": substrings.ORACLE_ALL,
     "op11_trie": trie.ORACLE,
     "op12_exact": exact.ORACLE,
+    "op13_negatives": negatives.ORACLE,
 }
