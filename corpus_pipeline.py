@@ -25,7 +25,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return substrings.rewrite(docs)
+    return substrings.rewrite(docs, min_run=substrings.PASSAGE)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ character inside roles and texts, so no text can imitate a turn and reading back
 
 Defined results: null texts and roles are empty strings; turns with equal numbers are ordered by role, then text, and
 repeated rows are repeated turns; a null conversation id is one conversation of its own; null turn numbers come first;
-a record that gives no turns gives one row with its fingerprint and a reason; contents that are lists of parts are their
+a record that gives no turns (no JSON object, no known layout, an empty list of turns, nested more deeply than Python follows,
+or holding halves of characters, which no text can) gives one row with its fingerprint and a reason; contents that are lists of parts are their
 texts in order (parts without a text, and values that aren't text, as JSON), turns that aren't objects have no role; other
 columns are ignored. A conversation is streamed turn by turn
 in one task's order, never held whole, as its digest is sequential.
@@ -78,9 +79,10 @@ def select(paths) -> tuple[str, dict | None]:
 
 
 def paths_of(value, at: str = "") -> Iterator[str]:
-    """Nested field paths of a JSON value; list items share the path ``name[]``."""
+    """Nested field paths of a JSON value; list items share the path ``name[]``. Names that hold a mark of a path are quoted."""
     if isinstance(value, dict):
         for k, v in value.items():
+            k = json.dumps(k) if re.search(r'[].["]', k) else k
             yield from paths_of(v, f"{at}.{k}" if at else k)
     elif isinstance(value, list):
         for v in value:
@@ -108,17 +110,32 @@ def plain(value) -> str:
     return json.dumps(value, ensure_ascii=False)
 
 
+#: An escape that may be half of a character; most records have none, and needn't be looked through.
+LONE = re.compile(r"\\u[dD][89a-fA-F]")
+
+
 def canonical(record: str | None) -> tuple[str, list[tuple[str, str]], str | None]:
     """Fingerprint and canonical turns of one JSON record, or the reason why there are none."""
     try:
         value = json.loads(record or "null")
+        if LONE.search(record or ""):
+            json.dumps(value, ensure_ascii=False).encode()
+        if isinstance(value, dict):
+            return mapped(value)
+    except UnicodeEncodeError:
+        return fingerprint([]), [], "halves of characters"
+    except RecursionError:
+        return fingerprint([]), [], "nested too deeply"
     except ValueError:
-        value = None
-    if not isinstance(value, dict):
-        return fingerprint([]), [], "not a JSON object"
+        pass
+    return fingerprint([]), [], "not a JSON object"
+
+
+def mapped(value: dict) -> tuple[str, list[tuple[str, str]], str | None]:
     mark, layout = select(list(paths_of(value)))
     if not layout or "row" in layout:
-        return mark, [], "a single turn" if layout else "no known layout"
+        none = any(value.get(x["turns"]) == [] for x in LAYOUTS.values() if "turns" in x)
+        return mark, [], "a single turn" if layout else "no turns" if none else "no known layout"
     if "turns" in layout:
         items = [x if isinstance(x, dict) else {layout["text"]: x} for x in value[layout["turns"]]]
         turns = [(ROLES.get(r := plain(x.get(layout["role"])), r), plain(x.get(layout["text"]))) for x in items]

@@ -379,7 +379,7 @@ def mined(vectors: DataFrame, every: int = 100, scratch: Scratch | None = None)
     positives = scratch.cut(merged(found(here[1].withColumn("goals", F.lit(None).cast("array<long>")), here[0], pairs, stripes, True), POSITIVES).select("row", "vec_id", (F.col("place") - 1).alias("k"), "name", "score"))
     goals = positives.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "score"))), lambda x: x["score"]).alias("goals"))
     ready = scratch.cut(here[1].join(goals, "row"))
-    looked = ready.select("tile", F.explode("goals").alias("p")).filter("p >= 0").groupBy("tile").agg((F.min("p") * F.lit(LEAST) / 100 - 1).cast("double").alias("least"), F.max("p").cast("double").alias("most"))
+    looked = ready.select("tile", F.explode("goals").alias("p")).filter("p >= 0").groupBy("tile").agg((F.min("p").cast("double") * (LEAST / 100 - 1e-9) - 1).alias("least"), (F.max("p").cast("double") * (1 + 1e-9) + 1).alias("most"))
     pairs = meetings(roots[1].join(looked, "tile"), roots[0], False, sizes[1], sizes[0])
     negatives = merged(found(ready, here[0], pairs, stripes, False), NEGATIVES)
     both = negatives.join(positives.select("row", "k", F.col("name").alias("positive_id"), F.col("score").alias("positive_score")), ["row", "k"])

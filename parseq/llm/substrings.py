@@ -1,11 +1,12 @@
 """Operator 10: substring dedup by hashed lines and sentences.
 
 A text is cut at line feeds and after sentence ends; units are normalised (lower case, single spaces) and hashed. Of all
-occurrences of a unit the earliest one (smallest doc_id, then position) stays, the others are repeats. Repeats go where
-consecutive ones hold at least ``min_run`` words together (blank units between them don't count, and go with them): a passage
-of short lines is as much of a repeat as a long sentence, while a lone common phrase stays. With ``min_run`` 1 every repeat
-goes, and ``min_words`` leaves out shorter units. What stays keeps its original characters, and the removed spans are
-given as offsets into the original text.
+occurrences of a unit the earliest one (smallest doc_id, then position) stays, and the others go. What stays keeps its
+original characters, and the removed spans are given as offsets into the original text.
+
+Two options restrict this: ``min_words`` leaves out shorter units, and with ``min_run`` repeats go only where consecutive ones
+hold so many words together (blank units between them don't count, and go with them), so that a passage of short lines goes
+as a long sentence does, while a lone common phrase in a text of its own stays.
 
 Spark takes the minimum of each digest with partial aggregation, so a passage that a third of all documents share is one
 row for each task; the winners, not the repeats, then travel back to their documents, which no frequent unit can skew.
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import batch, documents, only, sha, texts
 
-MIN_WORDS, MIN_RUN = 1, 15
+MIN_WORDS, MIN_RUN = 1, 1
+#: The run length of ``op10_substrings`` and of the pipeline, which have to leave texts without repeated passages alone.
+PASSAGE = 15
 END = re.compile(r"\n|(?<=[.!?]) ")
 
 
@@ -134,7 +137,7 @@ def rewrite(docs: DataFrame, min_words: int = MIN_WORDS, min_run: int = MIN_RUN)
     return joined.mapInArrow(run, docs.schema)
 
 
-def op10_substrings(spark: SparkSession, sf_dir: str, min_run: int = MIN_RUN) -> DataFrame:
+def op10_substrings(spark: SparkSession, sf_dir: str, min_run: int = PASSAGE) -> DataFrame:
     done = dedup(documents(spark, sf_dir), min_run=min_run)
     spans = F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
     return done.select("doc_id", "n_units", "n_removed", F.coalesce(F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]), F.lit(0)).alias("removed_chars"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), spans.alias("removed_spans"))
@@ -142,7 +145,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str, min_run: int = MIN_RUN) ->
 
 def op10_substrings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every repeat goes, however short."""
-    return op10_substrings(spark, sf_dir, 1)
+    return op10_substrings(spark, sf_dir, MIN_RUN)
 
 
 ORACLE = rf"""
@@ -154,7 +157,7 @@ placed AS (SELECT doc_id, k, s, substr(text, s + 1, length(unit) + 1) AS orig, a
 rep AS (SELECT *, words >= {MIN_WORDS} AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 AS again FROM placed),
 run AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id, again OR words = 0 ORDER BY k) AS grp FROM rep),
 ends AS (SELECT *, min(k) FILTER (again) OVER w AS low, max(k) FILTER (again) OVER w AS high, sum(words) OVER w AS total FROM run WINDOW w AS (PARTITION BY doc_id, again OR words = 0, grp)),
-mark AS (SELECT *, coalesce((again OR words = 0) AND k BETWEEN low AND high AND total >= {MIN_RUN}, false) AS gone FROM ends),
+mark AS (SELECT *, coalesce((again OR words = 0) AND k BETWEEN low AND high AND total >= {PASSAGE}, false) AS gone FROM ends),
 spans AS (SELECT doc_id, string_agg(b || '-' || f, ',' ORDER BY b) AS removed_spans FROM (SELECT doc_id, min(s) AS b, max(s + length(orig)) AS f FROM mark WHERE gone GROUP BY doc_id, grp) GROUP BY doc_id),
 sums AS (SELECT doc_id, count(*)::BIGINT AS n_units, count(*) FILTER (WHERE gone)::BIGINT AS n_removed, coalesce(sum(length(orig)) FILTER (WHERE gone), 0)::BIGINT AS removed_chars,
   coalesce(string_agg(orig, '' ORDER BY k) FILTER (WHERE NOT gone), '') AS kept FROM mark GROUP BY doc_id)
@@ -162,4 +165,4 @@ SELECT d.doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)
 FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN spans USING (doc_id)
 """
 
-ORACLE_ALL = ORACLE.replace(f"total >= {MIN_RUN}", "total >= 1")
+ORACLE_ALL = ORACLE.replace(f"total >= {PASSAGE}", f"total >= {MIN_RUN}")

@@ -13,11 +13,10 @@ A byte goes when it lies in a ``WINDOW``-byte string that also starts earlier (s
    with the last winner the longer one wins unread, and for equal lengths only the bytes after them are compared.
 5. Windows. Common prefixes of neighbours, to the right and (after a second sort) to the left of an anchor, split the
    items of an anchor into classes of equal windows for each offset; all but the earliest window of a class are marked.
-6. Frequent grams. The sieve counts each gram exactly. Where a frequent passage begins or ends, the items of one gram differ in
-   their contexts, and all would meet in one part. So of the grams of a part of the hash range with more than ``HOT`` items the
-   ``MOST_HOT`` most frequent leave the merge: each run finds the windows of their items, keeps the earliest of equal ones and
-   deals it by the window's own digest of 96 bits, so a part gets one window from each run at most, however many documents
-   hold the gram. Grams past these are merged as others are: the rule moves work and no results.
+6. Frequent grams. Where a frequent passage begins or ends, the items of one gram differ in their contexts, and all would meet in
+   one part. The sieve counts each gram exactly. Every gram with more than half of an average part's items, so at most two for
+   each part, is split by offsets: each window of its items becomes an item of its own, dealt by the hash of its 100 bytes.
+   These items take the same way as all others (sorted runs, equal ones leave a run once, loser trees, bytes compared).
 
 Nothing is compared in pairs, and items that many documents share leave each run once.
 
@@ -35,8 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, batch, documents, groups, mix64, only, sha, shuffles
 
-WINDOW, GRAM, STEP, RUN_ITEMS, PARTS = 100, 20, 1 << 20, 100_000, 2
-HOT, MOST_HOT, HOT_SLICE = 1 << 14, 16, 1 << 14
+WINDOW, GRAM, STEP, RUN_ITEMS, PARTS = 100, 20, 1 << 20, 100_000, 4
+#: Items of a gram from which on the sieve reports its count, and items that are split by offsets at a time.
+COUNTED, SPLIT = 1 << 10, 1 << 12
 LEFT = WINDOW - GRAM
 #: A record: the suffix, the bytes before the anchor backwards, and both lengths; shorter parts are padded with zeros.
 RECORD = WINDOW + LEFT + 2
@@ -222,10 +222,10 @@ def sieve_blocks(parts: int):
     return run
 
 
-def sieved(most: int):
-    """Blocks by part -> (doc_id, place) of the items whose gram occurs elsewhere too, and the grams (hot, without doc_id) with
-    more than ``most`` items."""
-    schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("hot", pa.int64())])
+def sieved(least: int):
+    """Blocks by part -> (doc_id, place) of the items whose gram occurs elsewhere too, and (gram, n) of the grams that occur
+    ``least`` times or more."""
+    schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
         opener = zstandard.ZstdDecompressor()
@@ -244,47 +244,27 @@ def sieved(most: int):
             live[order[:-1][again]] = True
             first = np.concatenate([[0], np.flatnonzero(~again) + 1])
             total = np.add.reduceat(held[order], first)
-            top = np.argsort(-total, kind="stable")[:MOST_HOT]
-            hot = h[order][first[top[total[top] > most]]]
-            rows = int(live.sum())
-            yield batch(schema, doc[live], place[live], pa.nulls(rows, pa.int64()))
-            yield batch(schema, pa.nulls(len(hot), pa.int64()), pa.nulls(len(hot), pa.int64()), hot)
+            often = total >= least
+            rows, grams = int(live.sum()), int(often.sum())
+            none = pa.nulls(rows, pa.int64())
+            yield batch(schema, doc[live], place[live], none, none)
+            yield batch(schema, pa.nulls(grams, pa.int64()), pa.nulls(grams, pa.int64()), h[order][first[often]], total[often])
 
     return run
 
 
-def digests(rows: np.ndarray, offset: int) -> tuple[np.ndarray, np.ndarray]:
-    """96 bits, as two numbers, of the window that begins ``offset`` bytes before the anchor of each record."""
-    text = np.zeros((len(rows), -(-WINDOW // 8) * 8), np.uint8)
-    text[:, :offset] = rows[:, WINDOW : WINDOW + offset][:, ::-1]
-    text[:, offset:WINDOW] = rows[:, : WINDOW - offset]
-    parts = words(text, range(0, text.shape[1], 8))
-    return chained(parts, 1), chained(parts, 2) >> np.uint64(32)
-
-
-def later(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by digest and place, and in that order: which rows aren't the first of their digest, and which of these are at
-    another place than the first."""
-    order = np.lexsort((start, doc, k2, k1))
-    k1, k2, doc, start = k1[order], k2[order], doc[order], start[order]
-    same = np.concatenate([[False], (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])])
-    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
-    return order, same, same & ((doc != doc[head]) | (start != start[head]))
-
-
-def windows(rows: np.ndarray, doc: np.ndarray, anchor: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, np.ndarray]]:
-    """Of records: (digest, digest, document, start) of the earliest of equal windows, and marks of the others. Equal windows
-    have equal offsets, so each offset is done by itself."""
+def split(rows: np.ndarray, doc: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Records -> a record for each of their windows: the window is the suffix, nothing is before it."""
     right, left = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
-    gone, kept = np.zeros((len(rows), LEFT + 1), bool), []
+    found = []
     for o in range(LEFT + 1):
         own = np.flatnonzero((left >= o) & (right >= WINDOW - o))
-        if len(own):
-            found = *digests(rows[own], o), doc[own], anchor[own] - o
-            order, same, repeat = later(*found)
-            gone[own[order[repeat]], o] = True
-            kept.append([x[order[~same]] for x in found])
-    return tuple(np.concatenate(x) for x in zip(*kept)), spans(gone, doc, anchor)
+        out = np.zeros((len(own), RECORD), np.uint8)
+        out[:, :o] = rows[own, WINDOW : WINDOW + o][:, ::-1]
+        out[:, o:WINDOW] = rows[own, : WINDOW - o]
+        out[:, -2] = WINDOW
+        found.append((out, doc[own], anchor[own] - o))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def spans(gone: np.ndarray, doc: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -296,30 +276,14 @@ def spans(gone: np.ndarray, doc: np.ndarray, anchor: np.ndarray) -> tuple[np.nda
 
 
 def runs(parts: int, hot: np.ndarray):
-    """(id, compressed text, places) -> (part, block, marks, windows): sorted front-coded runs, marks of repeats inside a run,
-    and windows of the items of ``hot`` grams."""
-    schema = pa.schema([("part", pa.int32()), ("block", pa.binary()), ("marks", pa.binary()), ("windows", pa.binary())])
-
-    def dealt(rows, doc, anchor, press):
-        """Blocks of windows by part, in slices of bounded size; the marks of repeats go with the first."""
-        for at in range(0, len(rows), HOT_SLICE):
-            some = slice(at, at + HOT_SLICE)
-            found, (docs, mark) = windows(rows[some], doc[some], anchor[some])
-            part = (found[0] % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((found[0], part))
-            edges = np.searchsorted(part[order], np.arange(parts + 1))
-            pressed = press.compress(planes(docs) + planes(mark)) if len(mark) else None
-            for p in np.flatnonzero(np.diff(edges)).tolist():
-                own = order[edges[p] : edges[p + 1]]
-                yield p, None, pressed, press.compress(b"".join(planes(x[own]) for x in found))
-                pressed = None
+    """(id, compressed text, places) -> (part, block, marks): sorted front-coded runs and marks of repeats inside a run; the
+    items of ``hot`` grams are split by offsets, a bounded number at a time."""
+    schema = pa.schema([("part", pa.int32()), ("block", pa.binary()), ("marks", pa.binary())])
 
-    def emit(found):
-        press = zstandard.ZstdCompressor(level=1)
-        rows, doc, anchor = (np.concatenate(x) for x in zip(*found))
+    def ordered(rows, doc, anchor, part):
+        """Records by part, then by bytes, each once (the earliest), and marks of the others."""
         order = np.lexsort((anchor, doc))
-        rows, doc, anchor = rows[order], doc[order], anchor[order]
-        part = (mix64(np.ascontiguousarray(rows[:, :8]).view(np.uint64).ravel() ^ mix64(np.ascontiguousarray(rows[:, 8:16]).view(np.uint64).ravel())) % np.uint64(parts)).astype(np.int64)
+        rows, doc, anchor, part = rows[order], doc[order], anchor[order], part[order]
         keys = np.concatenate([part.astype(">u4").view(np.uint8).reshape(-1, 4), rows], 1)
         order = np.argsort(keys.view(f"S{RECORD + 4}").ravel(), kind="stable")
         rows, doc, anchor, part = rows[order], doc[order], anchor[order], part[order]
@@ -327,17 +291,30 @@ def runs(parts: int, hot: np.ndarray):
         head = np.maximum.accumulate(np.where(same, 0, np.arange(len(rows))))
         repeat = same & ((doc != doc[head]) | (anchor != anchor[head]))
         mark = np.stack([doc[repeat], (anchor[repeat] - rows[repeat, -1]) << 12 | (rows[repeat, -2].astype(np.int64) + rows[repeat, -1])], 1)
-        rows, doc, anchor, part = (x[~same] for x in (rows, doc, anchor, part))
-        often = np.isin(gram_hash(*words(rows, (0, 8, GRAM - 8))), hot)
-        out = list(dealt(rows[often], doc[often], anchor[often], press))
-        rows, doc, anchor, part = (x[~often] for x in (rows, doc, anchor, part))
+        return rows[~same], doc[~same], anchor[~same], part[~same], mark
+
+    def blocks(rows, doc, anchor, part, mark, press):
         edges, shares = np.searchsorted(part, np.arange(parts + 1)), np.linspace(0, len(mark), parts + 1).astype(int)
+        out = []
         for p in range(parts):
             s, e = edges[p], edges[p + 1]
             m = mark[shares[p] : shares[p + 1]]
             if e > s or len(m):
-                out.append((p, front_coded(rows[s:e], doc[s:e], anchor[s:e], press) if e > s else None, press.compress(planes(m[:, 0]) + planes(m[:, 1])) if len(m) else None, None))
-        return batch(schema, *zip(*out))
+                out.append((p, front_coded(rows[s:e], doc[s:e], anchor[s:e], press) if e > s else None, press.compress(planes(m[:, 0]) + planes(m[:, 1])) if len(m) else None))
+        if out:
+            yield batch(schema, *zip(*out))
+
+    def emit(found):
+        press = zstandard.ZstdCompressor(level=1)
+        rows, doc, anchor = (np.concatenate(x) for x in zip(*found))
+        gram = words(rows, (0, 8))
+        rows, doc, anchor, part, mark = ordered(rows, doc, anchor, (mix64(gram[0] ^ mix64(gram[1])) % np.uint64(parts)).astype(np.int64))
+        often = np.isin(gram_hash(*words(rows, (0, 8, GRAM - 8))), hot)
+        yield from blocks(*(x[~often] for x in (rows, doc, anchor, part)), mark, press)
+        rows, doc, anchor = rows[often], doc[often], anchor[often]
+        for at in range(0, len(rows), SPLIT):
+            some = split(*(x[at : at + SPLIT] for x in (rows, doc, anchor)))
+            yield from blocks(*ordered(*some, (chained(words(some[0], (*range(0, WINDOW - 8, 8), WINDOW - 8)), 1) % np.uint64(parts)).astype(np.int64)), press)
 
     def run(batches):
         opener, found, size = zstandard.ZstdDecompressor(), [], 0
@@ -353,10 +330,10 @@ def runs(parts: int, hot: np.ndarray):
                     found.append((records(data, np.zeros(len(anchor), np.int64), anchor - left, anchor + right - WINDOW, anchor), np.full(len(anchor), doc), anchor))
                     size += len(anchor)
                     if size >= RUN_ITEMS:
-                        yield emit(found)
+                        yield from emit(found)
                         found, size = [], 0
         if size:
-            yield emit(found)
+            yield from emit(found)
 
     return run
 
@@ -471,13 +448,6 @@ def resolved(batches):
         for m in g.column("marks").to_pylist():
             if m:
                 yield batch(schema, *unplaned(opener.decompress(m), 2))
-        found = [unplaned(opener.decompress(w), 4) for w in g.column("windows").to_pylist() if w]
-        if found:
-            k1, k2, doc, start = (np.concatenate(x) for x in zip(*found))
-            order, _, repeat = later(k1, k2, doc, start)
-            at = order[repeat]
-            yield batch(schema, doc[at], start[at] << 12 | WINDOW)
-            del k1, k2, doc, start
         found = [decoded(x, opener) for x in g.column("block").to_pylist() if x]
         del g
         if not found:
@@ -513,16 +483,19 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, z binary")
 
 
-def marks(docs: DataFrame, parts: int, most: int) -> DataFrame:
-    """doc_id, marks: repeated windows of each document as start << 12 | length."""
+def marks(docs: DataFrame, parts: int, most: int | None = None) -> DataFrame:
+    """doc_id, marks: repeated windows of each document as start << 12 | length. Grams of more than ``most`` items are split by
+    offsets (default: half of an average part's items)."""
     known = docs.filter("doc_id is not null")
-    blocks = known.mapInArrow(sieve_blocks(parts), "part int, block binary").repartition(parts, "part").sortWithinPartitions("part")
-    told = Scratch(docs.sparkSession).cut(blocks.mapInArrow(sieved(most), "doc_id long, place long, hot long"))
-    # At most MOST_HOT numbers for each part.
-    hot = np.array([r.hot for r in told.filter("hot is not null").select("hot").collect()], np.int64).view(np.uint64)
-    live = told.filter("hot is null").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    sorted_runs = known.join(live, "doc_id").select("doc_id", "z", "places").mapInArrow(runs(parts, hot), "part int, block binary, marks binary, windows binary")
-    found = sorted_runs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(resolved, "doc_id long, mark long")
+    blocks = known.mapInArrow(sieve_blocks(parts), "part int, block binary").repartitionById(parts, F.col("part")).sortWithinPartitions("part")
+    told = Scratch(docs.sparkSession).cut(blocks.mapInArrow(sieved(COUNTED if most is None else most + 1), "doc_id long, place long, gram long, n long"))
+    if most is None:
+        most = max(COUNTED, told.filter("gram is null").count() // (2 * parts))
+    # Their items together are at most all items: two grams for each part.
+    hot = np.array([r.gram for r in told.filter(F.col("n") > most).select("gram").collect()], np.int64).view(np.uint64)
+    live = told.filter("gram is null").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    sorted_runs = known.join(live, "doc_id").select("doc_id", "z", "places").mapInArrow(runs(parts, hot), "part int, block binary, marks binary")
+    found = sorted_runs.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(resolved, "doc_id long, mark long")
     return found.groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
 
 
@@ -539,9 +512,9 @@ def removed(size: int, found: np.ndarray) -> np.ndarray:
     return np.stack([start[new], end[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(end) - 1]])]], 1)
 
 
-def dedup(docs: DataFrame, parts: int | None = None, with_text: bool = False, most: int = HOT) -> DataFrame:
-    """PARTS parts of the hash range for each shuffle partition, so that what a worker merges at once stays small; grams of
-    more than ``most`` items are dealt by windows.
+def dedup(docs: DataFrame, parts: int | None = None, with_text: bool = False, most: int | None = None) -> DataFrame:
+    """PARTS parts of the hash range for each shuffle partition, so that what a worker merges at once stays small; ``most`` as
+    in :func:`marks`.
 
     Gives doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (array of start, end in bytes), and kept (bytes) if asked."""
     z = packed(only(docs, doc_id="long", text="string"))

@@ -45,7 +45,7 @@ def test_layouts(spark):
     assert all(chat.canonical(json.dumps(r))[1] == turns for r in records)
     assert len({chat.canonical(json.dumps(r))[0] for r in records}) == len(records)
     assert chat.canonical(json.dumps({"instruction": "q", "input": "more", "output": "a"}))[1] == [("user", "q"), ("user", "more"), ("assistant", "a")]
-    for odd, reason in ((None, "not a JSON object"), ("", "not a JSON object"), ("[1]", "not a JSON object"), ("{bad", "not a JSON object"), ('{"other": 1}', "no known layout"), ('{"messages": []}', "no known layout")):
+    for odd, reason in ((None, "not a JSON object"), ("", "not a JSON object"), ("[1]", "not a JSON object"), ("{bad", "not a JSON object"), ('{"other": 1}', "no known layout"), ('{"messages": []}', "no turns")):
         assert chat.canonical(odd)[1:] == ([], reason)
     both = {"messages": [{"role": "user", "content": [{"type": "text", "text": "q"}]}, {"role": "assistant", "content": "a"}], "prompt": "p"}
     mixes = [both, {"instruction": "q", "output": "a", "prompt": "p"}, {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}], "response": "r"}, {"prompt": "q", "completion": "a", "conv_id": 1, "role": "x"}]
@@ -56,6 +56,13 @@ def test_layouts(spark):
     rows = chat.canonical_turns(df, "id", "body").collect()
     assert len(rows) == 2 * len(records) + 1
     assert [r.reason for r in rows if r.turn is None] == ["not a JSON object"]
+    deep = '{"messages": ' + "[" * 3000 + "]" * 3000 + "}"
+    content = '{"messages": [{"role": "user", "content": ' + '{"a":' * 5000 + "1" + "}" * 5000 + "}]}"
+    clash = '{"messages[]": 1, "messages": 5, "messages[].role": 2, "messages[].content": 3}'
+    hard = [(1, deep), (2, content), (3, clash), (4, '{"prompt": "q", "response": "\\ud800"}'), (5, '{"\\udfff": 1}'), (6, '{"prompt": "q", "response": "\\ud83d\\ude00"}'), (7, json.dumps(records[0]))]
+    rows = chat.canonical_turns(spark.createDataFrame(hard, "id long, body string"), "id", "body").collect()
+    assert [(r.conv_id, r.reason) for r in rows if r.turn is None] == [(1, "nested too deeply"), (2, "nested too deeply"), (3, "no known layout"), (4, "halves of characters"), (5, "halves of characters")]
+    assert [(r.conv_id, r.text) for r in rows if r.turn is not None] == [(6, "q"), (6, "\U0001f600"), (7, "q"), (7, "a")]
     wide = spark.createDataFrame([(1, 0, "user", "t", "extra", "p")], "conv_id long, turn long, role string, text string, input string, prompt string")
     assert chat.format_rows(wide).count() == 1
     with pytest.raises(ValueError):

@@ -28,7 +28,7 @@ def brute_windows(docs, width=100):
     return out
 
 
-@pytest.mark.parametrize(("parts", "most"), [(1, suffixes.HOT), (7, suffixes.HOT), (1, 1), (7, 1)])
+@pytest.mark.parametrize(("parts", "most"), [(1, None), (7, None), (1, 1), (7, 1)])
 def test_suffixes_same_as_brute_force(spark, parts, most):
     rows = hard_documents()
     got = suffixes.dedup(frame(spark, rows), parts=parts, most=most).collect()
@@ -60,36 +60,36 @@ def test_suffixes_slices_and_small_runs(spark, monkeypatch):
     assert got == {i: sum(f) for i, f in flags.items()}
 
 
-@pytest.mark.parametrize("slice_", [5, 1000])
-def test_suffixes_of_one_passage_in_many_contexts(spark, monkeypatch, slice_):
-    """A third of the texts hold one passage in contexts of their own; its grams are dealt by windows, in several slices."""
+@pytest.mark.parametrize("some", [5, 1000])
+def test_suffixes_of_one_passage_in_many_contexts(spark, monkeypatch, some):
+    """A third of the texts hold one passage in contexts of their own; all its grams are split by offsets, many of a part."""
     rng = random.Random(9)
-    passage = "".join(rng.choice("abcdefgh ") for _ in range(250))
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(1200))
     own = lambda n: "".join(rng.choice("ijklmnop ") for _ in range(n))
     rows = [(k, own(150) + (passage if k % 3 == 0 else "") + own(150), "", "", 0, "", 0, "") for k in range(90)]
     flags = brute_windows([(r[0], r[1]) for r in rows])
     press = zstandard.ZstdCompressor()
     z = pa.record_batch({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "z": pa.array([press.compress(r[1].encode()) for r in rows])})
     told = pa.Table.from_batches(list(suffixes.sieved(20)(suffixes.sieve_blocks(1)(iter([z])))))
-    assert 3 <= told.num_rows - told["hot"].null_count <= suffixes.MOST_HOT
-    monkeypatch.setattr(suffixes, "HOT_SLICE", slice_)
-    for most in (20, suffixes.HOT):
-        got = {r.doc_id: r.n_removed for r in suffixes.dedup(frame(spark, rows), parts=3, most=most).collect()}
+    assert told.num_rows - told["gram"].null_count > 16
+    monkeypatch.setattr(suffixes, "SPLIT", some)
+    for parts, most in ((1, 20), (3, 20), (3, None)):
+        got = {r.doc_id: r.n_removed for r in suffixes.dedup(frame(spark, rows), parts=parts, most=most).collect()}
         assert got == {i: sum(f) for i, f in flags.items()}
-    assert sum(got.values()) >= 29 * 250
+    assert sum(got.values()) >= 29 * 1200
 
 
-def test_suffix_digests_tell_windows_apart():
+def test_suffix_items_split_into_their_windows():
     rng = np.random.default_rng(4)
     text = rng.integers(0, 2, 400).astype(np.uint8)
     first = np.arange(0, 100)
-    made = suffixes.records(text, np.zeros(100, np.int64), first, first + suffixes.LEFT, first + suffixes.LEFT)
-    by_window = {}
-    for o in range(suffixes.LEFT + 1):
-        for k, d in enumerate(zip(*suffixes.digests(made, o))):
-            start = k + suffixes.LEFT - o
-            assert by_window.setdefault(d, text[start : start + 100].tobytes()) == text[start : start + 100].tobytes()
-    assert len(by_window) == len(set(by_window.values()))
+    last = first + rng.integers(0, suffixes.LEFT + 1, 100)
+    anchor = rng.integers(last, first + suffixes.LEFT + 1)
+    made = suffixes.records(text, np.zeros(100, np.int64), first, last, anchor)
+    rows, doc, start = suffixes.split(made, np.arange(100), anchor)
+    assert sorted(zip(doc.tolist(), start.tolist())) == [(k, at) for k in range(100) for at in range(first[k], last[k] + 1)]
+    assert all(rows[n, : suffixes.WINDOW].tobytes() == text[at : at + suffixes.WINDOW].tobytes() for n, at in enumerate(start))
+    assert (rows[:, suffixes.WINDOW : -2] == 0).all() and (rows[:, -2:] == (suffixes.WINDOW, 0)).all()
 
 
 def test_loser_tree():
@@ -261,12 +261,12 @@ def test_substrings_same_as_sql(spark):
     df = frame(spark, rows)
     from pyspark.sql import functions as F
 
-    done = substrings.dedup(df)
+    done = substrings.dedup(df, min_run=substrings.PASSAGE)
     spans = F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
     got = done.select("doc_id", "n_units", "n_removed", F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("removed_chars"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), spans.alias("removed_spans"))
     want = duck(documents=df.toPandas()).execute(substrings.ORACLE).df()
     assert compared(got.toPandas()) == compared(want)
-    again = {r.doc_id: r.text for r in substrings.rewrite(df).collect()}
+    again = {r.doc_id: r.text for r in substrings.rewrite(df, min_run=substrings.PASSAGE).collect()}
     assert again == {r.doc_id: r.kept_text for r in done.collect()}
     assert substrings.rewrite(df).columns == df.columns
 
@@ -282,7 +282,9 @@ def test_substrings_odd_rows(spark):
 def test_substrings_runs(spark):
     lone, passage = "A common phrase of seven words here.", "\n".join(f"short line {k}" for k in range(6))
     rows = [(1, f"{lone}\n{passage}"), (2, f"First. {lone} Own text.\n{passage}\n\n{lone}\nLast."), (3, f"{lone}\nThird.")]
-    got = {r.doc_id: r.kept_text for r in substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.kept_text for r in substrings.dedup(df).collect()} == {1: rows[0][1], 2: "First. Own text.\nLast.", 3: "Third."}
+    got = {r.doc_id: r.kept_text for r in substrings.dedup(df, min_run=substrings.PASSAGE).collect()}
     assert got == {1: rows[0][1], 2: f"First. {lone} Own text.\nLast.", 3: rows[2][1]}
 
 

@@ -52,7 +52,7 @@ def repeated(docs):
         for k in range(len(pieces)):  # every stretch of repeats and blanks, from repeat to repeat, that can't be made longer
             if again[k] and not any(again[j] and all(again[i] or not pieces[i][1] for i in range(j, k)) for j in range(k)):
                 last = max(j for j in range(k, len(pieces)) if again[j] and all(again[i] or not pieces[i][1] for i in range(k, j)))
-                if sum(len(w) for _, w in pieces[k : last + 1]) >= substrings.MIN_RUN:
+                if sum(len(w) for _, w in pieces[k : last + 1]) >= substrings.PASSAGE:
                     gone |= set(range(k, last + 1))
         kept = "".join(t for k, (t, _) in enumerate(pieces) if k not in gone)
         out.append(r | {"text": kept, "n_chars": len(kept)})
