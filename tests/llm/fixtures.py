@@ -49,5 +49,7 @@ def duck(**tables):
 
 
 def compared(df):
+    """Rows by value; whole numbers are equal as integers and as floats, which pandas makes of those with nulls."""
+    plain = lambda v: int(v) if isinstance(v, float) and v.is_integer() else v
     df = df[sorted(df.columns)].astype(object)
-    return sorted(tuple(repr(v) for v in r) for r in df.where(df.notna(), None).itertuples(index=False))
+    return sorted(tuple(repr(plain(v)) for v in r) for r in df.where(df.notna(), None).itertuples(index=False))
