@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import builtins
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,13 +15,20 @@ from .transform import with_grain
 
 
 def chain(seq: Seq, other: Seq) -> Seq:
-    """All of ``seq``, then all of ``other``. Reductions of it need no index: it is ordered by (side, keys)."""
-    width = builtins_max(len(seq.keys), len(other.keys))
-    sides = [s.df.select("v", F.lit(n).alias("k0"), *[(F.col(k) if k in s.keys else F.lit(None)).alias(f"k{m + 1}") for m, k in enumerate(f"k{j}" for j in range(width))]) for n, s in enumerate((seq, other))]
-    return Seq(sides[0].unionByName(sides[1]), [f"k{m}" for m in range(width + 1)])
-
-
-builtins_max = max
+    """All of ``seq``, then all of ``other``. Reductions of it need no index: it is ordered by (side, keys). Keys of one type share
+    a column; from the first place where the types differ, each side has columns of its own."""
+    kinds = [[s.df.schema[k].dataType for k in s.keys] for s in (seq, other)]
+    same = 0
+    while same < min(map(len, kinds)) and kinds[0][same] == kinds[1][same]:
+        same += 1
+    rest = [k[same:] for k in kinds]
+    every = [*kinds[0][:same], *rest[0], *rest[1]]
+    sides = []
+    for n, s in enumerate((seq, other)):
+        first = same + n * len(rest[0])
+        own = dict(builtins.zip([*range(same), *range(first, first + len(rest[n]))], s.keys))
+        sides.append(s.df.select("v", F.lit(n).alias("k0"), *[(F.col(own[m]) if m in own else F.lit(None).cast(kind)).alias(f"k{m + 1}") for m, kind in enumerate(every)]))
+    return Seq(sides[0].unionByName(sides[1]), [f"k{m}" for m in range(len(every) + 1)])
 
 
 def zip(seq: Seq, other: Seq) -> Seq:  # noqa: A001
@@ -62,9 +71,13 @@ def parallel_flatten_with_grain(seq: Seq, grain: int) -> Seq:
 
 
 def flatten_sum(seq: Seq) -> DataFrame:
-    """Sum of all items without exploding them."""
-    zero = F.lit(0).cast("double" if "double" in seq.df.schema["v"].dataType.simpleString() or "float" in seq.df.schema["v"].dataType.simpleString() else "long")
-    return seq.df.agg(F.coalesce(F.sum(F.aggregate("v", zero, lambda a, x: a + x)), zero).alias("sum"))
+    """Sum of all items without exploding them, in the items' own kind: double, long, or decimal of their scale. Nulls among
+    the items, and null arrays, count for nothing."""
+    kind = seq.df.schema["v"].dataType.elementType.simpleString()
+    wide = "double" if kind in ("float", "double") else re.sub(r"\(\d+", "(38", kind) if kind.startswith("decimal") else "long"
+    zero = F.lit(0).cast(wide)
+    items = F.filter("v", lambda x: x.isNotNull())
+    return seq.df.agg(F.coalesce(F.sum(F.aggregate(items, zero, lambda a, x: (a + x).cast(wide))), zero).alias("sum"))
 
 
 def flatten_len(seq: Seq) -> DataFrame:

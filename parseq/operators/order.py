@@ -56,13 +56,13 @@ def merge(seq: Seq, other: Seq) -> DataFrame:
 
 
 def is_sorted(seq: Seq, descending: bool = False) -> DataFrame:
-    """Neighbours are compared inside ranges of the keys; of each range one row goes on, to be compared with the range before."""
-    good = lambda a, b: a >= b if descending else a <= b
-    names = ["p", "v", *seq.keys]
-    dealt = seq.df.repartitionByRange(*seq.keys).withColumn("p", F.spark_partition_id()).select(*names)
+    """Neighbours are compared inside ranges of the keys; of each range one row goes on, to be compared with the range before.
+    Nulls are where sorts put them: first, or last if ``descending``."""
+    good = lambda a, b: F.coalesce(a >= b if descending else a <= b, F.lit(True))
+    dealt = seq.df.repartitionByRange(*seq.keys).withColumn("p", F.spark_partition_id()).select("p", F.struct(F.col("v").isNotNull(), "v").alias("v"), *seq.keys)
     inside = dealt.withColumn("before", F.lag("v").over(Window.partitionBy("p").orderBy(*seq.keys)))
-    ends = inside.groupBy("p").agg(F.coalesce(F.bool_and(good(F.col("before"), F.col("v"))), F.lit(True)).alias("ok"), F.min_by("v", seq.place()).alias("first"), F.max_by("v", seq.place()).alias("last"))
-    across = ends.withColumn("ok", F.col("ok") & F.coalesce(good(F.lag("last").over(Window.orderBy("p")), F.col("first")), F.lit(True)))
+    ends = inside.groupBy("p").agg(F.bool_and(good(F.col("before"), F.col("v"))).alias("ok"), F.min_by("v", seq.place()).alias("first"), F.max_by("v", seq.place()).alias("last"))
+    across = ends.withColumn("ok", F.col("ok") & good(F.lag("last").over(Window.orderBy("p")), F.col("first")))
     return across.agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("is_sorted"))
 
 

@@ -8,9 +8,11 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.reducers import REDUCERS
+from ..functions.reducers import REDUCERS, product
 from ..seq import Fn, Seq
+from ..session import get_grain_size
 from .transform import with_grain
 
 
@@ -35,16 +37,19 @@ def count(seq: Seq) -> DataFrame:
 
 def reduce(seq: Seq, identity, combine: str | Callable, map: Fn | None = None) -> DataFrame:  # noqa: A002
     """``combine``: the name of a recognised reducer, or an associative Python function of two values (it need not commute).
-    The identity must be neutral: it stands for the empty sequence only."""
+    The identity must be neutral: it stands for the empty sequence only. Names skip nulls; ``mul`` of integers is exact and
+    raises when the product isn't a long."""
     if isinstance(combine, str):
         value = map(F.col("v")) if map else F.col("v")
+        if combine == "mul":
+            return product(seq.df.select(value.alias("v")), identity)
         return seq.df.agg(F.coalesce(REDUCERS[combine](value), F.lit(identity)).alias("reduce"))
     return ordered_fold(seq if map is None else seq.with_values(seq.df.withColumn("v", map(F.col("v")))), identity, combine)
 
 
-def ordered_fold(seq: Seq, identity, combine: Callable) -> DataFrame:
-    """Each range partition folds its values in order to one partial with the key it begins at; the partials, one for each
-    partition, are then folded in the order of those keys."""
+def ordered_fold(seq: Seq, identity, combine: Callable, fan_in: int = 16) -> DataFrame:
+    """Each range partition folds its values in order to one partial; partials are folded by a tree, ``fan_in`` neighbours at a
+    time, so no task reads all of them."""
     kind = seq.df.schema["v"].dataType
     names = [*seq.keys, "v"]
     rows = seq.df.select(*names)
@@ -63,9 +68,47 @@ def ordered_fold(seq: Seq, identity, combine: Callable) -> DataFrame:
         if first is not None:
             yield pa.RecordBatch.from_arrays([*first.columns[:-1], pa.array([state], schema.field("v").type)], schema=schema)
 
-    partial = rows.repartitionByRange(*seq.keys).sortWithinPartitions(*seq.keys).mapInArrow(fold, rows.schema)
-    final = partial.repartition(1).sortWithinPartitions(*seq.keys).mapInArrow(fold, rows.schema)
-    return final.agg(F.coalesce(F.first("v"), F.lit(identity).cast(kind)).alias("reduce"))
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partial = rows.repartitionByRange(width, *seq.keys).sortWithinPartitions(*seq.keys).mapInArrow(numbered(fold), _with_place(rows.schema))
+    return tree_fold(partial, width, fold, kind, identity, fan_in)
+
+
+def _with_place(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField("place__", T.LongType()), *schema.fields])
+
+
+def numbered(fold: Callable) -> Callable:
+    """``fold`` with the number of its partition in front of what it yields."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        place = TaskContext.get().partitionId()
+        for b in fold(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([place] * b.num_rows, pa.int64()), *b.columns], names=["place__", *b.schema.names])
+
+    return run
+
+
+def tree_fold(partial: DataFrame, width: int, fold: Callable, kind: T.DataType, identity, fan_in: int) -> DataFrame:
+    """Partials (place__ below ``width``, keys, v), at most one for each place, folded in the order of places by levels: a task of
+    each level reads at most ``fan_in`` states, however many partials there are and however large states get."""
+    if fan_in < 2:
+        raise ValueError("fan_in must be 2 or more")
+    schema = partial.schema
+    while width > 1:
+        width = -(-width // fan_in)
+
+        def level(batches):
+            from pyspark import TaskContext
+
+            place = TaskContext.get().partitionId()
+            inner = (pa.RecordBatch.from_arrays(b.columns[1:], names=b.schema.names[1:]) for b in batches)
+            for b in fold(inner):
+                yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), *b.columns], names=schema.names)
+
+        partial = partial.repartitionById(width, F.expr(f"cast(place__ div {fan_in} as int)")).sortWithinPartitions("place__").mapInArrow(level, schema)
+    return partial.agg(F.coalesce(F.first("v"), F.lit(identity).cast(kind)).alias("reduce"))
 
 
 def small_fold(seq: Seq, identity: Column, combine: Callable[[Column, Column], Column]) -> DataFrame:
@@ -119,15 +162,25 @@ def parallel_reduce_with_grain(seq: Seq, grain: int, **aggregates: Fn) -> DataFr
     return parallel_reduce(with_grain(seq, grain), **aggregates)
 
 
-def parallel_reduce_chunked(seq: Seq, chunk: Callable, combine: Fn, kind: str) -> DataFrame:
-    """``chunk`` reduces the list of values of one batch to a value of type ``kind``; ``combine`` is an aggregate over those."""
+def parallel_reduce_chunked(seq: Seq, chunk: Callable, combine: Fn, kind: str, grain: int | None = None, identity=None) -> DataFrame:
+    """``chunk`` reduces a list of at most ``grain`` values (the default grain's, if none is given) that one task has read one after
+    the other to a value of type ``kind``; ``combine`` is an aggregate over those. Without rows no chunk is made, and the
+    result is the ``identity``, which must be neutral for ``combine``."""
+    size = grain or get_grain_size()
+    if size < 0:
+        raise ValueError("grain must not be negative")
 
     def run(batches):
+        held: list = []
         for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_pylist([{"v": chunk(b.column(0).to_pylist())}])
-
-    return seq.df.select("v").mapInArrow(run, f"v {kind}").agg(combine(F.col("v")).alias("reduce"))
+            held += b.column(0).to_pylist()
+            while len(held) >= size:
+                yield pa.RecordBatch.from_pylist([{"v": chunk(held[:size])}])
+                held = held[size:]
+        if held:
+            yield pa.RecordBatch.from_pylist([{"v": chunk(held)}])
+
+    return seq.df.select("v").mapInArrow(run, f"v {kind}").agg(F.coalesce(combine(F.col("v")), F.lit(identity)).alias("reduce"))
 
 
 def enumerate_reduce(seq: Seq, aggregate: Callable[[Column, Column], Column], offset: int = 0) -> DataFrame:
