@@ -310,11 +310,22 @@ def runs(parts: int, hot: np.ndarray):
         gram = words(rows, (0, 8))
         rows, doc, anchor, part, mark = ordered(rows, doc, anchor, (mix64(gram[0] ^ mix64(gram[1])) % np.uint64(parts)).astype(np.int64))
         often = np.isin(gram_hash(*words(rows, (0, 8, GRAM - 8))), hot)
-        yield from blocks(*(x[~often] for x in (rows, doc, anchor, part)), mark, press)
+        if not often.any():
+            yield from blocks(rows, doc, anchor, part, mark, press)
+            return
+        held, marks = [tuple(x[~often] for x in (rows, doc, anchor, part))], [mark]
         rows, doc, anchor = rows[often], doc[often], anchor[often]
         for at in range(0, len(rows), SPLIT):
-            some = split(*(x[at : at + SPLIT] for x in (rows, doc, anchor)))
-            yield from blocks(*ordered(*some, (chained(words(some[0], (*range(0, WINDOW - 8, 8), WINDOW - 8)), 1) % np.uint64(parts)).astype(np.int64)), press)
+            made = split(*(x[at : at + SPLIT] for x in (rows, doc, anchor)))
+            window = chained(words(made[0], (*range(0, WINDOW - 8, 8), WINDOW - 8)), 1)
+            *some, mark = ordered(*made, (window % np.uint64(parts)).astype(np.int64))
+            held.append(some)
+            marks.append(mark)
+            # What is left of several slices goes out together, so that blocks stay few and large.
+            if at + SPLIT >= len(rows) or sum(len(h[0]) for h in held) >= 4 * RUN_ITEMS:
+                *run, mark = ordered(*(np.concatenate(x) for x in zip(*held)))
+                yield from blocks(*run, np.concatenate([*marks, mark]), press)
+                held, marks = [], []
 
     def run(batches):
         opener, found, size = zstandard.ZstdDecompressor(), [], 0

@@ -72,7 +72,7 @@ def test_layouts(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_same_as_sql(spark, name):
     con = duck()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     assert compared(queries.QUERIES[name](spark, DATA).toPandas()) == compared(con.execute(queries.ORACLE[name]).df())
 
