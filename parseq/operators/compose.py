@@ -32,9 +32,11 @@ def chain(seq: Seq, other: Seq) -> Seq:
 
 
 def zip(seq: Seq, other: Seq) -> Seq:  # noqa: A001
-    """Pairs (a, b) at equal positions, as many as the shorter one has."""
-    pairs = seq.indexed().withColumnRenamed("v", "a").join(other.indexed().withColumnRenamed("v", "b"), "i")
-    return Seq(pairs.select(F.struct("a", "b").alias("v"), F.col("i").alias("k0")), ["k0"], True)
+    """Pairs (a, b) at equal positions, as many as the shorter one has: blocks of positions meet. Sequences that are
+    :func:`~parseq.operators.packed.stored` meet without an exchange."""
+    from . import packed
+
+    return packed.zipped(seq, other)
 
 
 def zip_columns(df: DataFrame, a: str | Column, b: str | Column, order: str | list[str]) -> Seq:
@@ -123,17 +125,11 @@ def chunks_sum(seq: Seq, size: int) -> DataFrame:
 
 
 def chunks_apply(seq: Seq, size: int, f: Callable[[int, list], list]) -> Seq:
-    """``f(chunk, values)`` gives a chunk's new values; a chunk is bounded by its size, so it fits a task."""
-    import pandas as pd
-
-    kind = seq.df.schema["v"].dataType.simpleString()
-
-    def run(key, rows):
-        rows = rows.sort_values("i")
-        return pd.DataFrame({"i": rows["i"].to_numpy(), "v": f(int(key[0]), rows["v"].tolist())})
+    """``f(chunk, values)`` gives a chunk's new values; a chunk is bounded by its size, so it fits a task. Chunks that a task has
+    read whole are done there, only the rows of split ones travel."""
+    from . import halo
 
-    done = chunks_iter(seq, size).groupBy("chunk").applyInPandas(run, f"i long, v {kind}")
-    return Seq(done.select("v", F.col("i").alias("k0")), ["k0"], True)
+    return halo.chunks_apply(seq, _sized(size), f)
 
 
 def chunks_window(size: int) -> Window:

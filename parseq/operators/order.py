@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..seq import Fn, Seq, dense_index
-from .place import in_bounds, same_length
+from .packed import gathered
+from .place import check_places
 
 
 
@@ -90,10 +91,8 @@ def partition_point(seq: Seq, predicate: Fn) -> DataFrame:
 
 def apply_permutation(seq: Seq, indices: Seq) -> Seq:
     """Gather: value j becomes the old value at position indices[j]. ValueError if the lengths differ or a position isn't there."""
-    same_length(seq, indices)
-    in_bounds(indices, seq)
-    at = indices.indexed().select(F.col("i").alias("k0"), F.col("v").alias("i"))
-    return Seq(at.join(seq.indexed(), "i").select("v", "k0"), ["k0"], True)
+    check_places(indices, seq)
+    return gathered(seq, indices)
 
 
 def key_columns(*columns: Column) -> Fn:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..seq import Seq
+from .packed import gathered, scattered  # noqa: F401
 from .prefix import prefix_sums
 
 
@@ -24,19 +25,18 @@ def cap_and_offsets(seq: Seq) -> DataFrame:
     return compute_offsets_into(seq.with_values(seq.df.withColumn("v", F.greatest(F.size("v"), F.lit(0)).cast("long"))))
 
 
-def same_length(*seqs: Seq) -> None:
-    """ValueError unless the sequences are equally long; counts each."""
-    sizes = [s.df.count() for s in seqs]
-    if len(set(sizes)) > 1:
-        raise ValueError(f"sequences of {', '.join(map(str, sizes))} elements, of which all should be equally long")
-
-
-def in_bounds(indices: Seq, out: Seq) -> None:
-    """ValueError unless each index is a position of ``out``."""
-    low, high, missing = indices.df.agg(F.min("v"), F.max("v"), F.count_if(F.col("v").isNull())).first()
-    size = out.df.count()
-    if missing or low is not None and (low < 0 or high >= size):
-        raise ValueError(f"positions from {low} to {high} ({missing} missing) in a sequence of {size}")
+def check_places(indices: Seq, out: Seq, values: Seq | None = None) -> None:
+    """ValueError unless each index is a position of ``out``, and there are as many ``values`` as indices: one job for all."""
+    one = indices.df.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count_if(F.col("v").isNull()).alias("missing"), F.count(F.lit(1)).alias("n"))
+    for name, s in (("size", out), ("given", values)):
+        one = one.crossJoin(s.df.agg(F.count(F.lit(1)).alias(name))) if s is not None else one
+    r = one.first()
+    if values is not None and r.n != r.given:
+        raise ValueError(f"sequences of {r.given}, {r.n} elements, of which all should be equally long")
+    if values is None and r.n != r["size"]:
+        raise ValueError(f"sequences of {r['size']}, {r.n} elements, of which all should be equally long")
+    if r.missing or r.low is not None and (r.low < 0 or r.high >= r["size"]):
+        raise ValueError(f"positions from {r.low} to {r.high} ({r.missing} missing) in a sequence of {r['size']}")
 
 
 def parallel_flatten_with_offsets(seq: Seq, offsets: DataFrame) -> DataFrame:
@@ -52,12 +52,8 @@ def parallel_flatten_with_offsets(seq: Seq, offsets: DataFrame) -> DataFrame:
 def parallel_scatter(out: Seq, values: Seq, indices: Seq) -> Seq:
     """out[indices[k]] = values[k], other slots as they were; of several writes to a slot the last k wins. ValueError if values
     and indices aren't equally long, or an index isn't a slot."""
-    same_length(values, indices)
-    in_bounds(indices, out)
-    writes = indices.indexed().select(F.col("i").alias("k"), F.col("v").alias("i")).join(values.indexed().select(F.col("i").alias("k"), F.col("v").alias("new")), "k")
-    last = writes.groupBy("i").agg(F.max_by(F.struct("new"), "k").alias("w"))
-    done = out.indexed().join(last, "i", "left")
-    return Seq(done.select(F.when(F.col("w").isNull(), F.col("v")).otherwise(F.col("w.new")).alias("v"), F.col("i").alias("k0")), ["k0"], True)
+    check_places(indices, out, values)
+    return scattered(out, values, indices)
 
 
 def slice_from(seq: Seq, offset: int, length: int) -> DataFrame:

@@ -137,3 +137,20 @@ def parallel_for_range_with_context(spark: SparkSession, start: int, end: int, a
 def broadcast_with_context(spark: SparkSession, f: Callable[[int, object], object], context, kind: str = "string") -> DataFrame:
     """worker, value of ``f(worker, context)``; the context is sent along with the function."""
     return broadcast(spark, lambda worker: f(worker, context), kind)
+
+
+def gather_all(df: DataFrame, share: Callable, workers: int | None = None) -> DataFrame:
+    """worker, share, total: ``share(batches)`` of each worker's part of the rows (Arrow batches in, an integer out), and the sum
+    of all. Workers run together, as one barrier stage, and exchange their shares; if one is lost, all start again. There have
+    to be as many slots as workers (default: tasks that run at a time)."""
+    n = workers or num_workers(df.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import BarrierTaskContext
+
+        context, own = BarrierTaskContext.get(), int(share(batches))
+        total = sum(map(int, context.allGather(str(own))))
+        yield pa.RecordBatch.from_pydict({"worker": pa.array([context.partitionId()], pa.int64()), "share": pa.array([own], pa.int64()), "total": pa.array([total], pa.int64())})
+
+    return df.repartition(n).mapInArrow(run, "worker long, share long, total long", barrier=True)

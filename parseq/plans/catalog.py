@@ -11,7 +11,7 @@ from ..operators import compose, fallible, order, place, reduce, search, tasks,
 from ..operators.prefix import prefix_sums
 from ..seq import Seq, dense_index
 from ..sources.tables import load, sequence
-from . import recipes
+from . import recipes, tiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -710,8 +710,8 @@ ALL_ROWS = "(SELECT vec_id AS i, generate_subscripts(embedding, 1) - 1 AS j, rou
 @query(f"SELECT a.j AS i, b.j, sum(a.x * b.x)::BIGINT AS x FROM {ALL_ROWS} a JOIN {ALL_ROWS} b ON a.i = b.i GROUP BY 1, 2")
 def matmul_gram(spark, d):
     """The transposed embeddings times the embeddings, over all vectors."""
-    m = load(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("p", "e")).select("i", F.col("p").cast("long").alias("j"), F.expr("cast(round(e * 1000) as bigint)").alias("x"))
-    return recipes.matmul(m.select(F.col("j").alias("i"), F.col("i").alias("j"), "x"), m)
+    m = tiles.of_rows(load(spark, d, "embeddings").withColumn("x", F.expr("transform(embedding, e -> cast(round(e * 1000) as bigint))")), "vec_id", "x")
+    return tiles.cells(tiles.matmul(tiles.transposed(m), m))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings")
@@ -759,3 +759,6 @@ def particle_step(spark, d):
 @query("SELECT event_id AS i, sum(v) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM (SELECT event_id, cast(round(value * 100) as bigint) AS v FROM events)")
 def running_sum(spark, d):
     return prefix_sums(events(spark, d, "cents").indexed(), "i", "v").select("i", (F.col("before") + F.col("v")).alias("running"))
+
+
+from . import catalog_ranges  # noqa: E402, F401  (it adds its queries to the ones above)

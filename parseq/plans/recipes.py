@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.halo import stencil
+
 #: Weights of the luma sum over 1000, and the 3 x 3 blur kernel over 16.
 LUMA = {"r": 299, "g": 587, "b": 114}
 BLUR = {(-1, -1): 1, (-1, 0): 2, (-1, 1): 1, (0, -1): 2, (0, 0): 4, (0, 1): 2, (1, -1): 1, (1, 0): 2, (1, 1): 1}
@@ -106,30 +108,11 @@ def brightness(x: Column, factor: float) -> Column:
     return F.floor(F.least(F.greatest(x * F.lit(factor), F.lit(0.0)), F.lit(255.0))).cast("long")
 
 
-def blur(pixels: DataFrame, width: int, height: int) -> DataFrame:
-    """idx, v of a 3 x 3 blur with clamped edges: each pixel is sent to the neighbours that see it, then summed."""
-    shifts = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(w).alias("w")) for (dy, dx), w in BLUR.items()])
-    y, x = F.expr(f"idx div {width}"), F.col("idx") % width
-    wide = pixels.select("v", y.alias("y"), x.alias("x"))
-    seen = wide.withColumn("s", F.explode(shifts)).select("v", "y", "x", "s.*")
-    # The kernel is symmetric, so a pixel adds to the target at (y + dy, x + dx); a clamped edge pixel adds its own weight again.
-    own = lambda c, d, n: F.when(((F.col(c) == 0) & (F.col(d) == -1)) | ((F.col(c) == n - 1) & (F.col(d) == 1)), F.col(c)).otherwise(F.col(c) + F.col(d))
-    return seen.select((own("y", "dy", height) * width + own("x", "dx", width)).alias("idx"), (F.col("v") * F.col("w")).alias("p")).groupBy("idx").agg(F.expr("cast(sum(p) as bigint) div 16").alias("v"))
-
-
 def blur_image(pixels: DataFrame, width: int) -> DataFrame:
-    """idx, v of a 3 x 3 blur of a whole image: idx runs from 0 without gaps, the number of rows gives the height.
-
-    A neighbour outside is the nearest column's nearest pixel; below an incomplete last row that is the row before. A pixel
-    is sent to the targets around it, with all the weight that a target gives it.
-    """
-    size = pixels.agg(F.count(F.lit(1)).alias("n"), F.least(F.count(F.lit(1)), F.lit(width)).alias("w"))
-    near = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    wide = pixels.crossJoin(F.broadcast(size)).select("v", "n", "w", F.expr(f"idx div {width}").alias("y"), (F.col("idx") % width).alias("x"))
-    seen = wide.withColumn("low", F.expr(f"(n - 1 - x) div {width}")).withColumn("s", F.explode(near)).withColumns({"ty": F.col("y") + F.col("s.a"), "tx": F.col("x") + F.col("s.b")})
-    seen = seen.filter(F.col("ty").between(0, F.lit(1 << 62)) & F.col("tx").between(0, F.col("w") - 1) & (F.col("ty") * width + F.col("tx") < F.col("n")))
-    weight = lambda t, c, end: sum(F.when(F.greatest(F.lit(0), F.least(F.col(end) if end == "low" else F.col(end) - 1, F.col(t) + d)) == F.col(c), 2 - abs(d)).otherwise(0) for d in (-1, 0, 1))
-    return seen.select((F.col("ty") * width + F.col("tx")).alias("idx"), (F.col("v") * weight("ty", "y", "low") * weight("tx", "x", "w")).alias("p")).groupBy("idx").agg(F.expr("cast(sum(p) as bigint) div 16").alias("v"))
+    """idx, v of a 3 x 3 blur of a whole image: idx runs from 0 without gaps, the number of rows gives the height. A neighbour
+    outside is the nearest column's nearest pixel; below an incomplete last row that is the row before. Pixels stay in the tasks
+    that read them; at the edges of their runs partial sums travel."""
+    return stencil(pixels, width, BLUR).select("idx", F.expr("total div 16").alias("v"))
 
 
 def euler_step(particles: DataFrame, dt: float, bound: float, bounce: float = 0.8) -> DataFrame:

@@ -51,6 +51,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n, self.at = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0, {}
+        self.names: list[str] = []
         jvm, settings = spark._jvm, spark._jsc.hadoopConfiguration()
         atexit.register(_at_end, jvm, settings, self.root)
 
@@ -69,6 +70,20 @@ class Scratch:
         self.at[id(out)] = (out, path)
         return out
 
+    def bucketed(self, df: DataFrame, key: str) -> DataFrame:
+        """The same as a table of the catalogue, in as many buckets of ``key`` as there are shuffle partitions, a file for each."""
+        n, name = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"parseq_{uuid.uuid4().hex}"
+        df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", self.folder()).saveAsTable(name)
+        self.names.append(name)
+        return self.spark.table(name)
+
+    def close(self) -> None:
+        """Forget and delete everything."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.at = {}
+        self.delete(self.root)
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             _, path = self.at.pop(id(df))

@@ -19,18 +19,26 @@ Fn = Callable[..., Column]
 _tables: dict[int, Scratch] = {}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows as a table in the folder that the session's tasks share."""
-    session = df.sparkSession
+def scratch(session: SparkSession) -> Scratch:
     if id(session) not in _tables:
         _tables[id(session)] = Scratch(session)
-    return _tables[id(session)].cut(df)
+    return _tables[id(session)]
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows as a table in the folder that the session's tasks share."""
+    return scratch(df.sparkSession).cut(df)
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """The rows as a table there that is bucketed and sorted by a column, so that joins on it need no exchange."""
+    return scratch(df.sparkSession).bucketed(df, key)
 
 
 def release(spark: SparkSession) -> None:
     """Delete the tables behind dense indices; frames that use one can't be run any more."""
     if id(spark) in _tables:
-        _tables.pop(id(spark)).drop_all_but()
+        _tables.pop(id(spark)).close()
 
 
 def dense_index(df: DataFrame, keys: list[str | Column], name: str = "i") -> DataFrame:
