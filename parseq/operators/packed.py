@@ -34,24 +34,24 @@ def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten(), np.diff(lists.offsets.to_numpy())
 
 
-def _cut_up(values: pa.Array, i: np.ndarray) -> pa.RecordBatch:
-    """Pieces of values at positions ``i``: new ones begin at gaps and at multiples of BLOCK."""
+def _cut_up(values: pa.Array, i: np.ndarray, size: int) -> pa.RecordBatch:
+    """Pieces of values at positions ``i``: new ones begin at gaps and at multiples of ``size``."""
     order = np.argsort(i, kind="stable")
     if not np.array_equal(order, np.arange(len(i))):
         i, values = i[order], values.take(pa.array(order))
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(i) != 1) | (i[1:] % BLOCK == 0)]))
-    return pa.RecordBatch.from_arrays([pa.array(i[new] // BLOCK), pa.array(i[new]), _lists(values, new)], names=["b", "start", "vs"])
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(i) != 1) | (i[1:] % size == 0)]))
+    return pa.RecordBatch.from_arrays([pa.array(i[new] // size), pa.array(i[new]), _lists(values, new)], names=["b", "start", "vs"])
 
 
 def pieces(seq: Seq) -> DataFrame:
     """b, start, vs: the sequence in pieces of blocks; a block may come in several."""
-    kind = seq.df.schema["v"].dataType
+    kind, size = seq.df.schema["v"].dataType, BLOCK
     if seq.dense:
 
         def run(batches):
             for b in batches:
                 if b.num_rows:
-                    yield _cut_up(b.column(1), b.column(0).to_numpy())
+                    yield _cut_up(b.column(1), b.column(0).to_numpy(), size)
 
         return seq.df.select("k0", "v").mapInArrow(run, _piece(kind))
 
@@ -79,7 +79,7 @@ def pieces(seq: Seq) -> DataFrame:
             if b.num_rows:
                 values, sizes = _flat(b.column(2))
                 start = np.array([first[p] for p in b.column(0).to_pylist()]) + b.column(1).to_numpy()
-                yield _cut_up(values, np.repeat(start - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(len(values)))
+                yield _cut_up(values, np.repeat(start - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(len(values)), size)
 
     return written.mapInArrow(moved, _piece(kind))
 

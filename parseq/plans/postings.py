@@ -31,11 +31,13 @@ def coded(x: np.ndarray) -> bytes:
 
 
 def uncoded(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.int64)
     raw = np.frombuffer(data, np.uint8)
     last = np.flatnonzero(raw < 128)
     first = np.concatenate([[0], last[:-1] + 1])
     k = np.arange(len(raw)) - np.repeat(first, last - first + 1)
-    return np.add.reduceat((raw & 127).astype(np.uint64) << (7 * k).astype(np.uint64), first).astype(np.int64) if len(raw) else np.zeros(0, np.int64)
+    return np.add.reduceat((raw & 127).astype(np.uint64) << (7 * k).astype(np.uint64), first).astype(np.int64)
 
 
 def block(docs: list[int], positions: list[list[int]]) -> bytes:
