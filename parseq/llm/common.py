@@ -38,6 +38,11 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[f"`{c}`"].cast(kind).alias(c) for c, kind in columns.items()])
 
 
+def one_text(rows: DataFrame, mark: str) -> DataFrame:
+    """doc_id, ``mark``, text: one of the texts of rows that share an id (and so its mark), so that as many rows as ids come out."""
+    return rows.groupBy("doc_id", mark).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def shuffles(spark: SparkSession) -> int:
     """Partitions of a shuffle: Spark's own setting, which the operator of a cluster sizes to the input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

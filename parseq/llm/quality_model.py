@@ -7,12 +7,12 @@ given grade, on which documents are selected.
 Features are hashed to ``BINS`` bins: the shape of each word (letters, digits and marks without their number), its marks at
 the end, its first four letters, whether it repeats the word before; counts are log-scaled and the vector has length 1.
 
-Parameters: ``sample`` bounds the labelled ids used for fitting (chosen by hash; of several grades of an id the least counts);
-everything else reads all rows.
+Parameters: ``sample`` bounds the labelled ids used for fitting (chosen by hash; of several grades of an id the least counts,
+of several texts one), and so what comes to the driver: at most BINS numbers for each; everything else reads all rows.
 The ratings of the test tables are two marks, quality and toxic; they grade as 0 poor, 1 good but toxic, 2 good.
 
 Defined results: null and empty texts have only the feature that all have; without labels of two grades the expected grade is null, the
-probability null and the document is kept; repeated rows score alike; whole texts are read; no shuffle of documents.
+probability null and the document is kept; repeated rows score alike; whole texts are read; no shuffle of documents but the sample.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cache, batch, documents, only, table, texts
+from .common import Cache, batch, documents, one_text, only, table, texts
 from .toxicity import held_out
 
 BITS, SAMPLE, KEEP_GRADE, LEAST = 15, 5000, 1, 0.5
@@ -103,7 +103,7 @@ def train(docs: DataFrame, graded: DataFrame, sample: int = SAMPLE) -> Ordinal |
     """``graded`` (doc_id, grade): at most ``sample`` of its rows are used, never those that are held out."""
     own = only(graded, doc_id="long", grade="int").filter("doc_id is not null and grade >= 0").filter(~held_out(F.col("doc_id")))
     chosen = own.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    joined = only(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
+    joined = one_text(only(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id"), "grade")
     schema = pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("bins", pa.binary()), ("x", pa.binary())])
 
     def run(batches):

@@ -18,15 +18,17 @@ null; whole texts are read; other columns are left out. No shuffle: rows are jud
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, batch, documents, only, table, texts
+from .common import WHITESPACE, batch, documents, one_text, only, table, texts
 
 SYMBOLS = "#*$%&|<>"
-SAMPLE, LEAST_SHARE, TRUST = 1500, 0.5, 1.0
+SAMPLE, LINES, LEAST_SHARE, TRUST = 1500, 2048, 0.5, 1.0
 KINDS = 7  # upper, lower, symbol, digit, white, other ASCII punctuation, the rest
 
 
@@ -189,16 +191,23 @@ def line_labels(documents: list[tuple[np.ndarray, int]], trust: float = TRUST) -
     return out
 
 
+def piece(text: str, x: np.ndarray) -> np.ndarray:
+    """At most LINES lines that follow each other, from a place that the text's checksum gives."""
+    start = zlib.crc32(text.encode()) % (len(x) - LINES + 1) if len(x) > LINES else 0
+    return x[start : start + LINES]
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Crf | None:
-    """A CRF from at most ``sample`` labelled documents; None if there are none of either kind."""
+    """A CRF from at most ``sample`` labelled documents, LINES neighbouring lines of each (features are those of the whole text);
+    None if there are none of either kind."""
     own = only(labels, doc_id="long", quality="int").filter("doc_id is not null and quality is not null")
     chosen = own.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    joined = only(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id").select("quality", "text")
+    joined = one_text(only(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id"), "quality").select("quality", "text")
     schema = pa.schema([("quality", pa.int32()), ("x", pa.binary())])
 
     def run(batches):
         for b in batches:
-            yield batch(schema, b.column(0), [line_features(base(t))[0].astype(np.uint8).tobytes() for t in texts(b.column(1))])
+            yield batch(schema, b.column(0), [piece(t, line_features(base(t))[0]).astype(np.uint8).tobytes() for t in texts(b.column(1))])
 
     rows = joined.mapInArrow(run, "quality int, x binary").collect()
     found = [(np.frombuffer(r.x, np.uint8).reshape(-1, len(FEATURES)).astype(float), int(r.quality > 0)) for r in rows]

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cache, Scratch, batch, documents, only, table, texts
+from .common import Cache, Scratch, batch, documents, one_text, only, table, texts
 
 BITS = 18
 BINS, BLOCKS, PRIOR, SAMPLE, COST, CLIP, THRESHOLD = 1 << BITS, 64, 2000.0, 12000, 0.7, 6.0, 0.7
@@ -214,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
         return None
     model = Model(*log_odds(counts))
     scratch = Scratch(docs.sparkSession)
-    labelled = scratch.cut(slim.join(F.broadcast(chosen), "doc_id").select("toxic", "text"))
+    labelled = scratch.cut(one_text(slim.join(F.broadcast(chosen), "doc_id"), "toxic").select("toxic", "text"))
     bounds = np.linspace(-CLIP - COST, CLIP, 48)
     schema = pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("best", pa.float64()), ("hist", pa.list_(pa.int64()))])
 

@@ -1,7 +1,8 @@
 """Operator 7: near-duplicate embeddings by p-stable hashing.
 
 Normalised vectors are projected on Gaussian directions, shifted and cut into cells of width ``WIDTH``; the cells of
-``K`` projections are one bucket of one of ``TABLES`` tables. Vectors that share a bucket are compared exactly, in double
+``K`` projections are one bucket of one of ``TABLES`` tables. Beyond FEW vectors :func:`plan` takes more projections, so that
+the unlike vectors that a vector meets in a bucket don't grow in number, and more tables, so that links are found as often. Vectors that share a bucket are compared exactly, in double
 precision. Equal vectors are one class with a number of copies. A bucket is dealt to blocks of about ``BLOCK`` vectors and
 each pair of blocks is a task of its own, so no bucket has to fit one task; inside a task only counts of links and one
 label for each vector come out, never pairs. A pair that meets in several tables counts in the first of them: rows carry one
@@ -18,31 +19,49 @@ named by 64-bit digests of their vectors, not by ids). Labels and other columns
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch, groups, mix64, only, table
+from .common import Cache, Scratch, batch, groups, mix64, only, table
 from .components import blocks, components, grouped, least_labels
 
 K, TABLES, WIDTH, BLOCK, SEED = 14, 64, 2.2, 1024, 7
+#: Vectors up to which K projections make small buckets, and the chance that a projection's cell is shared at the distance of
+#: cosine 0 and of cosine 0.9.
+FEW, FAR, NEAR = 1 << 16, 0.520, 0.838
+
+
+def plan(n: int) -> tuple[int, int]:
+    """Projections of a table and number of tables for ``n`` vectors: projections so that buckets of unlike vectors stay as
+    small as those of FEW vectors, and tables so that a link is found as often."""
+    k = K + max(0, math.ceil(math.log(max(n, 1) / FEW) / -math.log(FAR)))
+    return k, math.ceil(TABLES * NEAR ** (K - k))
 
 
-def family(dim: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng([SEED, dim])
-    return rng.standard_normal((dim, K * TABLES)), rng.uniform(0, WIDTH, K * TABLES)
+def family(dim: int, k: int, table: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng([SEED, dim, k, table])
+    return rng.standard_normal((dim, k)), rng.uniform(0, WIDTH, k)
 
 
-def buckets(unit: np.ndarray) -> np.ndarray:
+def buckets(unit: np.ndarray, k: int = K, tables: int = TABLES) -> np.ndarray:
     """Bucket of each unit vector in each table."""
-    directions, shifts = family(unit.shape[1])
-    cells = np.floor((unit @ directions + shifts) / WIDTH).astype(np.int64).view(np.uint64).reshape(len(unit), TABLES, K)
-    h = np.full((len(unit), TABLES), unit.shape[1], np.uint64) + np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for k in range(K):
-        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + cells[:, :, k])
-    return h.view(np.int64)
+    out = np.empty((len(unit), tables), np.uint64)
+    for t in range(tables):
+        directions, shifts = FAMILY[unit.shape[1], k, t]
+        cells = np.floor((unit @ directions + shifts) / WIDTH).astype(np.int64).view(np.uint64)
+        h = np.full(len(unit), unit.shape[1] + (t + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1, np.uint64)
+        for c in range(k):
+            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + cells[:, c])
+        out[:, t] = h
+    return out.view(np.int64)
+
+
+FAMILY = Cache(lambda at: family(*at), 1 << 13)
 
 
 def normalised(x: np.ndarray) -> np.ndarray:
@@ -50,7 +69,7 @@ def normalised(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def signatures(vectors: DataFrame, kind: type = np.float64) -> DataFrame:
+def signatures(vectors: DataFrame, kind: type = np.float64, k: int = K, tables: int = TABLES) -> DataFrame:
     """vec_id, node (digest; null if the vector can't link), raw (its components as ``kind``), keys (its buckets)."""
     schema = pa.schema([("vec_id", pa.int64()), ("node", pa.int64()), ("raw", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
@@ -67,7 +86,7 @@ def signatures(vectors: DataFrame, kind: type = np.float64) -> DataFrame:
                     if len(x) and np.isfinite(x).all() and x.any():
                         by_dim.setdefault(len(x), []).append(i)
                 for which in by_dim.values():
-                    for i, keys in zip(which, buckets(normalised(np.stack([values[i] for i in which]))).tolist()):
+                    for i, keys in zip(which, buckets(normalised(np.stack([values[i] for i in which])), k, tables).tolist()):
                         raw = values[i].tobytes()
                         rows[i] = (int.from_bytes(xxhash.xxh3_64_digest(raw), "little", signed=True), values[i].astype(kind).tobytes(), keys)
                 yield batch(schema, b.column(0), *zip(*[r or (None, None, None) for r in rows]))
@@ -75,7 +94,7 @@ def signatures(vectors: DataFrame, kind: type = np.float64) -> DataFrame:
     return vectors.mapInArrow(run, "vec_id long, node long, raw binary, keys array<long>")
 
 
-def first_meeting(unit: np.ndarray, marks: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def first_meeting(unit: np.ndarray, marks: np.ndarray, i: np.ndarray, j: np.ndarray, k: int) -> np.ndarray:
     """Whether the pairs (i, j) share no bucket of the tables that ``marks`` has a byte of the key of."""
     t = marks.shape[1]
     first, parts = np.ones(len(i), bool), range(0, len(i), 65536)
@@ -85,7 +104,7 @@ def first_meeting(unit: np.ndarray, marks: np.ndarray, i: np.ndarray, j: np.ndar
     unsure = np.flatnonzero(~first)
     if len(unsure):
         used, place = np.unique(np.concatenate([i[unsure], j[unsure]]), return_inverse=True)
-        keys = buckets(unit[used])[:, :t]
+        keys = buckets(unit[used], k, t)
         a, b = place[: len(unsure)], place[len(unsure) :]
         for at in range(0, len(unsure), 65536):
             s = slice(at, at + 65536)
@@ -93,7 +112,7 @@ def first_meeting(unit: np.ndarray, marks: np.ndarray, i: np.ndarray, j: np.ndar
     return first
 
 
-def compared(rows: DataFrame, least: float, kind: type = np.float64) -> DataFrame:
+def compared(rows: DataFrame, least: float, kind: type = np.float64, k: int = K) -> DataFrame:
     """node, links (other vectors that it is linked with first here), head (a node that it is linked to); marks: a byte
     of the key of each table before t."""
     schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("head", pa.int64())])
@@ -120,7 +139,7 @@ def compared(rows: DataFrame, least: float, kind: type = np.float64) -> DataFram
             if not len(i):
                 continue
             label = least_labels(len(node), i, j)
-            first = first_meeting(unit, marks, i, j)
+            first = first_meeting(unit, marks, i, j, k)
             links = np.bincount(i[first], weights=copies[j[first]], minlength=len(node)) + np.bincount(j[first], weights=copies[i[first]], minlength=len(node))
             used = np.unique(np.concatenate([i, j]))
             yield batch(schema, node[used], links[used].astype(np.int64), node[label[used]])
@@ -132,20 +151,21 @@ def link(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding)."""
     kind = np.float32 if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64
     scratch = Scratch(vectors.sparkSession)
-    sign = scratch.cut(signatures(only(vectors, vec_id="long", embedding="array<double>"), kind))
+    k, tables = plan(vectors.count())
+    sign = scratch.cut(signatures(only(vectors, vec_id="long", embedding="array<double>"), kind, k, tables))
     real = sign.filter("vec_id is not null and node is not null")
     classes = scratch.cut(real.groupBy("node").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies")))
     marks = F.unhex(F.array_join(F.transform("keys", lambda k: F.lpad(F.hex(k.bitwiseAND(F.lit(255))), 2, "0")), ""))
     heads = scratch.cut(real.select("node", "raw", "keys").dropDuplicates(["node"]).join(classes.select("node", "copies"), "node").select("node", "copies", "raw", "keys", marks.alias("marks")))
-    total = heads.count() * TABLES
+    total = heads.count() * tables
     live = blocks(heads.select("node", F.posexplode("keys").alias("t", "key")), ["t", "key"], BLOCK, total)
     rows = live.join(heads.drop("keys"), "node").withColumn("marks", F.expr("substring(marks, 1, t)")).repartition("t", "key", "b1", "b2").sortWithinPartitions("t", "key", "b1", "b2")
-    found = scratch.cut(compared(rows, least, kind))
+    found = scratch.cut(compared(rows, least, kind, k))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = components(found.select(F.col("node").alias("u"), F.col("head").alias("v")).filter("u <> v"), scratch)
     named = scratch.cut(classes.join(links, "node", "left").join(known, "node", "left").select("node", "first", F.col("copies").alias("n"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")))
     tops = scratch.cut(named.groupBy("component").agg(F.min("first").alias("found"), F.count(F.lit(1)).alias("n")))
-    names = scratch.cut(grouped(named.withColumnRenamed("n", "copies"), tops, ["component"], total // TABLES).select("node", F.col("copies").alias("n"), "n_links", "found"))
+    names = scratch.cut(grouped(named.withColumnRenamed("n", "copies"), tops, ["component"], total // tables).select("node", F.col("copies").alias("n"), "n_links", "found"))
     out = grouped(sign.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("node")).alias("node")), names, ["node"], sign.count(), "left")
     scratch.drop_all_but(sign, names)
     there = F.col("vec_id").isNotNull()

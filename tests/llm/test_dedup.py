@@ -256,6 +256,33 @@ def test_vectors_recall_at_the_limit():
         assert (vectors.buckets(a) == vectors.buckets(vectors.normalised(b))).any(1).mean() >= 0.99
 
 
+def test_vectors_plan_keeps_recall_and_bucket_sizes():
+    """Beyond FEW vectors links at the limit are found as often, and unlike vectors in a bucket stay as few."""
+    assert [vectors.plan(n) for n in (0, 1, 500, vectors.FEW)] == [(vectors.K, vectors.TABLES)] * 4
+    rng = np.random.default_rng(7)
+    a, other = (vectors.normalised(rng.standard_normal((800, 64))) for _ in range(2))
+    b = vectors.normalised(other - (a * other).sum(1, keepdims=True) * a)
+    b = 0.9 * a + np.sqrt(1 - 0.81) * b
+    sizes = []
+    for n in (vectors.FEW, 1 << 22):
+        k, tables = vectors.plan(n)
+        x, y, z = (vectors.buckets(v, k, tables) for v in (a, b, other))
+        assert (x == y).any(1).mean() >= 0.985
+        sizes.append(n * np.mean([(x[i] == z).mean() for i in range(800)]))
+    assert sizes[1] < 3 * sizes[0]
+
+
+def test_vectors_of_a_large_plan(spark, monkeypatch):
+    """The same links by another number of projections and tables."""
+    rows = [(k, [float(x) for x in np.random.default_rng(k % 40).standard_normal(8) + 0.01 * (k // 40)]) for k in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = sorted(tuple(r) for r in vectors.link(df).collect())
+    assert sum(r[1] for r in want) >= 160
+    monkeypatch.setattr(vectors, "FEW", 20)
+    assert vectors.plan(120)[0] > vectors.K
+    assert sorted(tuple(r) for r in vectors.link(df).collect()) == want
+
+
 def test_substrings_same_as_sql(spark):
     rows = [r for r in dict.fromkeys(hard_documents()) if r[0] is not None and r[1] is not None and "\x00" not in r[1]]
     df = frame(spark, rows)

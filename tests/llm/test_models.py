@@ -410,3 +410,22 @@ def test_quality_held_out(spark):
     graded = labels.select("doc_id", F.expr("case when quality > 0 then 1 + cast(toxic = 0 as int) else 0 end").alias("grade"))
     rows = quality_model.score(docs, quality_model.train(docs, graded)).join(graded, "doc_id").filter(toxicity.held_out(F.col("doc_id"))).collect()
     assert np.mean([r.kept == (r.grade > 0) for r in rows]) > 0.9
+
+
+def test_training_is_bounded_by_ids_and_lines(spark):
+    """Many rows of one id count as one, and of a text of very many lines LINES are used; verdicts are of whole texts."""
+    good = [(k, "A plain sentence that ends well and says something.\n" * 3, 1) for k in range(6)]
+    bad = [(10 + k, "click here | home | * | share\n" * 3, 0) for k in range(6)]
+    long = "\n".join(f"A line number {k} of a long text." for k in range(1_000_000))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in good + bad] + [(3, good[3][1])] * 5000 + [(30, long)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, 1 - q) for i, _, q in good + bad] + [(30, 1, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    fit = quality_rules.Crf.fit
+    quality_rules.Crf.fit = lambda self, sequences, **a: seen.extend(len(x) for x, _ in sequences) or fit(self, sequences, **a)
+    try:
+        model = quality_rules.train(docs, labels)
+    finally:
+        quality_rules.Crf.fit = fit
+    assert len(seen) == 13 and max(seen) == quality_rules.LINES
+    judged = {r.doc_id: r for r in quality_rules.judge(docs.filter("doc_id = 30"), model).collect()}
+    assert judged[30].n_words == 8_000_000
