@@ -179,7 +179,8 @@ def merge_runs(seq: Seq, other: Seq, compare: Callable | None = None, parts: int
     kind = seq.df.schema["v"].dataType
     parts, order_of = parts or _parts(seq.df), compare or natural
     fast = compare is None and isinstance(kind, (T.IntegralType, T.FractionalType)) and not isinstance(kind, T.DecimalType)
-    sides = packed.pieces(seq).withColumn("side", F.lit(0)).unionByName(packed.pieces(other).withColumn("side", F.lit(1)))
+    first, second = packed.together(seq.df.sparkSession, (packed.pieces, seq), (packed.pieces, other))
+    sides = first.withColumn("side", F.lit(0)).unionByName(second.withColumn("side", F.lit(1)))
     blocks = cut(sides)
     every = max(1, blocks.count() // (SAMPLED * parts))
     # First values of about SAMPLED blocks for each range.

@@ -9,9 +9,12 @@ positions already; other keys are dealt by ranges, packed as they are written, a
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,6 +87,14 @@ def pieces(seq: Seq) -> DataFrame:
     return written.mapInArrow(moved, _piece(kind))
 
 
+def together(spark: SparkSession, *calls: tuple) -> list:
+    """Results of (function, *arguments), called at the same time: what they write before they return is written by jobs that
+    run side by side."""
+    with ThreadPoolExecutor(len(calls)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(f), *args) for f, *args in calls]
+    return [r.result() for r in running]
+
+
 def whole(t: pa.Table) -> tuple[int, pa.Array]:
     """First position and values of one block's pieces, which follow each other."""
     if not t.num_rows:
@@ -109,7 +120,8 @@ def zipped(seq: Seq, other: Seq) -> Seq:
         v = pa.StructArray.from_arrays([a.slice(0, n), b.slice(0, n)], names=["a", "b"])
         return pa.Table.from_arrays([v, pa.array(np.arange(start, start + n), pa.int64())], names=["v", "k0"])
 
-    meet = pieces(seq).groupBy("b").cogroup(pieces(other).groupBy("b"))
+    left, right = together(seq.df.sparkSession, (pieces, seq), (pieces, other))
+    meet = left.groupBy("b").cogroup(right.groupBy("b"))
     return Seq(meet.applyInArrow(run, T.StructType([T.StructField("v", pair), T.StructField("k0", T.LongType())])), ["k0"], True)
 
 
@@ -154,8 +166,9 @@ def scattered(out: Seq, values: Seq, indices: Seq) -> Seq:
     """out[indices[k]] = values[k], the last k of a slot wins: the writes go to their slots' blocks, and one Arrow task applies
     what a block gets. Slots outside make the job fail; the caller looks at bounds first."""
     kind = out.df.schema["v"].dataType
-    writes = zipped(values.with_values(values.df.withColumn("v", F.col("v").cast(kind))), indices).df
-    writes = writes.select(F.expr(f"v.b div {BLOCK}").alias("b"), F.col("v.b").alias("slot"), F.col("k0").alias("k"), F.col("v.a").alias("new"))
+    given = values.with_values(values.df.withColumn("v", F.col("v").cast(kind)))
+    old, writes = together(out.df.sparkSession, (pieces, out), (zipped, given, indices))
+    writes = writes.df.select(F.expr(f"v.b div {BLOCK}").alias("b"), F.col("v.b").alias("slot"), F.col("k0").alias("k"), F.col("v.a").alias("new"))
 
     def run(left, right):
         start, old = whole(left)
@@ -172,18 +185,19 @@ def scattered(out: Seq, values: Seq, indices: Seq) -> Seq:
         v = pa.concat_arrays([old, new.cast(old.type)]).take(pa.array(take))
         return pa.Table.from_arrays([v, pa.array(np.arange(start, start + len(old)), pa.int64())], names=["v", "k0"])
 
-    met = pieces(out).groupBy("b").cogroup(writes.groupBy("b"))
+    met = old.groupBy("b").cogroup(writes.groupBy("b"))
     return Seq(met.applyInArrow(run, T.StructType([T.StructField("v", kind), T.StructField("k0", T.LongType())])), ["k0"], True)
 
 
 def gathered(seq: Seq, indices: Seq) -> Seq:
     """Value j becomes the old value at indices[j]: requests go to the blocks they ask for."""
     kind = seq.df.schema["v"].dataType
-    asks = indices.indexed().select(F.expr(f"v div {BLOCK}").alias("b"), F.col("v").alias("slot"), F.col("i").alias("k"))
+    old, asks = together(seq.df.sparkSession, (pieces, seq), (indices.indexed,))
+    asks = asks.select(F.expr(f"v div {BLOCK}").alias("b"), F.col("v").alias("slot"), F.col("i").alias("k"))
 
     def run(left, right):
         start, values = whole(left)
         return pa.Table.from_arrays([values.take(pa.array(right.column("slot").to_numpy() - start)), right.column("k")], names=["v", "k0"])
 
-    met = pieces(seq).groupBy("b").cogroup(asks.groupBy("b"))
+    met = old.groupBy("b").cogroup(asks.groupBy("b"))
     return Seq(met.applyInArrow(run, T.StructType([T.StructField("v", kind), T.StructField("k0", T.LongType())])), ["k0"], True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import itertools
 import re
 import shutil
 import tempfile
@@ -50,15 +51,14 @@ class Scratch:
     driver's end all others."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.n, self.at = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0, {}
+        self.spark, self.root, self.numbers, self.at = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", itertools.count(1), {}
         self.names: list[str] = []
         jvm, settings = spark._jvm, spark._jsc.hadoopConfiguration()
         atexit.register(_at_end, jvm, settings, self.root)
 
     def folder(self) -> str:
         """A path of its own for files that the caller writes."""
-        self.n += 1
-        return f"{self.root}/{self.n}"
+        return f"{self.root}/{next(self.numbers)}"
 
     def delete(self, path: str) -> None:
         _delete(self.spark._jvm, self.spark._jsc.hadoopConfiguration(), path)

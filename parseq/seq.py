@@ -7,6 +7,7 @@ those that need a position ask for the dense index ``i``, and sums, extrema and
 from __future__ import annotations
 
 import re
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,12 +18,14 @@ from .scratch import Scratch
 Fn = Callable[..., Column]
 #: The tables of :func:`dense_index`, by session; :func:`release` deletes them.
 _tables: dict[int, Scratch] = {}
+_lock = threading.Lock()
 
 
 def scratch(session: SparkSession) -> Scratch:
-    if id(session) not in _tables:
-        _tables[id(session)] = Scratch(session)
-    return _tables[id(session)]
+    with _lock:
+        if id(session) not in _tables:
+            _tables[id(session)] = Scratch(session)
+        return _tables[id(session)]
 
 
 def cut(df: DataFrame) -> DataFrame:
