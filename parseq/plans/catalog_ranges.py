@@ -202,12 +202,12 @@ def grain_and_context_forms(spark, d):
     return sums.crossJoin(F.broadcast(items)).crossJoin(F.broadcast(ranged))
 
 
-@query("SELECT sum(CASE WHEN e.event_type = t.name THEN 1 ELSE 0 END)::BIGINT AS n FROM events e, (SELECT 'error' AS name) t")
+@query("SELECT count(*) FILTER (WHERE event_type = 'error') AS n FROM events")
 def chunked_reduce_grain(spark, d):
     return reduce.parallel_reduce_chunked(sequence(spark, d, "events", "event_type"), lambda values: values.count(TYPES[2]), F.sum, "bigint", grain=500, identity=0).withColumnRenamed("reduce", "n")
 
 
-@query("SELECT product(o_custkey % 3 - 1)::BIGINT AS product, (SELECT (-1)::BIGINT ** 0 * 3 ** 5)::BIGINT AS small FROM orders")
+@query("SELECT product(o_custkey % 3 - 1)::BIGINT AS product, (SELECT product(3)::BIGINT FROM region) AS small FROM orders")
 def reduce_product_exact(spark, d):
     """Factors of -1, 0 and 1 over all orders, and of 3 over the regions."""
     one = reduce.reduce(sequence(spark, d, "orders", F.expr("o_custkey % 3 - 1")), 1, "mul").withColumnRenamed("reduce", "product")

@@ -36,6 +36,7 @@ class FenceIndex:
         self.spark, self.path = spark, path
         self.fences = spark.read.parquet(f"{path}/fences")
         self.keys = self.fences.schema["first"].dataType.names
+        self.schema = spark.read.parquet(f"{path}/rows").schema
 
     @classmethod
     def build(cls, seq: Seq, path: str | None = None, rows: int = ROWS) -> FenceIndex:
@@ -54,7 +55,7 @@ class FenceIndex:
         return cls(spark, path)
 
     def read(self, files: list[str]) -> DataFrame:
-        return self.spark.read.schema(self.spark.read.parquet(f"{self.path}/rows").schema if not files else self.spark.read.parquet(files[0]).schema).parquet(*files)
+        return self.spark.read.schema(self.schema).parquet(*files)
 
     def n(self) -> int:
         return self.fences.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -83,7 +84,7 @@ class FenceIndex:
         """i, v of the positions [offset, offset + length): only the files they lie in are read."""
         found = self.fences.filter((F.col("start") < offset + length) & (F.col("start") + F.col("n") > offset)).select("file", "start").collect()
         if not found:
-            return self.spark.createDataFrame([], f"i long, v {self.read([]).schema['v'].dataType.simpleString()}")
+            return self.spark.createDataFrame([], f"i long, v {self.schema['v'].dataType.simpleString()}")
         rows = self.read([r.file for r in found]).withColumn("file", F.col("_metadata.file_path"))
         starts = F.broadcast(self.spark.createDataFrame([tuple(r) for r in found], "file string, start long"))
         at = F.row_number().over(Window.partitionBy("file").orderBy(*self.keys)) - 1
