@@ -43,25 +43,27 @@ def plan(n: int) -> tuple[int, int]:
     return k, math.ceil(TABLES * NEAR ** (K - k))
 
 
-def family(dim: int, k: int, table: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng([SEED, dim, k, table])
-    return rng.standard_normal((dim, k)), rng.uniform(0, WIDTH, k)
+def family(dim: int, k: int, some: int) -> tuple[np.ndarray, np.ndarray]:
+    """Directions and shifts of TABLES tables, ``some`` times TABLES and on."""
+    rng = np.random.default_rng([SEED, dim, k, some])
+    return rng.standard_normal((dim, k * TABLES)), rng.uniform(0, WIDTH, k * TABLES)
+
+
+#: Families that a worker has made.
+FAMILY = Cache(lambda at: family(*at), 16)
 
 
 def buckets(unit: np.ndarray, k: int = K, tables: int = TABLES) -> np.ndarray:
     """Bucket of each unit vector in each table."""
-    out = np.empty((len(unit), tables), np.uint64)
-    for t in range(tables):
-        directions, shifts = FAMILY[unit.shape[1], k, t]
-        cells = np.floor((unit @ directions + shifts) / WIDTH).astype(np.int64).view(np.uint64)
-        h = np.full(len(unit), unit.shape[1] + (t + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1, np.uint64)
+    out = []
+    for some in range(-(-tables // TABLES)):
+        directions, shifts = FAMILY[unit.shape[1], k, some]
+        cells = np.floor((unit @ directions + shifts) / WIDTH).astype(np.int64).view(np.uint64).reshape(len(unit), TABLES, k)
+        h = np.full((len(unit), TABLES), unit.shape[1], np.uint64) + np.arange(some * TABLES + 1, (some + 1) * TABLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for c in range(k):
-            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + cells[:, c])
-        out[:, t] = h
-    return out.view(np.int64)
-
-
-FAMILY = Cache(lambda at: family(*at), 1 << 13)
+            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + cells[:, :, c])
+        out.append(h)
+    return np.concatenate(out, 1)[:, :tables].view(np.int64) if out else np.empty((len(unit), 0), np.int64)
 
 
 def normalised(x: np.ndarray) -> np.ndarray:
