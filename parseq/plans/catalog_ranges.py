@@ -126,7 +126,7 @@ def fence_position(spark, d):
 @query("SELECT bool_or(value > 499) AS hit, bool_or(value < 0) AS below, true AS fewer_read, 0::BIGINT AS read_below FROM events")
 def early_exit_waves(spark, d):
     index = FenceIndex.build(events(spark, d), rows=100)
-    found, none = index.find_any(lambda v: v > 499, low=499.0), index.find_any(lambda v: v < 0, high=0.0)
+    found, none = index.find_any(lambda v: v > 499, above=499.0), index.find_any(lambda v: v < 0, below=0.0)
     return spark.createDataFrame([(found.hit, none.hit, found.files_read < found.files, none.files_read)], "hit boolean, below boolean, fewer_read boolean, read_below long")
 
 

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor, as_completed
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 from uuid import uuid4
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..seq import Fn, Seq, scratch
@@ -91,16 +93,19 @@ class FenceIndex:
         numbered = rows.join(starts, "file").withColumn("i", F.col("start") + at)
         return numbered.filter((F.col("i") >= offset) & (F.col("i") < offset + length)).select("i", "v")
 
-    def find_any(self, predicate: Fn, low=None, high=None) -> Found:
-        """A value that satisfies the predicate, and lies between ``low`` and ``high`` if they are given. Files whose bounds rule
-        it out aren't read; the others are in waves, those with the widest bounds first, and a hit cancels what still runs."""
-        possible = F.lit(True)
-        if low is not None:
-            possible &= F.col("high") >= F.lit(low)
-        if high is not None:
-            possible &= F.col("low") <= F.lit(high)
+    def find_any(self, predicate: Fn, low=None, high=None, above=None, below=None) -> Found:
+        """A value that satisfies the predicate, and lies between ``low`` and ``high`` (themselves included), and between ``above``
+        and ``below`` (excluded), if they are given. Files whose bounds rule it out aren't read; the others are in waves, those
+        with the widest bounds first, and a hit cancels what still runs."""
+
+        def between(least: Column, greatest: Column) -> Column:
+            """Whether some value from ``least`` to ``greatest`` can lie in the bounds."""
+            tests = ((low, greatest.__ge__), (above, greatest.__gt__), (high, least.__le__), (below, least.__lt__))
+            return reduce(and_, [test(F.lit(x)) for x, test in tests if x is not None], F.lit(True))
+
+        possible, upper = between(F.col("low"), F.col("high")), low is not None or above is not None
         files = self.fences.count()
-        order = [r.file for r in self.fences.filter(possible).orderBy(F.col("high").desc() if low is not None else F.col("low"), "start").select("file").collect()]
+        order = [r.file for r in self.fences.filter(possible).orderBy(F.col("high").desc() if upper else F.col("low"), "start").select("file").collect()]
         context, size, begun = self.spark.sparkContext, FIRST, 0
         while order:
             wave, order, size = order[:size], order[size:], size * GROWTH
@@ -110,11 +115,7 @@ class FenceIndex:
             def look(file: str, tag: str = tag):
                 context.addJobTag(tag)
                 rows = self.read([file])
-                good = F.coalesce(predicate(F.col("v")), F.lit(False))
-                if low is not None:
-                    good &= F.col("v") >= F.lit(low)
-                if high is not None:
-                    good &= F.col("v") <= F.lit(high)
+                good = F.coalesce(predicate(F.col("v")), F.lit(False)) & between(F.col("v"), F.col("v"))
                 return rows.filter(good).select("v").take(1)
 
             with ThreadPoolExecutor(len(wave)) as pool:

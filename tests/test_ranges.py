@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import parseq
 from parseq.operators import compare, compose, halo, order, packed, place, reduce
 from parseq.operators.prefix import scan
-from parseq.plans import postings, recipes, tiles
+from parseq.plans import catalog, postings, recipes, tiles
 from parseq.seq import Seq
 from parseq.sources.fences import FenceIndex
 
@@ -205,6 +205,25 @@ def test_fence_index(spark, tmp_path):
     assert FenceIndex.build(seq(spark, []), rows=5).lower_bound(1) == 0
 
 
+def test_fence_bounds_that_are_excluded(spark):
+    """A value on an excluded bound gives no file to read, at either end; an included one does."""
+    index = FenceIndex.build(seq(spark, [0, 0, 1, 2, 3, 5, 5, 5]), rows=2)
+    for bounds, reads in (({"below": 0}, False), ({"high": 0}, True), ({"above": 5}, False), ({"low": 5}, True), ({"above": 3, "below": 5}, True)):
+        none = index.find_any(lambda v: v > 100, **bounds)
+        assert not none.hit and (none.files_read > 0) is reads
+    hit = index.find_any(lambda v: v >= 0, above=0, below=2)
+    assert hit.hit and hit.value == 1
+    assert not index.find_any(lambda v: v >= 0, above=3, below=5).hit
+    both = index.find_any(lambda v: v < 3, low=2, above=1, high=3, below=3)
+    assert both.value == 2
+
+
+def test_early_exit_at_the_bound(spark, tmp_path):
+    """Values of exactly 0 are not below 0, so no file is read for them."""
+    spark.sql("SELECT id AS event_id, CASE WHEN id % 7 = 0 THEN 0D ELSE id + 0D END AS value FROM range(1000)").write.parquet(f"{tmp_path}/events.parquet")
+    assert tuple(catalog.QUERIES["early_exit_waves"](spark, str(tmp_path)).first()) == (True, False, True, 0)
+
+
 def test_folds_by_a_tree(spark):
     words = [chr(97 + k % 26) for k in range(200)]
     for fan_in in (2, 3, 16):
