@@ -12,7 +12,7 @@ from ..seq import Seq
 from ..sources.fences import FenceIndex
 from ..sources.tables import load, sequence
 from . import postings, recipes, tiles
-from .catalog import PAIRS, SQL_CENTS, TYPES, events, query
+from .catalog import PAIRS, SQL_CENTS, THOUSANDTHS, TYPES, events, query
 
 PRICE = "cast(round(o_totalprice * 100) as bigint)"
 
@@ -172,7 +172,7 @@ def counted(spark, run) -> tuple[int, int]:
 @query(f"SELECT 'chain' AS form, count(*) AS n, sum(v)::BIGINT AS total FROM (SELECT o_custkey AS v FROM orders UNION ALL SELECT p_partkey FROM part) UNION ALL SELECT 'zip', count(*), sum(a * b)::BIGINT FROM {PAIRS} UNION ALL SELECT 'flatten', count(*), sum(v)::BIGINT FROM (SELECT round(unnest(embedding) * 1000)::BIGINT AS v FROM embeddings) UNION ALL SELECT 'enumerate', count(*), sum(event_id + 5)::BIGINT FROM events UNION ALL SELECT 'range', count(*), sum(event_id)::BIGINT FROM events")
 def for_each_forms(spark, d):
     orders, part = sequence(spark, d, "orders", "o_custkey"), sequence(spark, d, "part", "p_partkey")
-    nested = sequence(spark, d, "embeddings", F.expr("transform(embedding, x -> cast(round(x * 1000) as bigint))"))
+    nested = sequence(spark, d, "embeddings", F.expr(THOUSANDTHS))
     n = load(spark, d, "events").count()
     forms = {
         "chain": lambda add: transform.for_each(compose.chain(orders, part), add),

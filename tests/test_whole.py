@@ -1,6 +1,7 @@
 """Queries that must read their whole tables."""
 
 import numpy as np
+import pytest
 
 from parseq.plans import catalog, recipes
 from parseq.sources.tables import load
@@ -16,6 +17,25 @@ def test_gram_of_all_vectors(spark):
     assert got == {(i, j): int(v) for (i, j), v in np.ndenumerate(x.T @ x)}
 
 
+@pytest.fixture(scope="module")
+def halves(spark, tmp_path_factory):
+    """A folder whose embeddings are floats that lie halfway between thousandths, or nearly so as doubles; its path, and their
+    thousandths by the arithmetic of floats."""
+    folder = str(tmp_path_factory.mktemp("halves"))
+    x = np.float32([(k + 0.5) / 1000 for k in range(1280)]).reshape(-1, 64)
+    whole = np.floor(x * np.float32(1000) + np.float32(0.5)).astype(np.int64)
+    assert whole.sum() != np.floor(x.astype(float) * 1000 + 0.5).sum()
+    spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    for t in ("orders", "part", "events"):
+        load(spark, DATA, t).write.parquet(f"{folder}/{t}.parquet")
+    return folder, whole
+
+
+def test_for_each_of_halves(spark, halves):
+    got = {r.form: (r.n, r.total) for r in catalog.QUERIES["for_each_forms"](spark, halves[0]).collect()}
+    assert got["flatten"] == (halves[1].size, halves[1].sum())
+
+
 def test_blur_of_whole_images(spark):
     for n, width in ((1, 4), (3, 4), (4, 4), (9, 4), (10, 4), (12, 4), (101, 7), (5, 1)):
         v = [k * 37 % 256 for k in range(n)]
