@@ -36,6 +36,10 @@ def test_for_each_of_halves(spark, halves):
     assert got["flatten"] == (halves[1].size, halves[1].sum())
 
 
+def test_flatten_with_grain_of_halves(spark, halves):
+    assert catalog.QUERIES["grain_and_context_forms"](spark, halves[0]).first()["items"] == halves[1].sum()
+
+
 def test_blur_of_whole_images(spark):
     for n, width in ((1, 4), (3, 4), (4, 4), (9, 4), (10, 4), (12, 4), (101, 7), (5, 1)):
         v = [k * 37 % 256 for k in range(n)]
