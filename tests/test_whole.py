@@ -40,6 +40,11 @@ def test_flatten_with_grain_of_halves(spark, halves):
     assert catalog.QUERIES["grain_and_context_forms"](spark, halves[0]).first()["items"] == halves[1].sum()
 
 
+def test_gram_of_halves(spark, halves):
+    got = {(r.i, r.j): r.x for r in catalog.QUERIES["matmul_gram"](spark, halves[0]).collect()}
+    assert got == {(i, j): int(v) for (i, j), v in np.ndenumerate(halves[1].T @ halves[1])}
+
+
 def test_blur_of_whole_images(spark):
     for n, width in ((1, 4), (3, 4), (4, 4), (9, 4), (10, 4), (12, 4), (101, 7), (5, 1)):
         v = [k * 37 % 256 for k in range(n)]
