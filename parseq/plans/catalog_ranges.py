@@ -137,8 +137,10 @@ SQL_WORDS = "SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM docu
 def phrase_documents(spark, d):
     """All documents that hold the first two words of the first document that has two."""
     docs = load(spark, d, "documents")
-    words = docs.select("doc_id", F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("w")).filter("size(w) >= 2").orderBy("doc_id").first().w[:2]
-    return postings.phrase(postings.build(recipes.postings(docs, "doc_id", "text")), words)
+    first = docs.filter(F.col("text").rlike("[A-Za-z][^A-Za-z]+[A-Za-z]")).select("doc_id", "text").orderBy("doc_id").limit(1)
+    found = first.select(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("w")).first()
+    # Without such a document the words are none that a text can have.
+    return postings.phrase(postings.build(postings.of_texts(docs, "doc_id", "text")), found.w[:2] if found else ["", ""])
 
 
 @query(f"WITH t AS (SELECT unnest(w) AS term, doc_id FROM ({SQL_WORDS})) SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs, (sum(count(*)) OVER (ORDER BY term) - count(*))::BIGINT AS first FROM t GROUP BY term")

@@ -259,6 +259,48 @@ def test_phrases(spark, monkeypatch):
     assert index.agg(F.max("docs")).first()[0] <= 3
 
 
+def test_index_of_texts(spark, monkeypatch):
+    """The index of texts is that of their postings, however documents are dealt and numbered, and a word's documents of one shelf go
+    to its blocks in one row for each task that has read them."""
+    import re
+
+    monkeypatch.setattr(postings, "DOCS", 5)
+    monkeypatch.setattr(postings, "POSITIONS", 40)
+    monkeypatch.setattr(postings, "HELD", 2000)
+    rng = random.Random(9)
+    texts = ["".join(rng.choices(["a", "b", " ", "é", "the ", "\n", "7", "Straße ", "zz "], k=rng.randint(0, 30))) for _ in range(300)]
+    texts += [None, "", " é 7 ", "a " * 500, "x" * 5000]
+    ids = rng.sample(range(-1500, 1500), len(texts))
+    want: dict = {}
+    for k, t in zip(ids, texts):
+        for place, w in enumerate(re.findall("[A-Za-z]+", t or "")):
+            want.setdefault((w, k), []).append(place)
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
+    cuts = []
+    monkeypatch.setattr(postings, "cut", lambda df, f=postings.cut: cuts.append(f(df)) or cuts[-1])
+    index = postings.build(postings.of_texts(docs, "doc_id", "text"))
+    assert cuts[0].count() < len(want)
+    assert {(r.term, r.doc_id): r.at for r in postings.opened(index).collect()} == want
+    blocks = index.orderBy("offset").collect()
+    assert [(r.term, r.low) for r in blocks] == sorted((r.term, r.low) for r in blocks)
+    assert [r.offset for r in blocks] == np.cumsum([0, *(r.n for r in blocks[:-1])]).tolist()
+    assert max(r.docs for r in blocks) == 5
+    plain = postings.build(recipes.postings(docs, "doc_id", "text"))
+    assert {(r.term, r.doc_id): r.at for r in postings.opened(plain).collect()} == want
+
+
+def test_index_of_a_document_in_two_rows(spark):
+    docs = spark.createDataFrame([(k, "a b a") for k in range(600)] + [(7, "b c"), (599, "a")], "doc_id long, text string").repartition(5)
+    got = {r.term: (r.n, r.docs) for r in postings.build(postings.of_texts(docs, "doc_id", "text")).groupBy("term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).collect()}
+    assert got == {"a": (1201, 600), "b": (601, 600), "c": (1, 1)}
+
+
+def test_phrase_of_no_document(spark, tmp_path):
+    """Without a document of two words there is no phrase, and no row."""
+    spark.createDataFrame([(1, "one 7 é"), (2, None), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert catalog.QUERIES["phrase_documents"](spark, str(tmp_path)).collect() == []
+
+
 def test_products(spark):
     product = lambda v, kind="bigint", one=1: parseq.scalar(reduce.reduce(seq(spark, v, kind), one, "mul"))
     assert product([3] * 39) == 3**39 and product([-2] * 63) == -(2**63) and product([2] * 63 + [-1]) == -(2**63)
