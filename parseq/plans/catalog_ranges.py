@@ -11,7 +11,7 @@ from ..operators.prefix import scan
 from ..seq import Seq
 from ..sources.fences import FenceIndex
 from ..sources.tables import load, sequence
-from . import postings, recipes, tiles
+from . import postings, tiles
 from .catalog import PAIRS, SQL_CENTS, THOUSANDTHS, TYPES, events, query
 
 PRICE = "cast(round(o_totalprice * 100) as bigint)"
@@ -146,7 +146,7 @@ def phrase_documents(spark, d):
 @query(f"WITH t AS (SELECT unnest(w) AS term, doc_id FROM ({SQL_WORDS})) SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs, (sum(count(*)) OVER (ORDER BY term) - count(*))::BIGINT AS first FROM t GROUP BY term")
 def index_blocks_terms(spark, d):
     """Of each term its postings and documents, summed over its blocks, and the place of its first posting in the index."""
-    index = postings.build(recipes.postings(load(spark, d, "documents"), "doc_id", "text"))
+    index = postings.build(postings.of_texts(load(spark, d, "documents"), "doc_id", "text"))
     return index.groupBy("term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.min("offset").alias("first"))
 
 
