@@ -20,12 +20,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..seq import cut
+from ..seq import cut, scratch
 
 #: Documents of a block at most, and positions from which on one ends.
 DOCS, POSITIONS = 128, 1 << 14
 #: Document numbers of a shelf.
-WIDE = 512
+WIDE = 2048
 #: Bytes of text or codes, and positions of opened blocks, that a task works on at a time (or one document, row or block).
 HELD, OPEN = 1 << 23, 1 << 18
 SHELF = "token string, shelf long, ids binary, counts binary, at binary"
@@ -261,6 +261,7 @@ def build(postings: DataFrame) -> DataFrame:
     # Written first, as Spark reads rows twice to deal them by ranges.
     rows = cut(postings if "shelf" in postings.columns else of_positions(postings))
     blocks = cut(rows.select(*SHELVES.names).repartitionByRange(parts, "token", "shelf").sortWithinPartitions("token", "shelf").mapInArrow(run, BLOCK))
+    scratch(rows.sparkSession).drop(rows)
     sizes = blocks.groupBy("p").agg(F.sum("n").alias("m"))
     # The window orders one row for each shuffle partition.
     starts = F.broadcast(sizes.select("p", F.coalesce(F.sum("m").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first")))
